@@ -25,7 +25,7 @@ TRUSTED_ROWS = 20_000
 #: Strength of the raw corpus as prior of the target's probabilities, in n-grams.
 PRIOR = 1000.0
 #: Mean log ratio for each n-gram below which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.08
 SPACE = r"[\x20\x09-\x0D]+"
 #: Up to so many repeated windows are looked up one by one; beyond it positions are sorted. Both ways count the same.
 FEW = 32
