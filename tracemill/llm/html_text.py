@@ -195,15 +195,15 @@ def blocks(found: list[Node], templates: frozenset[int] | set[int]) -> list[str]
 
 
 def candidates(found: list[Node]) -> tuple[list[int], int]:
-    """Hashes of the subtrees that may be templates, and a mark of the page's main text: the hash of its longest block."""
-    hashes, mark, longest = set(), 0, -1
+    """Hashes of the subtrees that may be templates, and a mark of the page's text outside named furniture, which copies share."""
+    import xxhash
+
+    hashes, mark = set(), xxhash.xxh64_intdigest("\n".join(blocks(found, set())).encode("utf-8", "replace")) - (1 << 63)
     for root in found:
         inside = root.tag != "#"
         stack = [root]
         while stack:
             x = stack.pop()
-            if x.tag in _TEXT_BLOCKS and x.chars > longest:
-                longest, mark = x.chars, x.hash
             if x is not root:
                 if furniture(x, inside):
                     continue
