@@ -7,6 +7,7 @@ All but the last return the columns of ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracemill.llm import decontaminate, near_dedup, packing, quality, secrets
 from tracemill.llm.common import keep, table
@@ -14,7 +15,9 @@ from tracemill.llm.common import keep, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the likelihood ratio reject go."""
-    return quality.rate(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    # Written first: a filter on the verdict would be pushed through all its steps, and its expression would grow with each.
+    rated = keep(quality.rate(docs, table(spark, sf_dir, "labels")).select(*docs.columns, F.col("kept").alias("_kept")), "rated")
+    return rated.where("_kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
