@@ -53,6 +53,37 @@ def test_near_dedup_equals_brute_force(spark, documents):
     assert all(r.kept == (want[r.doc_id] == r.doc_id) and r.n_shingles == len(shingles(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_family_bounds_lose_no_link(spark, monkeypatch):
+    """A family most of whose members are just too far from each other, with a chain of links outside its largest component."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for at in rng.choice(160, k % 16, replace=False):
+            w[at] = f"x{k}-{at}"
+        rows.append((8000 + k, " ".join(w)))
+        if k % 16 > 8 and k % 3 == 0:  # a near copy of a far member
+            w[(k * 7) % 160] = "again"
+            rows.append((9000 + k, " ".join(w)))
+    seen, bounded = [], near_dedup.family_pairs
+
+    def watched(members, docs, width=5):
+        seen.append((members.count(), bounded(members, docs, width).distinct().count()))
+        return bounded(members, docs, width)
+
+    monkeypatch.setattr(near_dedup, "family_pairs", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows) and seen and seen[0][1] < seen[0][0] ** 2 / 8
+    # Against single components the bounds must keep every link.
+    sets = {i: shingles(t) for i, t in rows}
+    members = spark.createDataFrame([(8000, i, len(x), i) for i, x in sets.items()], "family long, rep long, n long, component long")
+    kept = {tuple(r)[:2] for r in bounded(members, docs).collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links and links <= kept
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -8,7 +8,9 @@ smallest altogether as well. Two sets with similarity 0.85 miss each other in al
 Lists generate candidates in two rounds, so that no list is expanded into all its pairs:
 
 1. every member with a few pivots of its list (smallest, largest and one in a hashed order);
-2. only members that are not yet in the same component, with the list's other components.
+2. only members that are not yet in the same component, with the list's other components: directly where at most ``FEW`` members are
+   outside the largest component (so the pairs grow with the list's length), else only those that exact lower bounds of their
+   distance leave open (see ``family_pairs``).
 
 The sketch of the union of both sets filters candidates (a pair at the threshold fails with a chance of about 1e-10 or less), and the
 full sets confirm each link. Components come from alternating large-star and small-star steps over written tables.
@@ -33,6 +35,10 @@ POOL, INDEX = 64, 12
 #: A value in more sketches than this is frequent; a sketch needs so many other values to do without its frequent ones: of POOL values
 #: at most 15 % are expected to be missing in a similar set, so that all of these are missing has a chance of 1e-9.
 FREQUENT, ENOUGH = 64, 30
+#: Members outside a list's largest component that are paired with the whole list; with more, bounds of the distance come first.
+FEW = 16
+#: Slots into which a family's members are sorted by how far they can reach.
+SLOTS = 64
 #: Least part of the union's sketch that both sets must hold to be compared in full.
 LEAST_OVERLAP = 0.5
 
@@ -117,14 +123,52 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return _possible(each.select(*_pair(F.col("rep"), F.col("p.rep"), F.col("n"), F.col("p.n"))))
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Pairs of one list that are in different components; what is in a list's largest component is not paired within it."""
     here = keep(lists.join(labels, "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("component")), "list-components")
     parts = here.groupBy("value", "component").agg(F.count("*").alias("c"))
-    main = parts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("value", "main")
-    rest = here.join(main, "value").where(F.col("component") != F.col("main")).select("value", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), "main")
+    main = parts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("outside"))
+    main = keep(main.where("parts > 1").select("value", "main", "outside"), "list-mains")
+    rest = here.join(main.where(F.col("outside") <= FEW), "value").where(F.col("component") != F.col("main")).select("value", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), "main")
     both = rest.join(here, "value").where((F.col("component") != F.col("yc")) & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("y"))) & (100 * F.least("n", "yn") >= PERCENT * F.greatest("n", "yn")))
-    return _possible(both.select(*_pair(F.col("rep"), F.col("y"), F.col("n"), F.col("yn"))))
+    close = both.select(*_pair(F.col("rep"), F.col("y"), F.col("n"), F.col("yn")))
+    members = keep(here.join(main.where(F.col("outside") > FEW), "value").select(F.col("main").alias("family"), "rep", "n", "component").distinct(), "families")
+    return _possible(close if members.isEmpty() else close.unionByName(family_pairs(members, docs, width)))
+
+
+def family_pairs(members: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Pairs of a family's members in different components that the distances to one pivot leave open; no link is ruled out.
+
+    ``members``: family (the component that is the largest in a list, and its smallest member, the pivot), rep, n, component. With u
+    the values of a set that only its own component holds and x the distance of its other values from those of the pivot (values in
+    just one of the two), sets A and B of different components differ in uA + uB + |xA - xB| values or more, and linked ones in
+    (100 - PERCENT) / (100 + PERCENT) of nA + nB at most. So A needs a B with a large enough x - u: a set that the family's largest
+    x - u does not reach is alone, and others meet only sets from that value on, by slots of x - u.
+    """
+    pivots = members.select(F.col("family").alias("rep"), F.col("family").alias("component"))
+    ids = keep(members.select("rep", "component").union(pivots).distinct(), "family-members")
+    held = keep(full_sets(docs, ids.select(F.col("rep").alias("doc_id")), width).join(ids, "rep"), "family-sets")
+    values = held.select("rep", "component", F.explode("set").alias("value"))
+    common = values.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
+    shared = keep(values.join(common, "value").groupBy("rep").agg(F.collect_set("value").alias("shared")), "shared-sets")  # a part of one text's set
+
+    pivot = shared.select(F.col("rep").alias("family"), F.col("shared").alias("p"))
+    both = members.join(shared, "rep").join(pivot, "family", "left").withColumn("p", F.coalesce("p", F.array().cast("array<bigint>")))
+    x = F.size(F.array_except("shared", "p")) + F.size(F.array_except("p", "shared"))
+    u = F.col("n") - F.size("shared")
+    placed = keep(both.select("family", "rep", "n", "component", (u + x).alias("far"), (x - u).alias("slack")), "placed")
+
+    least = F.floor(F.col("far") - (100 - PERCENT) / (100 + PERCENT) * (1 + 100 / PERCENT) * F.col("n"))  # the slack that a partner must have
+    placed = placed.withColumn("least", least)
+    ends = placed.groupBy("family").agg(F.max("slack").alias("top"), F.min("least").alias("low"))
+    step = F.greatest(F.lit(1), F.ceil((F.col("top") - F.col("low") + 1) / SLOTS))
+    alive = placed.join(ends, "family").where("least <= top").withColumn("step", step)
+    slot = lambda value: F.least(F.lit(SLOTS - 1), F.floor((F.col("top") - F.col(value)) / F.col("step"))).cast("int")
+    seek = alive.where("component <> family").select("family", "rep", "n", "component", "far", "slack", F.explode(F.sequence(F.lit(0), slot("least"))).alias("slot"))
+    find = alive.select("family", slot("slack").alias("slot"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "component", "far", "slack")])
+    near = lambda far, slack: (100 + PERCENT) * (F.col(far) - F.col(slack)) <= (100 - PERCENT) * (F.col("n") + F.col("y_n"))
+    open_ = (F.col("component") != F.col("y_component")) & ((F.col("y_component") == F.col("family")) | (F.col("rep") > F.col("y_rep"))) & near("far", "y_slack") & near("y_far", "slack")
+    return seek.join(find, ["family", "slot"]).where(open_).select(*_pair(F.col("rep"), F.col("y_rep"), F.col("n"), F.col("y_n")))
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -136,24 +180,30 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.where(common >= LEAST_OVERLAP * F.size(union)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
+def full_sets(docs: DataFrame, ids: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(rep, set) of the documents named by ``ids`` (doc_id)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches):
         hasher = Hasher(width)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "set": pa.array([hasher.shingles(t).tobytes() for t in as_bytes(batch)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "set": pa.array([hasher.shingles(t) for t in as_bytes(batch)], pa.list_(pa.int64()))})
+
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, f"rep {kind}, set array<bigint>")
 
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
+    found = keep(full_sets(docs, ids, width), "sets")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = keep(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, f"rep {kind}, set binary"), "sets")
 
     def compare(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x) // 8 + len(y) // 8 - both))
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                both = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+                ok.append(100 * both >= PERCENT * (len(x.values) + len(y.values) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda name: found.select(F.col("rep").alias(name), F.col("set").alias(f"s{name}"))
@@ -198,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     first = keep(likely(star_pairs(lists), reps), "pairs")
     linked = components(confirmed(first, docs, width))
     labels = keep(linked, "components")
-    second = keep(likely(cross_pairs(lists, labels).join(first, ["a", "b"], "left_anti"), reps), "more-pairs")
+    second = keep(likely(cross_pairs(lists, labels, docs, width).join(first, ["a", "b"], "left_anti"), reps), "more-pairs")
     if not second.isEmpty():
         more = confirmed(second, docs, width)
         labels = keep(components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)), "components")
