@@ -124,6 +124,75 @@ def test_word_tree_distributions_sum_to_one():
         assert abs(p.sum() - 1) < 1e-3
 
 
+def brute_tree_scores(texts, new):
+    """log10 scores of ``new`` by a tree of nested counts, without shares, joins or bitmaps."""
+    lm = suffix_tree_lm
+    counts = Counter(w for t in texts for w in t.split())
+    often = {w for w, n in counts.items() if n >= lm.LEAST}
+    total, rare = sum(counts.values()) + len(texts), sum(n for w, n in counts.items() if w not in often)
+    whole, kinds = total + lm.FIRST_WORD + len(often), len(counts) - len(often)
+
+    def root(w):
+        if w is None or w in often:
+            return ((len(texts) if w is None else counts[w]) + 1) / whole
+        return (rare + 1) / whole * ((counts[w] - lm.DISCOUNT) / rare if w in counts else lm.DISCOUNT * kinds / rare)
+
+    def chain(t):
+        w = t.split()
+        for k, x in enumerate([*w, None]):
+            past = ["^", *w[:k]]
+            yield x, [("end", past[-1][-3:]), *[tuple(past[-d:]) for d in (1, 2, 3) if d <= len(past)]]
+
+    seen, up = defaultdict(Counter), {}
+    for t in texts:
+        for x, cs in chain(t):
+            for above, c in zip([None, *cs], cs, strict=False):
+                seen[c][x] += 1
+                up[c] = above
+    stays = {}
+
+    def p(c, x):
+        if c is None:
+            return root(x)
+        n = sum(seen[c].values())
+        if n < lm.LEAST:
+            return p(up[c], x) if c in up else None
+        own = lambda y: max(seen[c][y] - lm.DISCOUNT, 0) / n + lm.DISCOUNT * len(seen[c]) / n * p(up[c], y)
+        if c not in stays:
+            stays[c] = sum(k * math.log(own(y) / p(up[c], y)) for y, k in seen[c].items()) > lm.MIN_GAIN
+        return own(x) if stays[c] else p(up[c], x)
+
+    return [sum(math.log10(p(next((c for c in reversed(cs) if c in up), None), x)) for x, cs in chain(t)) for t in new], stays
+
+
+def test_tree_keeps_seldom_and_deep_contexts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(900):
+        w = list(rng.choice(words, 60))
+        if i % 180 == 2:
+            w[10:12] = ["seldom", "follower"]  # five times, below a ten-thousandth of the tokens
+        if i % 9 == 3:
+            w[10] = "random"  # the same ending
+        if i % 10 == 0:
+            w[20:24] = ["w1", "w2", "w3", "deep"]
+        if i % 10 == 1:
+            w[20:24] = ["w4", "w2", "w3", "other"]
+        texts.append(" ".join(w))
+    texts[0] += " once"
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 != 2][:900]
+    held = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    new = ["w9 seldom follower w7", "w1 w2 w3 deep", "w4 w2 w3 other w5 unseen", "seldom w1"]
+    rows = [*zip(ids, texts, strict=True), *zip(held, new, strict=True)]
+    want, stays = brute_tree_scores(texts, new)
+    assert stays["seldom",] and stays["w1", "w2", "w3"]
+    for share in (suffix_tree_lm.HOT_SHARE, 1.0):  # all terms broadcast, all joined
+        monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string")).collect()}
+        assert np.allclose([got[i] for i in held], want, rtol=1e-9)
+
+
 def test_toxicity_restores_disguised_words():
     m = toxicity.Letters(dict.fromkeys(["idiot", "moron", "stupid", "loser", "table", "the", "hello", "other"], 50))
     r = toxicity.Reader(m)

@@ -1,16 +1,19 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Words with at least ``WORD_SHARE`` of all training tokens are symbols of their own (at most 1 / WORD_SHARE of them); all others
-are the symbol RARE, within which a word has its own discounted count and all words that training lacks are one symbol,
-as they are in the base score. The tree has contexts of up to two words: a word is a context if it has ``CONTEXT_SHARE`` of the
-tokens, a pair if both have ``DEEP_SHARE``; rare words count as contexts by a hash of their last bytes.
+The contexts of a position form a chain: the ending of the word before, that word, the last two words, the last three. Every word
+is a symbol, however rare. A context stays by absolute evidence alone, so the tree grows with the corpus: it must be seen
+``LEAST`` times, and its next-word distribution must diverge from its longest retained suffix's by enough (count x Kullback-Leibler
+divergence, ``MIN_GAIN``). All next words of a retained context stay. Distributions are smoothed with the suffix's by absolute
+discounting. In the root, words below ``WORD_SHARE`` share the mass of the class RARE by their own discounted counts, and all words
+that training lacks are one symbol, as they are in the base score.
 
-A context stays only if its next-symbol distribution diverges from its longest retained suffix's by enough
-(count x Kullback-Leibler divergence); distributions are smoothed with the suffix's by absolute discounting, and a word is scored
-from the longest suffix that is a state. All counts are over the whole training corpus: tasks add up their own, Spark adds up the
-tasks'. What the driver gets and broadcasts has proven bounds: 1 / share contexts of each length, 1 / ENTRY_SHARE next words.
+The tree is a Spark table. The score of a position is the root's log probability plus one term for each retained context of its chain:
+what the context gives up to its suffix, and for a next word that it lists what that adds. So a text's score is a sum over keys
+(64-bit hashes of contexts, and of contexts with next words), to which the table is joined. Keys with ``HOT_SHARE`` of the tokens
+are broadcast instead, at most 2 / HOT_SHARE of them for each level; bitmaps of fixed size (only false hits, which the join or the counts
+then settle) keep keys and contexts that the table can't have out of the shuffles.
 
-The exact counts of rare words, for the base score and the score, are joined by word.
+The exact counts of rare words, for the base score and the root, are joined by word.
 
 Defined results: a null or empty text is the end symbol alone; repeated rows each get their row; with no training rows the model is
 uniform and all counts are 0.
@@ -19,7 +22,9 @@ uniform and all counts are 0.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +32,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, keep, slices, table
+from .near_dedup import _mix
 
-WORD_SHARE, CONTEXT_SHARE, DEEP_SHARE, ENTRY_SHARE = 2e-6, 1e-4, 2e-3, 1e-6
-#: A word seen less often is rare whatever its share, so that there are rare words to learn from.
+#: What is broadcast: words of the root and keys of the tree with such a share of the tokens.
+WORD_SHARE, HOT_SHARE = 2e-6, 1e-5
+#: A word seen less often is rare whatever its share, so that there are rare words to learn from; a context seen less often is none.
 LEAST = 4
+#: Contexts of a position: the ending of the last word, then one word to LEVELS - 1.
+LEVELS = 4
+#: log2 of the bits of a bitmap.
+BITS = 27
 #: Nats (count x divergence) that a context must save to become a node of the tree.
 MIN_GAIN = 12.0
 #: What each next word's count gives up to the suffix's distribution.
 DISCOUNT = 0.75
 HELD = (7, 2)
-#: Word symbols: no context, before a text, its end, a rare word; contexts of rare words; then the words.
+#: Symbols of the root: none, before a text, its end, a rare word; unused ones; then the words.
 BEGIN, STOP, RARE, FIRST_SUFFIX, SUFFIXES = 1, 2, 3, 4, 251
 FIRST_WORD = FIRST_SUFFIX + SUFFIXES
+#: Tokens before a text and after it; no word has white space.
+BEFORE, AFTER = b" ", b"\n"
 #: Rows that a task collects before it hands on partial counts.
 FLUSH = 3_000_000
 
@@ -51,70 +64,128 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return code, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(code)).astype(np.int64)
+class Words(dict):
+    """Numbers of words, with the hashes of the words and of their endings."""
 
+    def __init__(self):
+        import xxhash
 
-def word_ids(words: list[bytes], symbols: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a text with its end, and what each stands for as a context, after two starts."""
-    syms = [symbols.get(w, RARE) for w in words]
-    marks = [s if s != RARE else FIRST_SUFFIX + zlib.crc32(w[-3:]) % SUFFIXES for s, w in zip(syms, words, strict=True)]
-    return np.array([*syms, STOP], np.int64), np.array([BEGIN, BEGIN, *marks], np.int64)
+        self.digest, self.hashes, self.endings = xxhash.xxh3_64_intdigest, array("Q"), array("Q")
 
+    def __missing__(self, word: bytes) -> int:
+        self.hashes.append(self.digest(word))
+        self.endings.append(self.digest(word[-3:]))
+        self[word] = n = len(self.hashes) - 1
+        return n
 
-def _word_runs(ids: list[tuple[np.ndarray, np.ndarray]], level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed (word before the last, last word, next symbol) with counts; 0 where a word is no context."""
-    nxt = np.concatenate([s for s, _ in ids])
-    one, two = np.concatenate([m[1:] for _, m in ids]), np.concatenate([m[:-1] for _, m in ids])
-    one = np.where(level[one] >= 1, one, 0)
-    two = np.where((level[one] >= 2) & (level[two] >= 2), two, 0)
-    some = one > 0
-    return np.unique(two[some] << 40 | one[some] << 20 | nxt[some], return_counts=True)
+    def read(self, texts: list[list[bytes]]) -> Positions:
+        if len(self) > 500_000:
+            self.__init__()
+            self.clear()
+        get, ids = self.__getitem__, []
+        for t in texts:
+            ids.append(get(BEFORE))
+            ids += map(get, t)
+            ids.append(get(AFTER))
+        return Positions(np.array(ids, np.int64), np.array(self.hashes), np.array(self.endings), ids[0])
 
 
-def count_runs(docs: DataFrame, shared, parts: tuple[int, int] = HELD) -> DataFrame:
-    """(run, n) over the training documents; each task adds up its own before it shuffles."""
+class Positions:
+    """Per word and text end: ``next`` (its hash), and by level ``context``, ``entry`` (context with next word) and ``gram`` (what the bitmap of contexts holds)."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, endings: np.ndarray, before: int):
+        h, here = hashes[ids], ids != before
+        last = np.roll(h, 1)
+        self.next, self.context, self.entry, self.gram = h[here], [], [], []
+        gram = np.roll(endings[ids], 1)
+        for level in range(LEVELS):
+            context = _mix(gram + np.uint64(level + 1))
+            entry = _mix(context ^ h)
+            for to, x in ((self.context, context), (self.entry, entry), (self.gram, gram)):
+                to.append(x[here])
+            gram = last if level == 0 else np.roll(entry, 1)  # at a text's start a gram of no counted entry: no context
+        self.here = here
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """2 ** BITS bits, set where a key (column k) begins with these bits; parts of one 256th are made by the tasks."""
+    size = 1 << (BITS - 8)
+
+    def run(part: pa.Table) -> pa.Table:
+        k = part.column("k").to_numpy().view(np.uint64)
+        bits = np.zeros(size, np.uint8)
+        bits[((k >> np.uint64(64 - BITS)) & np.uint64(size - 1)).astype(np.int64)] = 1
+        return pa.table({"block": pa.array([int(k[0] >> np.uint64(56))], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((256, size // 8), np.uint8)
+    for block, bits in keys.select("k").groupBy(F.shiftrightunsigned("k", 56)).applyInArrow(run, "block int, bits binary").toLocalIterator():
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands once, and how often it occurs."""
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
+    return order[first], np.diff(np.append(first, len(keys)))
+
+
+def count_level(docs: DataFrame, level: int, bits, parts: tuple[int, int] = HELD) -> DataFrame:
+    """(k, up, context, n) of a level's entries over the training documents; ``up`` is the key of the suffix's entry. ``bits``: a broadcast bitmap of the grams that are contexts."""
 
     def run(batches):
-        symbols, level = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words, held = Words(), []
 
         def out():
-            code, n = _merge(held)
+            k, up, context = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            for k in range(0, len(code), 100_000):
-                yield pa.RecordBatch.from_pydict({"run": pa.array(code[k : k + 100_000]), "n": pa.array(n[k : k + 100_000])})
+            if len(k):
+                at, n = _distinct(k)
+                for i in range(0, len(at), 100_000):
+                    some = at[i : i + 100_000]
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(k[some].view(np.int64)), "up": pa.array(up[some].view(np.int64)), "context": pa.array(context[some].view(np.int64)), "n": pa.array(n[i : i + 100_000], pa.int64())})
 
         for batch in slices(batches, most=4_000_000):
             texts = [tokens(t) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, parts)]
             if texts:
-                held.append(_word_runs([word_ids(t, symbols) for t in texts], level))
-            if sum(len(c) for c, _ in held) > FLUSH:
-                held[:] = [_merge(held)]
-                if len(held[0][0]) > FLUSH // 2:
-                    yield from out()
+                x = words.read(texts)
+                some = _in(bits.value, x.gram[level]) if bits else slice(None)
+                held.append([(x.entry[level])[some], (x.entry[level - 1] if level else x.next)[some], x.context[level][some]])
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield from out()
         if held:
             yield from out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    each = docs.select("doc_id", "text").mapInArrow(run, "k long, up long, context long, n long")
+    return each.groupBy("k").agg(F.first("up").alias("up"), F.first("context").alias("context"), F.sum("n").alias("n"))
 
 
-def contexts(runs: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(depth, context, symbol, n) of the contexts with at least CONTEXT_SHARE of all positions; (depth, context, -1, n) has their sums."""
-    one = runs.select("n", F.col("run").bitwiseAND(F.lit((1 << 20) - 1)).alias("symbol"), F.shiftright("run", 20).alias("c"))
-    level = lambda d: F.struct(F.lit(d).alias("depth"), F.col("c").bitwiseAND(F.lit((1 << 20 * d) - 1)).alias("context"))
-    both = F.when(F.shiftright("c", 20) == 0, F.array(level(1))).otherwise(F.array(level(1), level(2)))
-    each = keep(one.select("n", "symbol", F.explode(both).alias("x")).groupBy("x.depth", "x.context", "symbol").agg(F.sum("n").alias("n")), "context-counts")
-    total = each.where("depth = 1").agg(F.sum("n")).first()[0] or 0
-    often = keep(each.groupBy("depth", "context").agg(F.sum("n").alias("of")).where(F.col("of") >= CONTEXT_SHARE * total), "contexts")
-    rows = each.where(F.col("n") >= ENTRY_SHARE * total).join(often.select("depth", "context"), ["depth", "context"]).select("depth", "context", "symbol", "n")
-    found = rows.unionByName(often.select("depth", "context", F.lit(-1).cast("long").alias("symbol"), F.col("of").alias("n"))).toPandas()
-    return list(zip(*(found[c].tolist() for c in ("depth", "context", "symbol", "n")), strict=True))
+def grow(docs: DataFrame, root: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
+    """(k, w, n): the tree's keys with their terms of the score and their counts. ``root``: (k, p, n) of the words and the tokens before and after a text."""
+    spark = docs.sparkSession
+    found, below, seen = [], root.select("k", "p"), root.select("k", "n")
+    for level in range(LEVELS):
+        bits = spark.sparkContext.broadcast(bitmap(seen.where(F.col("n") >= LEAST))) if level else None
+        each = keep(count_level(docs, level, bits, parts), f"entries-{level}")
+        sums = each.groupBy("context").agg(F.sum("n").alias("of"), (DISCOUNT * F.count("*") / F.sum("n")).alias("free")).where(F.col("of") >= LEAST)
+        both = each.join(sums, "context").join(below.select(F.col("k").alias("up"), F.col("p").alias("above")), "up")
+        both = keep(both.select("k", "context", "n", "of", "free", "above", ((F.col("n") - DISCOUNT) / F.col("of") + F.col("free") * F.col("above")).alias("own")), f"smoothed-{level}")
+        stay = both.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("own") / F.col("above"))).alias("gain"), F.first("of").alias("of"), F.first("free").alias("free")).where(F.col("gain") > MIN_GAIN)
+        stay = keep(stay.select("context", "of", "free"), f"contexts-{level}")
+        term = F.log10("own") - F.log10("above") - F.log10("free")
+        found.append(keep(stay.select(F.col("context").alias("k"), F.log10("free").alias("w"), F.col("of").alias("n")).unionByName(both.join(stay.select("context"), "context", "left_semi").select("k", term.alias("w"), "n")), f"terms-{level}"))
+        kept = both.join(stay.select("context", F.lit(True).alias("stays")), "context", "left")
+        below, seen = kept.select("k", F.when(F.col("stays"), F.col("own")).otherwise(F.col("above")).alias("p")), each if level else root
+    return reduce(DataFrame.unionByName, found)
 
 
 class WordTree:
-    """Retained contexts of words with sparse next-word distributions; what a node doesn't list it takes from its suffix."""
+    """The smoothing in memory, for small sets of symbols: contexts with sparse next-word distributions; what a node doesn't list it takes from its suffix."""
 
     def __init__(self, rows: list[tuple[int, int, int, int]], root: np.ndarray, discount: float = DISCOUNT, min_gain: float = MIN_GAIN):
         """root: counts of all symbols."""
@@ -211,22 +282,46 @@ def vocabulary(docs: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, symbols: dict[bytes, int], counts: np.ndarray, parts: tuple[int, int] = HELD) -> WordTree:
-    """``counts``: of each symbol. The endings of rare words are contexts all."""
-    total = max(1, counts.sum())
-    level = np.where(counts >= DEEP_SHARE * total, 2, np.where(counts >= CONTEXT_SHARE * total, 1, 0))
-    level[:FIRST_WORD] = 1
-    level[0] = 0
-    runs = keep(count_runs(docs, docs.sparkSession.sparkContext.broadcast((symbols, level)), parts), "runs")
-    return WordTree(contexts(runs), counts)
-
+def root_table(vocab: DataFrame, counts: np.ndarray, least: float, n_rare: int) -> DataFrame:
+    """(k, p, n) of the words, the end of a text, and what is before it."""
+    share = (counts + 1.0) / (counts.sum() + len(counts))
+    n_docs, whole = int(counts[STOP]), float(counts.sum() + len(counts))
 
-def word_scores(texts: list[list[bytes]], symbols: dict[bytes, int], words: WordTree) -> np.ndarray:
-    """The word tree's part of each text's score: rare words count as the symbol RARE."""
-    ids = [word_ids(t, symbols) for t in texts]
-    lens = np.array([len(s) for s, _ in ids])
-    each = words.score(np.concatenate([s for s, _ in ids]), np.concatenate([m[1:] for _, m in ids]), np.concatenate([m[:-1] for _, m in ids]))
-    return np.add.reduceat(each, np.cumsum(lens) - lens)
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            keys = np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column("word").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(keys.view(np.int64)), "n": batch.column("n")})
+
+    ends = vocab.sparkSession.createDataFrame([(bytearray(BEFORE), n_docs), (bytearray(AFTER), n_docs)], "word binary, n long")
+    p = F.when(F.col("n") >= F.lit(least), (F.col("n") + 1) / whole).otherwise(F.lit(float(share[RARE])) * (F.col("n") - DISCOUNT) / max(n_rare, 1))
+    words = vocab.mapInArrow(run, "k long, n long").select("k", p.alias("p"), "n")
+    return words.unionByName(ends.mapInArrow(run, "k long, n long").select("k", F.lit(float(share[STOP])).alias("p"), "n"))
+
+
+def _terms(texts: list[list[bytes]], words: Words, bits: np.ndarray, hot: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The broadcast terms of each text's score, and the keys that have to be joined."""
+    x = words.read(texts)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    keys, of = [], []
+    for level in range(LEVELS):
+        some = np.flatnonzero(_in(bits, x.context[level]))
+        entry = x.entry[level][some]
+        listed = _in(bits, entry)
+        keys += [x.context[level][some], entry[listed]]
+        of += [text[some], text[some[listed]]]
+    keys, of = np.concatenate(keys), np.concatenate(of)
+    order = np.argsort(keys)
+    keys, of = keys[order], of[order]
+    at = np.searchsorted(hot, keys)
+    at[at == len(hot)] = 0
+    hit = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+    sums = np.bincount(of[hit], weights=weights[at[hit]], minlength=len(texts)) if hit.any() else np.zeros(len(texts))
+    keys, of = keys[~hit], of[~hit]
+    order = np.argsort(of, kind="stable")
+    return sums, np.split(keys[order].view(np.int64), np.searchsorted(of[order], np.arange(1, len(texts))))
 
 
 def score(docs: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
@@ -244,53 +339,53 @@ def score(docs: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
     counts = np.zeros(FIRST_WORD + len(often), np.int64)
     counts[FIRST_WORD:] = [-n for n, _ in often]
     counts[STOP], counts[RARE] = n_docs, (words or 0) - counts[FIRST_WORD:].sum()
-    word_tree = fit(docs, symbols, counts, parts)
-    shared = spark.sparkContext.broadcast((symbols, counts, word_tree))
-    n_rare, rare_kinds = int(counts[RARE]), distinct - len(often)
+    n_rare, rare_kinds, whole = int(counts[RARE]), distinct - len(often), float(counts.sum() + len(counts))
+    root = keep(root_table(vocab, counts, max(LEAST, WORD_SHARE * total), n_rare), "root")
+    terms = grow(docs, root, parts)
+    common = terms.where(F.col("n") >= F.lit(max(1.0, HOT_SHARE * total))).select("k", "w").toArrow()
+    hot, weights = common.column("k").to_numpy().view(np.uint64), common.column("w").to_numpy()
+    order = np.argsort(hot)
+    shared = spark.sparkContext.broadcast((symbols, counts, bitmap(terms), hot[order], weights[order]))
 
     def key(i: object, t: bytes) -> int:
         return xxhash.xxh64_intdigest(t, seed=zlib.crc32(str(i).encode())) - (1 << 63)
 
     def summaries(batches):
-        symbols, counts, words = shared.value
-        known = {w: float(np.log10(counts[s] + 1)) for w, s in symbols.items()}
-        end = float(np.log10(n_docs + 1))
+        symbols, counts, bits, hot, weights = shared.value
+        known = {w: (float(np.log10(counts[s] + 1)), float(np.log10((counts[s] + 1) / whole))) for w, s in symbols.items()}
+        end, stop, rare = float(np.log10(n_docs + 1)), float(np.log10((counts[STOP] + 1) / whole)), float(np.log10((counts[RARE] + 1) / whole))
+        numbers = Words()
         for batch in slices(batches):
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch)
             split = [tokens(t) for t in texts]
             log = [[known[w] for w in ws if w in known] for ws in split]
+            seldom = [Counter(w for w in ws if w not in known) for ws in split]
+            sums, cold = _terms(split, numbers, bits, hot, weights)
+            score = [s + stop + sum(p for _, p in x) + rare * (len(ws) - len(x)) for s, x, ws in zip(sums.tolist(), log, split, strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "key": pa.array([key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64()), "held_out": pa.array([is_held_out(i, parts) for i in ids], pa.bool_()),
                 "n_tokens": pa.array([len(ws) + 1 for ws in split], pa.int64()), "hot_known": pa.array([len(x) + (n_docs > 0) for x in log], pa.int64()),
-                "hot_log": pa.array([sum(x) + end for x in log], pa.float64()), "score": pa.array(word_scores(split, symbols, words), pa.float64()),
+                "hot_log": pa.array([sum(c for c, _ in x) + end for x in log], pa.float64()), "score": pa.array(score, pa.float64()),
+                "words": pa.array([list(x.items()) for x in seldom], pa.map_(pa.binary(), pa.int32())), "cold": pa.array(cold, pa.list_(pa.int64())),
             })
 
-    def rare(batches):
-        symbols = shared.value[0]
-        for batch in slices(batches):
-            keys, words, n = [], [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True):
-                found = Counter(w for w in tokens(t) if w not in symbols)
-                keys += [key(i, t)] * len(found)
-                words += found.keys()
-                n += found.values()
-            if keys:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "word": pa.array(words, pa.binary()), "tf": pa.array(n, pa.int32())})
-
     ids = docs.schema["doc_id"].dataType.simpleString()
-    head = keep(docs.mapInArrow(summaries, f"doc_id {ids}, key long, held_out boolean, n_tokens long, hot_known long, hot_log double, score double"), "scores")
+    head = keep(docs.mapInArrow(summaries, f"doc_id {ids}, key long, held_out boolean, n_tokens long, hot_known long, hot_log double, score double, words map<binary,int>, cold array<bigint>"), "scores")
     # Among rare words: a word's own count less the discount; what was discounted is for the words that training lacks.
     seen, free = F.coalesce("n", F.lit(0)), (DISCOUNT * rare_kinds / n_rare if n_rare else 1.0)
     among = F.when(seen > 0, F.log10((F.greatest(seen, F.lit(1)) - DISCOUNT) / max(n_rare, 1))).otherwise(F.lit(float(np.log10(free))))
-    joined = docs.mapInArrow(rare, "key long, word binary, tf int").join(vocab, "word", "left").groupBy("key").agg(
+    joined = head.select("key", F.explode("words").alias("word", "tf")).join(vocab, "word", "left").groupBy("key").agg(
         F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10(seen + 1)).alias("log"), F.sum(F.col("tf") * among).alias("rare"))
     # Rows alike in id and text share a key, and so their sums; each gets its part.
     copies = head.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     part = F.coalesce("copies", F.lit(1))
     sums = joined.join(copies, "key", "left").select("key", (F.col("known") / part).cast("long").alias("known"), (F.col("log") / part).alias("log"), (F.col("rare") / part).alias("rare"))
-    return head.join(sums, "key", "left").select(
+    # Every copy of a row gives the same keys, so a sum over them is shared out as well.
+    more = head.select("key", F.explode("cold").alias("k")).groupBy("key", "k").agg(F.count("*").alias("tf")).join(terms.select("k", "w"), "k").groupBy("key").agg(F.sum(F.col("tf") * F.col("w")).alias("more"))
+    more = more.join(copies, "key", "left").select("key", (F.col("more") / part).alias("more"))
+    return head.join(sums, "key", "left").join(more, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
+        (F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
