@@ -240,6 +240,23 @@ def test_html_templates_go_and_articles_stay(spark):
     assert (text[200], text[201], text[202]) == ("no url", "", "") and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_boxes_of_layouts_go(spark):
+    words = [f"{a}{b}" for a in ("ra", "to", "mi", "ke") for b in ("lon", "sip", "dar", "vun")]
+    own = lambda i: " ".join(words[(i * k + k) % 16] for k in range(2, 14)) + f" number {i}"
+    rows, want = [], {}
+    for i in range(40):
+        box = ("Join the club today", "Opening hours nine to five", None, None)[i % 4]  # each on a quarter of the pages
+        side = f"<div><div>{box}</div></div>" if box else f"<div>Aside {i} of its own</div>"
+        text = f"{own(i)} is <b>{'not' if i % 3 == 1 else f'number {i}'}</b> late"
+        rows.append((i, f"http://h.example.com/{i}", f"<body><div>{text}</div>{side}</body>" if i % 3 else f"<body>{side}<article><div>{text}</div></article></body>"))
+        want[i] = text.replace("<b>", "").replace("</b>", "") + ("" if box or not i % 3 else f"\nAside {i} of its own")
+    # A text that is most of its page stays, though six pages differ only in a line under it; so does a bold word on a few pages.
+    rows += [(100 + i, f"http://h.example.com/c{i}", f"<body><div>{own(77)}</div><div>Seen {i}</div></body>") for i in range(6)]
+    want |= {100 + i: f"{own(77)}\nSeen {i}" for i in range(6)}
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_html_of_the_table(spark):
     import html as entities
     import re

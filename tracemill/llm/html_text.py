@@ -2,7 +2,9 @@
 
 Pages are parsed into element trees; subtrees that may be furniture are hashed and counted per host in Spark, over pages with
 different main texts (so that copies of one page make nothing a template), and subtrees that recur on many pages of their host
-are deleted before the text is taken. Elements that are furniture by their own name, role or class go as well. Text blocks
+are deleted before the text is taken. For boxes, which hold half of their page's text at most, the number of such pages alone
+decides, so that each of a host's layouts has its own; what may be running text (an inline element, a cell, a list) or the greater
+part of a page must be on a share of the host's pages as well. Elements that are furniture by their own name, role or class go as well. Text blocks
 of an article (paragraphs, headings, lists, tables) are never treated as templates, however often they recur.
 
 Defined results: null or empty html, and pages of furniture alone, give an empty text; pages without a host in their url take
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, slices, table
 
-#: A subtree is a template of its host if it is on so many different pages at least, and on this share of them.
+#: A subtree is a template of its host if it is on so many different pages at least; if it is no box, on this share of them as well.
 MIN_PAGES, MIN_SHARE = 5, 0.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -194,11 +196,11 @@ def blocks(found: list[Node], templates: frozenset[int] | set[int]) -> list[str]
     return out
 
 
-def candidates(found: list[Node]) -> tuple[list[int], int]:
-    """Hashes of the subtrees that may be templates, and a mark of the page's text outside named furniture, which copies share."""
+def candidates(found: list[Node]) -> tuple[list[int], list[bool], int]:
+    """Hashes of the subtrees that may be templates, which of them are boxes, and a mark of the page's text outside named furniture, which copies share."""
     import xxhash
 
-    hashes, mark = set(), xxhash.xxh64_intdigest("\n".join(blocks(found, set())).encode("utf-8", "replace")) - (1 << 63)
+    hashes, whole, mark = {}, sum(root.chars for root in found), xxhash.xxh64_intdigest("\n".join(blocks(found, set())).encode("utf-8", "replace")) - (1 << 63)
     for root in found:
         inside = root.tag != "#"
         stack = [root]
@@ -208,9 +210,9 @@ def candidates(found: list[Node]) -> tuple[list[int], int]:
                 if furniture(x, inside):
                     continue
                 if x.chars and x.tag not in _SAFE and not (inside and x.tag in _TEXT_BLOCKS) and not x.root:
-                    hashes.add(x.hash)
+                    hashes[x.hash] = hashes.get(x.hash, True) and x.tag not in _TEXT_BLOCKS and 2 * x.chars <= whole
             stack += [k for k in x.kids if not isinstance(k, str)]
-    return sorted(hashes), mark
+    return list(hashes), list(hashes.values()), mark
 
 
 def extract(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -221,14 +223,14 @@ def extract(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float =
     def gather(batches):
         for batch in slices(batches, "html"):
             got = [candidates(roots(parse(x or ""))) for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"page": batch.column("page"), "host": batch.column("host"), "hashes": pa.array([g[0] for g in got], pa.list_(pa.int64())), "mark": pa.array([g[1] for g in got], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"page": batch.column("page"), "host": batch.column("host"), "hashes": pa.array([g[0] for g in got], pa.list_(pa.int64())), "boxes": pa.array([g[1] for g in got], pa.list_(pa.bool_())), "mark": pa.array([g[2] for g in got], pa.int64())})
 
-    seen = src.where((host != "") & host.isNotNull()).select("page", host.alias("host"), "html").mapInArrow(gather, "page long, host string, hashes array<bigint>, mark long")
+    seen = src.where((host != "") & host.isNotNull()).select("page", host.alias("host"), "html").mapInArrow(gather, "page long, host string, hashes array<bigint>, boxes array<boolean>, mark long")
     seen = keep(seen.where(F.size("hashes") > 0), "page-trees")
-    each = seen.select("page", "host", "mark", F.explode("hashes").alias("hash"))
-    recurring = each.groupBy("host", "hash", "mark").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    each = seen.select("page", "host", "mark", F.explode(F.arrays_zip("hashes", "boxes")).alias("x")).select("page", "host", "mark", F.col("x.hashes").alias("hash"), F.col("x.boxes").alias("box"))
+    recurring = each.groupBy("host", "hash", "mark").agg(F.min("box").alias("box")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("box").alias("box")).where(F.col("n") >= min_pages)
     per_host = seen.groupBy("host", "mark").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
-    templates = recurring.join(per_host, "host").where(F.col("n") >= min_share * F.col("of")).select("host", "hash")
+    templates = recurring.join(per_host, "host").where(F.col("box") | (F.col("n") >= min_share * F.col("of"))).select("host", "hash")
     drops = keep(each.select("page", "host", "hash").distinct().join(templates, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("templates")), "page-templates")
 
     def run(batches):
