@@ -200,6 +200,16 @@ def test_toxicity_restores_disguised_words():
     assert "idiot" in r.words("you i d i o t there")
 
 
+def test_toxicity_restores_long_and_joined_disguises():
+    r = toxicity.Reader(toxicity.Letters(dict.fromkeys(["you", "are", "an", "idiot", "moron", "table", "the", "hello", "other"], 50)))
+    assert r.word("idi" + "o" * 64 + "t") == "idiot" and r.word("m" + "o" * 30_000 + "ron") == "moron"
+    for text in ("you i d i o t.", "i d i o t, go", "(i d i o t)", "so: i.d.i.o.t!"):
+        assert "idiot" in r.words(text), text
+    assert {"you", "idiot"} <= r.words("y o u i d i o t")
+    long = " ".join("youareanidiot" * 40)
+    assert {"you", "are", "an", "idiot"} <= r.words(long)
+
+
 def test_toxicity_held_out(spark):
     bad, rows, labels = ["idiot", "moron", "loser"], [], []
     rng = np.random.default_rng(3)
