@@ -84,6 +84,14 @@ def test_family_bounds_lose_no_link(spark, monkeypatch):
     assert links and links <= kept
 
 
+def test_pipeline_stage_links_from_eighty_percent(spark):
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    copy = lambda n: " ".join(base[: 104 - n] + [f"x{n}-{i}" for i in range(n)])  # noqa: E731  100 - n of 100 + n are common
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, copy(10)), (3, copy(14)), (4, None)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {1, 3, 4}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -3,7 +3,8 @@
 A text's set is its distinct 5-word shingles, hashed once. Texts with equal sets are one class from the start (by a fingerprint of
 the set), so copies are never compared. Of each class the ``POOL`` smallest hashes are its sketch. Retained values are put into
 inverted lists: the ``INDEX`` smallest that are not frequent, and for classes whose sketch is frequent to a large part the ``INDEX``
-smallest altogether as well. Two sets with similarity 0.85 miss each other in all lists with a chance of 0.15 ** INDEX (1e-10).
+smallest altogether as well. Two sets with similarity 0.85 miss each other in all lists with a chance of 0.15 ** INDEX (1e-10), at
+0.8 of 0.2 ** INDEX (4e-9).
 
 Lists generate candidates in two rounds, so that no list is expanded into all its pairs:
 
@@ -12,8 +13,8 @@ Lists generate candidates in two rounds, so that no list is expanded into all it
    outside the largest component (so the pairs grow with the list's length), else only those that exact lower bounds of their
    distance leave open (see ``family_pairs``).
 
-The sketch of the union of both sets filters candidates (a pair at the threshold fails with a chance of about 1e-10 or less), and the
-full sets confirm each link. Components come from alternating large-star and small-star steps over written tables.
+The sketch of the union of both sets filters candidates (a pair at the threshold fails with a chance of about 1e-10 or less at 0.85,
+2e-08 at 0.8), and the full sets confirm each link. Components come from alternating large-star and small-star steps over written tables.
 
 Defined results: null or empty texts have an empty set and stay alone; rows with the same doc_id are one document; a row without
 doc_id is never linked to others by itself (its component is that of an equal set, else null) and is kept; other columns are ignored.
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import as_bytes, keep, slices, table
 
 SHINGLE = 5
-#: 100 * intersection >= PERCENT * union
-PERCENT = 85
+#: 100 * intersection >= percent * union: by the contract of the op9 query, and for stages, which have no contract of their own.
+PERCENT, STAGE_PERCENT = 85, 80
 POOL, INDEX = 64, 12
 #: A value in more sketches than this is frequent; a sketch needs so many other values to do without its frequent ones: of POOL values
-#: at most 15 % are expected to be missing in a similar set, so that all of these are missing has a chance of 1e-9.
+#: at most 15 % are expected to be missing in a similar set (20 % at 0.8), so that all of these are missing has a chance of 2e-09 (1e-06).
 FREQUENT, ENOUGH = 64, 30
 #: Members outside a list's largest component that are paired with the whole list; with more, bounds of the distance come first.
 FEW = 16
@@ -111,38 +112,38 @@ def _pair(a: Column, b: Column, na: Column, nb: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.least(na, nb).alias("small"), F.greatest(na, nb).alias("large")]
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     """The size bound: the intersection is the smaller set at most, the union the larger at least."""
-    return pairs.where((F.col("a") != F.col("b")) & (100 * F.col("small") >= PERCENT * F.col("large"))).select("a", "b").distinct()
+    return pairs.where((F.col("a") != F.col("b")) & (100 * F.col("small") >= percent * F.col("large"))).select("a", "b").distinct()
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
+def star_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     me = F.struct("rep", "n")
     pivots = lists.groupBy("value").agg(F.min(me).alias("p"), F.max(me).alias("q"), F.min_by(me, F.xxhash64("rep", F.pmod("value", F.lit(3)))).alias("r"))
     each = lists.join(pivots, "value").select("rep", "n", F.explode(F.array("p", "q", "r")).alias("p"))
-    return _possible(each.select(*_pair(F.col("rep"), F.col("p.rep"), F.col("n"), F.col("p.n"))))
+    return _possible(each.select(*_pair(F.col("rep"), F.col("p.rep"), F.col("n"), F.col("p.n"))), percent)
 
 
-def cross_pairs(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def cross_pairs(lists: DataFrame, labels: DataFrame, docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs of one list that are in different components; what is in a list's largest component is not paired within it."""
     here = keep(lists.join(labels, "rep", "left").select("value", "rep", "n", F.coalesce("component", "rep").alias("component")), "list-components")
     parts = here.groupBy("value", "component").agg(F.count("*").alias("c"))
     main = parts.groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("outside"))
     main = keep(main.where("parts > 1").select("value", "main", "outside"), "list-mains")
     rest = here.join(main.where(F.col("outside") <= FEW), "value").where(F.col("component") != F.col("main")).select("value", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), "main")
-    both = rest.join(here, "value").where((F.col("component") != F.col("yc")) & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("y"))) & (100 * F.least("n", "yn") >= PERCENT * F.greatest("n", "yn")))
+    both = rest.join(here, "value").where((F.col("component") != F.col("yc")) & ((F.col("component") == F.col("main")) | (F.col("rep") > F.col("y"))) & (100 * F.least("n", "yn") >= percent * F.greatest("n", "yn")))
     close = both.select(*_pair(F.col("rep"), F.col("y"), F.col("n"), F.col("yn")))
     members = keep(here.join(main.where(F.col("outside") > FEW), "value").select(F.col("main").alias("family"), "rep", "n", "component").distinct(), "families")
-    return _possible(close if members.isEmpty() else close.unionByName(family_pairs(members, docs, width)))
+    return _possible(close if members.isEmpty() else close.unionByName(family_pairs(members, docs, width, **({} if percent == PERCENT else {"percent": percent}))), percent)
 
 
-def family_pairs(members: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def family_pairs(members: DataFrame, docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs of a family's members in different components that the distances to one pivot leave open; no link is ruled out.
 
     ``members``: family (the component that is the largest in a list, and its smallest member, the pivot), rep, n, component. With u
     the values of a set that only its own component holds and x the distance of its other values from those of the pivot (values in
     just one of the two), sets A and B of different components differ in uA + uB + |xA - xB| values or more, and linked ones in
-    (100 - PERCENT) / (100 + PERCENT) of nA + nB at most. So A needs a B with a large enough x - u: a set that the family's largest
+    (100 - percent) / (100 + percent) of nA + nB at most. So A needs a B with a large enough x - u: a set that the family's largest
     x - u does not reach is alone, and others meet only sets from that value on, by slots of x - u.
     """
     pivots = members.select(F.col("family").alias("rep"), F.col("family").alias("component"))
@@ -158,7 +159,7 @@ def family_pairs(members: DataFrame, docs: DataFrame, width: int = SHINGLE) -> D
     u = F.col("n") - F.size("shared")
     placed = keep(both.select("family", "rep", "n", "component", (u + x).alias("far"), (x - u).alias("slack")), "placed")
 
-    least = F.floor(F.col("far") - (100 - PERCENT) / (100 + PERCENT) * (1 + 100 / PERCENT) * F.col("n"))  # the slack that a partner must have
+    least = F.floor(F.col("far") - (100 - percent) / (100 + percent) * (1 + 100 / percent) * F.col("n"))  # the slack that a partner must have
     placed = placed.withColumn("least", least)
     ends = placed.groupBy("family").agg(F.max("slack").alias("top"), F.min("least").alias("low"))
     step = F.greatest(F.lit(1), F.ceil((F.col("top") - F.col("low") + 1) / SLOTS))
@@ -166,7 +167,7 @@ def family_pairs(members: DataFrame, docs: DataFrame, width: int = SHINGLE) -> D
     slot = lambda value: F.least(F.lit(SLOTS - 1), F.floor((F.col("top") - F.col(value)) / F.col("step"))).cast("int")
     seek = alive.where("component <> family").select("family", "rep", "n", "component", "far", "slack", F.explode(F.sequence(F.lit(0), slot("least"))).alias("slot"))
     find = alive.select("family", slot("slack").alias("slot"), *[F.col(c).alias(f"y_{c}") for c in ("rep", "n", "component", "far", "slack")])
-    near = lambda far, slack: (100 + PERCENT) * (F.col(far) - F.col(slack)) <= (100 - PERCENT) * (F.col("n") + F.col("y_n"))
+    near = lambda far, slack: (100 + percent) * (F.col(far) - F.col(slack)) <= (100 - percent) * (F.col("n") + F.col("y_n"))
     open_ = (F.col("component") != F.col("y_component")) & ((F.col("y_component") == F.col("family")) | (F.col("rep") > F.col("y_rep"))) & near("far", "y_slack") & near("y_far", "slack")
     return seek.join(find, ["family", "slot"]).where(open_).select(*_pair(F.col("rep"), F.col("y_rep"), F.col("n"), F.col("y_n")))
 
@@ -192,7 +193,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = SHINGLE) -> DataFram
     return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, f"rep {kind}, set array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
     found = keep(full_sets(docs, ids, width), "sets")
@@ -203,7 +204,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFr
             ok = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 both = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(x.values) + len(y.values) - both))
+                ok.append(100 * both >= percent * (len(x.values) + len(y.values) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda name: found.select(F.col("rep").alias(name), F.col("set").alias(f"s{name}"))
@@ -235,19 +236,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("component").alias("rep"), "component").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, width: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     each = keep(sketches(docs, width), "sketches")
     classes = each.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("pool").alias("pool"))
     classes = keep(classes, "classes")
     reps = classes.select("rep", "n", "pool")
     lists = keep(inverted_lists(reps), "lists")
-    first = keep(likely(star_pairs(lists), reps), "pairs")
-    linked = components(confirmed(first, docs, width))
+    first = keep(likely(star_pairs(lists, percent), reps), "pairs")
+    linked = components(confirmed(first, docs, width, percent))
     labels = keep(linked, "components")
-    second = keep(likely(cross_pairs(lists, labels, docs, width).join(first, ["a", "b"], "left_anti"), reps), "more-pairs")
+    second = keep(likely(cross_pairs(lists, labels, docs, width, percent).join(first, ["a", "b"], "left_anti"), reps), "more-pairs")
     if not second.isEmpty():
-        more = confirmed(second, docs, width)
+        more = confirmed(second, docs, width, percent)
         labels = keep(components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)), "components")
     final = classes.select("mark", "rep").join(labels, "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
     out = each.select("doc_id", "n_shingles", "mark").join(keep(final, "class-components"), "mark", "left")
@@ -255,14 +256,14 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, *, percent: int = STAGE_PERCENT) -> DataFrame:
     """One document of each group, with all its columns."""
-    found = keep(near_duplicates(docs), "groups")
+    found = keep(near_duplicates(docs, percent=percent), "groups")
     gone = keep(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT)
 
 
