@@ -177,6 +177,17 @@ def test_packing_is_whole_and_tight(spark, documents, odd, tokenizer):
     assert len(by_seq) <= -(-sum(r.length for r in got) // 1024) * 1.02 + 1
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000, "a" * 5_000_000, "中" * 1_700_000, "\n" * 1_000_000 + "x " * 500_000, "one <|endoftext|>" + " " * 1_000_000 + "two"], ids=["blanks", "letter", "cjk", "mixed", "special"])
+def test_packing_takes_very_long_runs(text, tokenizer):
+    assert packing.encode(text, P.path("byte_bpe_50k.json"), P.PATTERN) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1])
+def test_packing_ids_are_the_same_on_both_ways(n, tokenizer):
+    for text in ("a " * 9 + " " * n + "b", "x" * n + " <|endoftext|> y", "é" * n + "\n\n" + "  z"):
+        assert packing.encode(text, P.path("byte_bpe_50k.json"), P.PATTERN) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_places_each_piece_once(seed):
     rng = np.random.default_rng(seed)

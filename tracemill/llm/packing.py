@@ -7,13 +7,15 @@ space are interchangeable, so a plan row moves a whole range of sequences at onc
 within length: the count of that length in earlier tasks (a small table, joined by task and length) plus the number in the task.
 
 Defined results: null and empty texts give one piece, the end id alone; repeated rows are packed each; an empty table gives no
-rows. Documents over the capacity are cut so that only the first piece may be shorter.
+rows; only doc_id and text are read, whatever other columns are called. Documents over the capacity are cut so that only the first
+piece may be shorter. Very long texts and runs take time in proportion to their length and are held in memory one at a time.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import defaultdict
 
@@ -27,6 +29,9 @@ from .token_counts import byte_symbols
 
 CAPACITY = 1024
 END_ID = 2
+#: Characters of white space, or of none, in a row.
+LONG_RUN = 5_000
+_LONG = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,7 +47,17 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), special
 
 
+@functools.lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def encode(text: str, path: str, pattern: str) -> list[int]:
+    """Ids of a text. One with a long run takes the library itself, whose scanner needs no stack for it; the ids are the same both ways."""
+    if len(text) >= LONG_RUN and _LONG.search(text):
+        return library(path).encode(text, add_special_tokens=False).ids
     enc, special = encoder(path, pattern)
     return enc.encode(text, allowed_special="all") if any(s in text for s in special) else enc.encode_ordinary(text)
 
