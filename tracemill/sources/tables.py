@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Removes a write's shuffle files when it has ended: what was written is read back, never computed again.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the whole cluster shares; an own one only where none is configured, as in tests."""
+    """The folder that the whole cluster shares; an own one only in local mode and where none is configured, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,9 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a cut lineage that outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, was = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(CLEAN_UP, None)
+    try:
+        if was is not None:
+            spark.conf.set(CLEAN_UP, "true")
+        df.write.parquet(path)
+    finally:
+        if was is not None:
+            spark.conf.set(CLEAN_UP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialised`` that nothing reads any more. What a returned result still reads stays in the shared folder."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
