@@ -225,3 +225,23 @@ def test_licenses(spark, documents, odd):
     got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert order((r.doc_id, sorted((x.license, round(x.dice, 9)) for x in r.found)) for r in got) == order((i, brute(t)) for i, t in texts)
     assert {r.doc_id: [x.license for x in r.found] for r in got}[400] == ["MIT"]
+
+
+def test_secrets_in_long_texts_and_clashing_columns(spark):
+    import time
+
+    many = " ".join(f"{i:024x} token=abc{i:07d}," for i in range(100_000))
+    dump = " ".join(["k" + "Zx9Qm2Lr7Tb4Vn8Wc5Kd1", "0" * 20 + "abcdef0123456789"] * 2_000)
+    df = spark.createDataFrame([(1, many, 1), (2, dump, 2), (3, None, 3), (4, "x", 4)], "doc_id long, text string, n_chars int").selectExpr("*", "'b' as base", "doc_id as added", "'t' as t", "'r' as row", "text as spans", "1 as _t", "2 as assign")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(df.select("doc_id", "text")).collect()}
+    assert len(got[1].base) == 200_000 and time.time() - began < 30
+    assert [(x.start, x.ord, x.end, x.kind) for x in got[1].base] == brute_secrets(many)
+    assert [(x.start, x.ord, x.end, x.kind) for x in got[2].added] == list(brute_added(dump, brute_secrets(dump)))
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        assert (r.base, r.added, r.t, r.row, r._t, r["assign"]) == ("b", r.doc_id, "t", "r", 1, 2)
+        if r.doc_id == 1:
+            assert r.text == "[SECRET] [SECRET], " * 99_999 + "[SECRET] [SECRET]," and r.n_chars == len(r.text)
+    assert secrets.redact(df.limit(0)).count() == secrets.find_secrets(df.limit(0)).count() == 0

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.tables import discard, materialised as keep, read_table as table
+
+__all__ = ["SLICE_BYTES", "apart", "as_bytes", "discard", "keep", "let", "running", "slices", "table"]
 
 #: Text handled at a time inside a Python task, in bytes; bounds the worker's memory whatever the batch size.
 SLICE_BYTES = 2_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def apart(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns as one struct ``row`` beside ``more``, so that no name of theirs meets a name of an operator's own."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(x), body), 0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is configured (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def running(values: Column, op: Callable[[Column, Column], Column], neutral: int) -> Column:
+    """``op`` over each beginning of a long array, by doubling distances: n log n steps, and no array is built up element by element."""
 
+    def run(v: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(v), F.lit(2)).cast("double"))).cast("int") - 1)
+        step = lambda acc, j: F.transform(acc, lambda x, i: op(x, F.coalesce(F.get(acc, i - F.pow(F.lit(2), j).cast("int")), F.lit(neutral).cast("long"))))
+        return F.aggregate(rounds, v, step)
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return let(values.cast("array<bigint>"), run)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
