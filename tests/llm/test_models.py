@@ -117,90 +117,91 @@ def test_lm_base_is_exact_and_model_is_better(spark, documents, odd):
     assert suffix_tree_lm.score(odd.limit(0)).count() == 0
 
 
-def test_word_tree_distributions_sum_to_one():
-    rng = np.random.default_rng(0)
-    root = np.array([0, 0, 9, 30, *([0] * 251), *rng.integers(5, 90, 20)], float)
-    first = suffix_tree_lm.FIRST_WORD
-    rows = []
-    for ctx in range(first, first + 5):
-        counts = {int(s): int(n) for s, n in zip(rng.integers(first, first + 20, 6), rng.integers(1, 80, 6), strict=True)}
-        rows += [(1, ctx, s, n) for s, n in counts.items()] + [(1, ctx, -1, sum(counts.values()))]
-    tree = suffix_tree_lm.WordTree(rows, root)
-    for ctx in (first, first + 3, first + 19):
-        k = len(root)
-        p = 10 ** tree.score(np.arange(k), np.full(k, ctx), np.zeros(k, int))
-        assert abs(p.sum() - 1) < 1e-3
-
-
 def brute_tree_scores(texts, new):
-    """log10 scores of ``new`` by a tree of nested counts, without shares, joins or bitmaps."""
+    """log10 scores of ``new`` by a tree of nested counts, without hashes, ranges, joins or bitmaps; and the retained contexts."""
     lm = suffix_tree_lm
-    counts = Counter(w for t in texts for w in t.split())
-    often = {w for w, n in counts.items() if n >= lm.LEAST}
-    total, rare = sum(counts.values()) + len(texts), sum(n for w, n in counts.items() if w not in often)
-    whole, kinds = total + lm.FIRST_WORD + len(often), len(counts) - len(often)
-
-    def root(w):
-        if w is None or w in often:
-            return ((len(texts) if w is None else counts[w]) + 1) / whole
-        return (rare + 1) / whole * ((counts[w] - lm.DISCOUNT) / rare if w in counts else lm.DISCOUNT * kinds / rare)
-
-    def chain(t):
-        w = t.split()
-        for k, x in enumerate([*w, None]):
-            past = ["^", *w[:k]]
-            yield x, [("end", past[-1][-3:]), *[tuple(past[-d:]) for d in (1, 2, 3) if d <= len(past)]]
-
-    seen, up = defaultdict(Counter), {}
+    counts = Counter(w for t in texts for w in [*t.split(), None])
+    total = sum(counts.values())
+    seen = defaultdict(Counter)
     for t in texts:
-        for x, cs in chain(t):
-            for above, c in zip([None, *cs], cs, strict=False):
-                seen[c][x] += 1
-                up[c] = above
+        w = ["^", *t.split()]
+        for k, x in enumerate([*w[1:], None], 1):
+            for d in range(1, k + 1):
+                seen[tuple(w[k - d : k])][x] += 1
+
+    def root(x):
+        return (counts[x] - lm.DISCOUNT) / total if x in counts else lm.DISCOUNT * len(counts) / total
+
     stays = {}
 
     def p(c, x):
-        if c is None:
+        if not c:
             return root(x)
-        n = sum(seen[c].values())
-        if n < lm.LEAST:
-            return p(up[c], x) if c in up else None
-        own = lambda y: max(seen[c][y] - lm.DISCOUNT, 0) / n + lm.DISCOUNT * len(seen[c]) / n * p(up[c], y)
         if c not in stays:
-            stays[c] = sum(k * math.log(own(y) / p(up[c], y)) for y, k in seen[c].items()) > lm.MIN_GAIN
-        return own(x) if stays[c] else p(up[c], x)
-
-    return [sum(math.log10(p(next((c for c in reversed(cs) if c in up), None), x)) for x, cs in chain(t)) for t in new], stays
+            return p(c[1:], x)
+        return own(c, x)
 
-
-def test_tree_keeps_seldom_and_deep_contexts(spark, monkeypatch):
+    def own(c, x):
+        n = sum(seen[c].values())
+        shown = {y: k for y, k in seen[c].items() if k >= lm.CUT}
+        free = 1 - sum(k - lm.DISCOUNT for k in shown.values()) / n
+        return ((shown[x] - lm.DISCOUNT) / n if x in shown else 0) + free * p(c[1:], x)
+
+    tried, depth = [c for c in list(seen) if len(c) == 1 and sum(seen[c].values()) >= lm.LEAST], 1
+    while tried:
+        fresh = []
+        for c in tried:
+            gain = sum(k * math.log(own(c, x) / p(c[1:], x)) for x, k in seen[c].items())
+            if gain > lm.MIN_GAIN and max(seen[c].values()) >= lm.CUT:
+                fresh.append(c)
+        stays |= dict.fromkeys(fresh, True)
+        tried = [(*c, x) for c in tried for x, k in seen[c].items() if k >= max(lm.LEAST, lm.CUT) and x is not None and (*c[1:], x) in stays and (len(c) == 1 or c[1:] in stays)]
+    return [sum(math.log10(p(tuple(w[:k]), x) if (w := ["^", *t.split()]) else 0) for k, x in enumerate([*t.split(), None], 1)) for t in new], stays
+
+
+def test_tree_grows_by_evidence_and_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(40)]
     texts = []
     for i in range(900):
         w = list(rng.choice(words, 60))
         if i % 180 == 2:
-            w[10:12] = ["seldom", "follower"]  # five times, below a ten-thousandth of the tokens
-        if i % 9 == 3:
-            w[10] = "random"  # the same ending
+            w[10:12] = ["seldom", "follower"]  # five times
         if i % 10 == 0:
-            w[20:24] = ["w1", "w2", "w3", "deep"]
+            w[20:25] = ["w1", "w2", "w3", "w5", "deep"]
         if i % 10 == 1:
-            w[20:24] = ["w4", "w2", "w3", "other"]
+            w[20:25] = ["w4", "w2", "w3", "w5", "other"]
         texts.append(" ".join(w))
     texts[0] += " once"
     ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 != 2][:900]
-    held = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
-    new = ["w9 seldom follower w7", "w1 w2 w3 deep", "w4 w2 w3 other w5 unseen", "seldom w1"]
+    held = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    new = ["w9 seldom follower w7", "w1 w2 w3 w5 deep", "w4 w2 w3 w5 other w5 unseen", "seldom w1", ""]
     rows = [*zip(ids, texts, strict=True), *zip(held, new, strict=True)]
     want, stays = brute_tree_scores(texts, new)
-    assert stays["seldom",] and stays["w1", "w2", "w3"]
-    for share in (suffix_tree_lm.HOT_SHARE, 1.0):  # all terms broadcast, all joined
+    assert stays["seldom",] and stays["w1", "w2", "w3", "w5"] and stays["w4", "w2", "w3", "w5"]
+    docs = spark.createDataFrame([*rows, rows[-2]], "doc_id long, text string").selectExpr("*", "1 as row", "'x' as part", "2 as task").repartition(3)
+    for share in (suffix_tree_lm.HOT_SHARE, 1.0):  # all terms broadcast, all looked up
         monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
-        got = {r.doc_id: r.score for r in suffix_tree_lm.score(spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string")).collect()}
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, parts=8).collect()}
         assert np.allclose([got[i] for i in held], want, rtol=1e-9)
 
 
+def test_tree_probabilities_sum_to_one(spark):
+    texts = ["a b c a b d"] * 6 + ["b a c"] * 5 + ["a a b"] * 4
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 7 == 2]
+    ends = ["", "a", "b", "c", "d", "unseen"]
+    rows = [*zip(ids, texts, strict=True), *((h, f"a b {e}".strip()) for h, e in zip(held, ends, strict=False))]
+    got = {r.doc_id: r for r in suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), parts=8).collect()}
+    want, _ = brute_tree_scores(texts, [f"a b {e}".strip() for e in ends])
+    assert np.allclose([got[h].score for h in held[:6]], want)
+
+
+def test_tree_keys_come_back():
+    x = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)
+    assert (suffix_tree_lm._unmix(near_dedup._mix(x)) == x).all()
+
+
 def test_toxicity_restores_disguised_words():
     m = toxicity.Letters(dict.fromkeys(["idiot", "moron", "stupid", "loser", "table", "the", "hello", "other"], 50))
     r = toxicity.Reader(m)

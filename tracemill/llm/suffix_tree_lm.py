@@ -1,59 +1,69 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The contexts of a position form a chain: the ending of the word before, that word, the last two words, the last three. Every word
-is a symbol, however rare. A context stays by absolute evidence alone, so the tree grows with the corpus: it must be seen
-``LEAST`` times, and its next-word distribution must diverge from its longest retained suffix's by enough (count x Kullback-Leibler
-divergence, ``MIN_GAIN``). All next words of a retained context stay. Distributions are smoothed with the suffix's by absolute
-discounting. In the root, words below ``WORD_SHARE`` share the mass of the class RARE by their own discounted counts, and all words
-that training lacks are one symbol, as they are in the base score.
+A context is the last one, two, three or more words before a position. The tree grows level by level: contexts of d + 1 words are
+tried below the retained ones of d words, and growth ends when no context is left to try. A context is tried if it was seen ``LEAST``
+times; it stays if its next-word distribution diverges enough from its longest suffix's (count x Kullback-Leibler divergence above
+``MIN_GAIN``), so the tree follows the corpus in size and in depth. It lists the next words that it saw ``CUT`` times and takes the
+others from its suffix; distributions are smoothed with the suffix's by absolute discounting, and the root is the discounted word
+distribution, in which all words that training lacks are one symbol, as they are in the base score.
 
-The tree is a Spark table. The score of a position is the root's log probability plus one term for each retained context of its chain:
-what the context gives up to its suffix, and for a next word that it lists what that adds. So a text's score is a sum over keys
-(64-bit hashes of contexts, and of contexts with next words), to which the table is joined. Keys with ``HOT_SHARE`` of the tokens
-are broadcast instead, at most 2 / HOT_SHARE of them for each level; bitmaps of fixed size (only false hits, which the join or the counts
-then settle) keep keys and contexts that the table can't have out of the shuffles.
+The tree is a table of the shared folder. A position's score is the root's log probability plus one term for each retained context
+of its chain: what the context gives up to its suffix, and for a next word that it lists what that adds. So a text's score is a sum
+over keys (64-bit hashes of words, of contexts, and of contexts with next words). Keys with ``HOT_SHARE`` of the tokens are
+broadcast, at most 1 / HOT_SHARE of them for each level and kind; all others meet the tree by key. Bitmaps of fixed size only keep keys that the
+tree can't have out of the shuffles: a false hit is settled by the tables.
 
-The exact counts of rare words, for the base score and the root, are joined by word.
+Rows with one number each would cost more than the work on them, so tasks hand on sorted arrays, one for each range of keys
+(``parts`` of them, in proportion to the corpus): Spark shuffles the arrays by range, and a range's arrays are merged by numpy.
+
+Words are told apart by 64-bit hashes: of a billion distinct words two share one with a chance of 3 %; these would share their count.
 
 Defined results: a null or empty text is the end symbol alone; repeated rows each get their row; with no training rows the model is
-uniform and all counts are 0.
+uniform and all counts are 0; an empty table gives no rows; only doc_id and text are read, whatever other columns are called. A very
+long text is held in memory with its positions, some 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from collections import Counter
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keep, slices, table
-from .near_dedup import _mix
+from .common import as_bytes, discard, keep, slices, table
+from .near_dedup import _M1, _M2, _mix
 
-#: What is broadcast: words of the root and keys of the tree with such a share of the tokens.
-WORD_SHARE, HOT_SHARE = 2e-6, 1e-5
-#: A word seen less often is rare whatever its share, so that there are rare words to learn from; a context seen less often is none.
-LEAST = 4
-#: Contexts of a position: the ending of the last word, then one word to LEVELS - 1.
-LEVELS = 4
-#: log2 of the bits of a bitmap.
-BITS = 27
+#: Keys with such a share of the tokens are broadcast.
+HOT_SHARE = 1e-6
+#: Times that a context must be seen to be tried, and a next word to be listed.
+LEAST, CUT = 4, 2
 #: Nats (count x divergence) that a context must save to become a node of the tree.
-MIN_GAIN = 12.0
-#: What each next word's count gives up to the suffix's distribution.
+MIN_GAIN = 8.0
+#: What each listed word's count gives up to the suffix's distribution.
 DISCOUNT = 0.75
+#: log2 of the bits of a bitmap.
+BITS = 27
+#: Training tokens for each range of keys, and the fewest ranges.
+PART_TOKENS, LEAST_PARTS = 4_000_000, 64
 HELD = (7, 2)
-#: Symbols of the root: none, before a text, its end, a rare word; unused ones; then the words.
-BEGIN, STOP, RARE, FIRST_SUFFIX, SUFFIXES = 1, 2, 3, 4, 251
-FIRST_WORD = FIRST_SUFFIX + SUFFIXES
 #: Tokens before a text and after it; no word has white space.
 BEFORE, AFTER = b" ", b"\n"
-#: Rows that a task collects before it hands on partial counts.
-FLUSH = 3_000_000
+#: Keys that a task collects before it hands them on.
+FLUSH = 2_000_000
+
+ENTRY = np.dtype([("context", "<u8"), ("next", "<u8"), ("n", "<u4")])
+CONTEXT = np.dtype([("context", "<u8"), ("suffix", "<u8"), ("of", "<u8")])
+LISTED = np.dtype([("up", "<u8"), ("k", "<u8"), ("context", "<u8"), ("n", "<u8"), ("of", "<u8"), ("free", "<f8")])
+RATED = np.dtype([*LISTED.descr, ("above", "<f8"), ("own", "<f8")])
+TERM = np.dtype([("k", "<u8"), ("n", "<u8"), ("w", "<f8"), ("p", "<f8")])
+GROWTH = np.dtype([("suffix", "<u8"), ("k", "<u8"), ("n", "<u8")])
+LOOKUP = np.dtype([("k", "<u8"), ("row", "<u4")])
+SUMS = np.dtype([("row", "<u4"), ("known", "<u4"), ("log", "<f8"), ("score", "<f8")])
+_BLOBS = "kind string, part int, blob binary"
 
 
 def is_held_out(doc_id: object, parts: tuple[int, int] = HELD) -> bool:
@@ -64,62 +74,119 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``_mix``."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(int(_M2), -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(int(_M1), -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def digest(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def context_of(gram: np.ndarray, level: int) -> np.ndarray:
+    """Key of a context of ``level`` words: ``gram`` is its one word's hash, or the entry of its words before the last with the last."""
+    return _mix(gram + np.uint64(level))
+
+
+def entry_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(context ^ word)
+
+
 class Words(dict):
-    """Numbers of words, with the hashes of the words and of their endings."""
+    """Numbers of words, with the hashes of the words."""
 
     def __init__(self):
-        import xxhash
-
-        self.digest, self.hashes, self.endings = xxhash.xxh3_64_intdigest, array("Q"), array("Q")
+        self.hashes = array("Q")
 
     def __missing__(self, word: bytes) -> int:
-        self.hashes.append(self.digest(word))
-        self.endings.append(self.digest(word[-3:]))
+        self.hashes.append(digest(word))
         self[word] = n = len(self.hashes) - 1
         return n
 
-    def read(self, texts: list[list[bytes]]) -> Positions:
+    def read(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Hashes of the words of all texts, each with what is before and after it."""
         if len(self) > 500_000:
-            self.__init__()
             self.clear()
+            self.hashes = array("Q")
         get, ids = self.__getitem__, []
         for t in texts:
             ids.append(get(BEFORE))
             ids += map(get, t)
             ids.append(get(AFTER))
-        return Positions(np.array(ids, np.int64), np.array(self.hashes), np.array(self.endings), ids[0])
+        return np.array(self.hashes, np.uint64)[np.array(ids, np.int64)]
+
+
+def chain(h: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, entry) keys of all positions by level. A text's first position has garbage from its second level on, which no table has."""
+    gram = np.roll(h, 1)
+    for level in range(1, levels + 1):
+        context = context_of(gram, level)
+        entry = entry_of(context, h)
+        yield context, entry
+        gram = np.roll(entry, 1)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(44)) * np.uint64(parts) >> np.uint64(20)).astype(np.int64)
+
+
+def blobs(kind: str, rows: np.ndarray, by: str, parts: int) -> list[tuple[str, int, bytes]]:
+    """One array for each range of the column ``by``."""
+    part = part_of(rows[by], parts).astype(np.uint32)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(kind, p, rows[order[ends[p] : ends[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(ends)).tolist()]
+
+
+def _batch(rows: list[tuple]) -> pa.Table:
+    kinds, parts, data = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"kind": pa.array(kinds, pa.string()), "part": pa.array(parts, pa.int32()), "blob": pa.array(data, pa.binary())})
+
+
+def _array(t: pa.Table, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("blob").to_pylist()), dtype)
+
+
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``keys`` is, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-class Positions:
-    """Per word and text end: ``next`` (its hash), and by level ``context``, ``entry`` (context with next word) and ``gram`` (what the bitmap of contexts holds)."""
+def meet(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str = _BLOBS, by: str = "part") -> DataFrame:
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(f, schema)
 
-    def __init__(self, ids: np.ndarray, hashes: np.ndarray, endings: np.ndarray, before: int):
-        h, here = hashes[ids], ids != before
-        last = np.roll(h, 1)
-        self.next, self.context, self.entry, self.gram = h[here], [], [], []
-        gram = np.roll(endings[ids], 1)
-        for level in range(LEVELS):
-            context = _mix(gram + np.uint64(level + 1))
-            entry = _mix(context ^ h)
-            for to, x in ((self.context, context), (self.entry, entry), (self.gram, gram)):
-                to.append(x[here])
-            gram = last if level == 0 else np.roll(entry, 1)  # at a text's start a gram of no counted entry: no context
-        self.here = here
 
+def of_kind(df: DataFrame, kind: str) -> DataFrame:
+    return df.where(F.col("kind") == kind).select("part", "blob")
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """2 ** BITS bits, set where a key (column k) begins with these bits; parts of one 256th are made by the tasks."""
-    size = 1 << (BITS - 8)
 
-    def run(part: pa.Table) -> pa.Table:
-        k = part.column("k").to_numpy().view(np.uint64)
+def bitmap(df: DataFrame, dtype: np.dtype, column: str, parts: int) -> np.ndarray:
+    """2 ** BITS bits, set where a key begins with these bits; each range of keys makes its own."""
+    size = (1 << BITS) // parts
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = _array(t, dtype)[column]
         bits = np.zeros(size, np.uint8)
-        bits[((k >> np.uint64(64 - BITS)) & np.uint64(size - 1)).astype(np.int64)] = 1
-        return pa.table({"block": pa.array([int(k[0] >> np.uint64(56))], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        bits[((keys >> np.uint64(64 - BITS)) & np.uint64(size - 1)).astype(np.int64)] = 1
+        return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    out = np.zeros((256, size // 8), np.uint8)
-    for block, bits in keys.select("k").groupBy(F.shiftrightunsigned("k", 56)).applyInArrow(run, "block int, bits binary").toLocalIterator():
-        out[block] = np.frombuffer(bits, np.uint8)
+    out = np.zeros((parts, size // 8), np.uint8)
+    for part, bits in df.groupBy("part").applyInArrow(run, "part int, bits binary").toLocalIterator():
+        out[part] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
 
@@ -128,265 +195,330 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key stands once, and how often it occurs."""
-    order = np.argsort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]]))
-    return order[first], np.diff(np.append(first, len(keys)))
-
-
-def count_level(docs: DataFrame, level: int, bits, parts: tuple[int, int] = HELD) -> DataFrame:
-    """(k, up, context, n) of a level's entries over the training documents; ``up`` is the key of the suffix's entry. ``bits``: a broadcast bitmap of the grams that are contexts."""
+def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[int, int] = HELD) -> DataFrame:
+    """Arrays of (context, next, n) over the training documents, by context. ``shared``: broadcast bitmaps of the contexts tried and of the entries listed a level below."""
 
     def run(batches):
-        words, held = Words(), []
+        words, found = Words(), []
+        before = np.uint64(digest(BEFORE))
 
         def out():
-            k, up, context = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if len(k):
-                at, n = _distinct(k)
-                for i in range(0, len(at), 100_000):
-                    some = at[i : i + 100_000]
-                    yield pa.RecordBatch.from_pydict({"k": pa.array(k[some].view(np.int64)), "up": pa.array(up[some].view(np.int64)), "context": pa.array(context[some].view(np.int64)), "n": pa.array(n[i : i + 100_000], pa.int64())})
+            context, nxt, k = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            order = np.argsort(k)
+            first = _runs(k[order])
+            rows = np.zeros(len(first), ENTRY)
+            rows["n"] = np.diff(np.append(first, len(k)))
+            rows["context"], rows["next"] = context[order[first]], nxt[order[first]]
+            yield from _batch(blobs("entry", rows, "context", parts)).to_batches()
 
         for batch in slices(batches, most=4_000_000):
-            texts = [tokens(t) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, parts)]
-            if texts:
-                x = words.read(texts)
-                some = _in(bits.value, x.gram[level]) if bits else slice(None)
-                held.append([(x.entry[level])[some], (x.entry[level - 1] if level else x.next)[some], x.context[level][some]])
-            if sum(len(x[0]) for x in held) > FLUSH:
+            texts = [tokens(t) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, held)]
+            if not texts:
+                continue
+            h, below = words.read(texts), None
+            for context, entry in chain(h, level):
+                up, below = below, entry
+            some = h != before
+            if shared:
+                some &= _in(shared.value[0], context) & _in(shared.value[1], up)
+            found.append((context[some], h[some], entry[some]))
+            if sum(len(x[0]) for x in found) > FLUSH:
                 yield from out()
-        if held:
+        if found:
             yield from out()
 
-    each = docs.select("doc_id", "text").mapInArrow(run, "k long, up long, context long, n long")
-    return each.groupBy("k").agg(F.first("up").alias("up"), F.first("context").alias("context"), F.sum("n").alias("n"))
-
-
-def grow(docs: DataFrame, root: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
-    """(k, w, n): the tree's keys with their terms of the score and their counts. ``root``: (k, p, n) of the words and the tokens before and after a text."""
-    spark = docs.sparkSession
-    found, below, seen = [], root.select("k", "p"), root.select("k", "n")
-    for level in range(LEVELS):
-        bits = spark.sparkContext.broadcast(bitmap(seen.where(F.col("n") >= LEAST))) if level else None
-        each = keep(count_level(docs, level, bits, parts), f"entries-{level}")
-        sums = each.groupBy("context").agg(F.sum("n").alias("of"), (DISCOUNT * F.count("*") / F.sum("n")).alias("free")).where(F.col("of") >= LEAST)
-        both = each.join(sums, "context").join(below.select(F.col("k").alias("up"), F.col("p").alias("above")), "up")
-        both = keep(both.select("k", "context", "n", "of", "free", "above", ((F.col("n") - DISCOUNT) / F.col("of") + F.col("free") * F.col("above")).alias("own")), f"smoothed-{level}")
-        stay = both.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("own") / F.col("above"))).alias("gain"), F.first("of").alias("of"), F.first("free").alias("free")).where(F.col("gain") > MIN_GAIN)
-        stay = keep(stay.select("context", "of", "free"), f"contexts-{level}")
-        term = F.log10("own") - F.log10("above") - F.log10("free")
-        found.append(keep(stay.select(F.col("context").alias("k"), F.log10("free").alias("w"), F.col("of").alias("n")).unionByName(both.join(stay.select("context"), "context", "left_semi").select("k", term.alias("w"), "n")), f"terms-{level}"))
-        kept = both.join(stay.select("context", F.lit(True).alias("stays")), "context", "left")
-        below, seen = kept.select("k", F.when(F.col("stays"), F.col("own")).otherwise(F.col("above")).alias("p")), each if level else root
-    return reduce(DataFrame.unionByName, found)
-
-
-class WordTree:
-    """The smoothing in memory, for small sets of symbols: contexts with sparse next-word distributions; what a node doesn't list it takes from its suffix."""
-
-    def __init__(self, rows: list[tuple[int, int, int, int]], root: np.ndarray, discount: float = DISCOUNT, min_gain: float = MIN_GAIN):
-        """root: counts of all symbols."""
-        self.root = (root + 1.0) / (root.sum() + len(root))
-        sums, lists = {}, {}
-        for depth, context, symbol, n in rows:
-            if symbol < 0:
-                sums[depth, context] = n
-            else:
-                lists.setdefault((depth, context), []).append((symbol, n))
-        self.state: dict[tuple[int, int], int] = {(0, 0): 0}
-        keys, values, self.up, back = [], [], [0], [0.0]
-        table: dict[int, dict[int, float]] = {}
-        for depth, context in sorted(k for k in sums if k[0]):
-            up = self.state.get((1, context & 0xFFFFF), 0) if depth == 2 else 0
-            n, listed = sums[depth, context], lists.get((depth, context), [])
-            free = (n - sum(c - discount for _, c in listed) + 1e-3) / (n + 1e-3)
-            above = [self._p(up, s, table, back) for s, _ in listed]
-            gain = sum(c * np.log(((c - discount) / n + free * a) / a) for (_, c), a in zip(listed, above, strict=True))
-            if gain + (n - sum(c for _, c in listed)) * np.log(free) <= min_gain:
-                continue
-            s = self.state[depth, context] = len(self.up)
-            self.up.append(up)
-            back.append(float(np.log10(free)))
-            table[s] = {x: (c - discount) / (n + 1e-3) + free * a for (x, c), a in zip(listed, above, strict=True)}
-            for x, p in table[s].items():
-                keys.append(s << 20 | x)
-                values.append(np.log10(p))
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.logp = np.array(keys, np.int64)[order], np.array(values)[order]
-        self.back, self.up = np.array(back), np.array(self.up, np.int64)
-        self.root = np.log10(self.root)
-        found = sorted((d << 40 | c, i) for (d, c), i in self.state.items())
-        self.codes, self.index = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
-        del self.state
-
-    def _p(self, s: int, x: int, table: dict[int, dict[int, float]], back: list[float]) -> float:
-        weight = 1.0
-        while s:
-            if x in table[s]:
-                return weight * table[s][x]
-            weight *= 10 ** back[s]
-            s = int(self.up[s])
-        return weight * float(self.root[x])
-
-    def _find(self, codes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        return np.where(self.codes[at] == codes, self.index[at], -1)
-
-    def score(self, nxt: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after (two, one), from the longest suffix that is a state."""
-        s = self._find(2 << 40 | two << 20 | one)
-        short = s < 0
-        s[short] = np.maximum(self._find(1 << 40 | one[short]), 0)
-        out = np.zeros(len(nxt))
-        at, s = np.arange(len(nxt)), s.copy()
-        while len(at):
-            top = s == 0
-            out[at[top]] += self.root[nxt[at[top]]]
-            at, s = at[~top], s[~top]
-            if not len(at):
-                break
-            key = s << 20 | nxt[at]
-            k = np.searchsorted(self.keys, key)
-            k[k == len(self.keys)] = 0
-            hit = self.keys[k] == key
-            out[at[hit]] += self.logp[k[hit]]
-            at, s = at[~hit], s[~hit]
-            out[at] += self.back[s]
-            s = self.up[s]
-        return out
-
-
-def vocabulary(docs: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
-    """(word, n) over the training documents. The end token is not a word here: it comes once with each document."""
+    return docs.mapInArrow(run, _BLOBS)
+
+
+def listed(entries: DataFrame, contexts: DataFrame | None, level: int, parts: int) -> DataFrame:
+    """Kinds ``listed`` (by the suffix's entry) and, at level 1, ``word`` (k, n) and ``total`` (how many words, and their sum)."""
+
+    is_root = contexts is None
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        e = _array(left, ENTRY)
+        k = entry_of(e["context"], e["next"])
+        order = np.lexsort((k, e["context"]))
+        e, k = e[order], k[order]
+        first = _runs(k)
+        n, context, nxt, k = np.add.reduceat(e["n"].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64), e["context"][first], e["next"][first], k[first]
+        out = []
+        if is_root:  # a word is followed as often as it occurs, a text's end as often as its beginning
+            begin = _runs(context)
+            of = np.add.reduceat(n, begin) if len(begin) else n
+            words = np.zeros(len(begin), TERM)
+            words["k"], words["n"] = _unmix(context[begin]) - np.uint64(1), of
+            words["k"][words["k"] == np.uint64(digest(BEFORE))] = digest(AFTER)
+            out += blobs("word", words, "k", parts)
+            out.append(("total", 0, np.array([len(words), of.sum()], np.uint64).tobytes()))
+            c = np.zeros(len(begin), CONTEXT)
+            c["context"], c["of"] = context[begin], of
+            c = c[of >= LEAST]
+        else:
+            c = _array(right, CONTEXT)
+            c = c[np.argsort(c["context"])]
+        at, known = _find(c["context"], context)
+        some = np.flatnonzero(known & (n >= CUT))
+        rows = np.zeros(len(some), LISTED)
+        at = at[some]
+        rows["k"], rows["context"], rows["n"] = k[some], context[some], n[some]
+        if len(some):
+            rows["of"] = c["of"][at]
+            rows["up"] = nxt[some] if level == 1 else entry_of(c["suffix"][at], nxt[some])
+            begin = _runs(rows["context"])
+            given = np.add.reduceat(rows["n"] - DISCOUNT, begin)
+            rows["free"] = 1 - np.repeat(given, np.diff(np.append(begin, len(rows)))) / rows["of"]
+        return _batch(out + blobs("listed", rows, "up", parts))
+
+    return meet(entries.select("part", "blob"), entries.select("part", "blob").limit(0) if is_root else contexts, run)
+
+
+def rated(rows: DataFrame, below: DataFrame, parts: int) -> DataFrame:
+    """Kind ``rated``, by context: listed entries with the suffix's probability and their own."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, b = _array(left, LISTED), _array(right, TERM)
+        b = b[np.argsort(b["k"])]
+        at, known = _find(b["k"], x["up"])
+        x, out = x[known], np.zeros(int(known.sum()), RATED)
+        for c in LISTED.names:
+            out[c] = x[c]
+        if len(out):
+            out["above"] = b["p"][at[known]]
+            out["own"] = (x["n"] - DISCOUNT) / x["of"] + x["free"] * out["above"]
+        return _batch(blobs("rated", out, "context", parts))
+
+    return meet(rows, below, run)
+
+
+def settled(rows: DataFrame, level: int, parts: int) -> DataFrame:
+    """The divergence test. Kinds ``term`` (by key: what is looked up), ``stay`` (the retained contexts) and ``grow`` (by suffix: longer contexts seen often enough)."""
+    after = np.uint64(digest(AFTER))
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _array(t, RATED)
+        x = x[np.argsort(x["context"], kind="stable")]
+        begin = _runs(x["context"])
+        ends = np.diff(np.append(begin, len(x)))
+        head = x[begin]
+        gain = np.add.reduceat(x["n"] * np.log(x["own"] / x["above"]), begin) if len(x) else np.zeros(0)
+        seen = np.add.reduceat(x["n"], begin) if len(x) else np.zeros(0)
+        gain = gain + (head["of"] - seen) * np.log(head["free"])
+        stay = gain > MIN_GAIN
+        own = x[np.repeat(stay, ends)]
+        contexts, terms = np.zeros(int(stay.sum()), TERM), np.zeros(len(own), TERM)
+        contexts["k"], contexts["n"], contexts["w"], contexts["p"] = head["context"][stay], head["of"][stay], np.log10(head["free"][stay]), np.nan
+        terms["k"], terms["n"], terms["w"], terms["p"] = own["k"], own["n"], np.log10(own["own"]) - np.log10(own["above"]) - np.log10(own["free"]), own["own"]
+        more = x[(x["n"] >= LEAST) & ((x["up"] != after) if level == 1 else np.True_)]
+        growth = np.zeros(len(more), GROWTH)
+        growth["suffix"], growth["k"], growth["n"] = context_of(more["up"], level), more["k"], more["n"]
+        return _batch(blobs("term", np.concatenate([contexts, terms]), "k", parts) + blobs("stay", contexts, "k", parts) + blobs("grow", growth, "suffix", parts))
+
+    return rows.groupBy("part").applyInArrow(run, _BLOBS)
+
+
+def longer(growth: DataFrame, stay: DataFrame, level: int, parts: int) -> DataFrame:
+    """Contexts of ``level`` + 1 words below retained ones."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, s = _array(left, GROWTH), np.sort(_array(right, TERM)["k"])
+        x = x[_find(s, x["suffix"])[1]]
+        out = np.zeros(len(x), CONTEXT)
+        out["context"], out["suffix"], out["of"] = context_of(x["k"], level + 1), x["suffix"], x["n"]
+        return _batch(blobs("context", out, "context", parts))
+
+    return meet(growth, stay, run)
+
+
+def _words(rows: DataFrame, total: int, kinds: int) -> DataFrame:
+    """The root as terms: log probabilities less that of the symbol for all words that training lacks."""
+    unseen = DISCOUNT * kinds / total
 
     def run(batches):
-        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            out = []
+            for blob in batch.column("blob").to_pylist():
+                x = np.frombuffer(blob, TERM).copy()
+                x["p"] = (x["n"] - DISCOUNT) / total
+                x["w"] = np.log10(x["p"]) - np.log10(unseen)
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "blob": pa.array(out, pa.binary())})
 
-        def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.binary()), "n": pa.array(seen.values(), pa.int64())})
+    return rows.mapInArrow(run, "part int, blob binary")
 
-        for batch in slices(batches):
-            for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True):
-                if not is_held_out(i, parts):
-                    seen.update(tokens(t))
-            if len(seen) > FLUSH // 10:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+class Tree:
+    """``words`` and ``terms``: tables of TERM arrays by ranges of their keys; the counts of the base score; ``depth``: the words of the longest contexts."""
 
+    def __init__(self, words: DataFrame, terms: DataFrame, total: int, kinds: int, depth: int, parts: int):
+        self.words, self.terms, self.total, self.kinds, self.depth, self.parts = words, terms, total, kinds, depth, parts
 
-def root_table(vocab: DataFrame, counts: np.ndarray, least: float, n_rare: int) -> DataFrame:
-    """(k, p, n) of the words, the end of a text, and what is before it."""
-    share = (counts + 1.0) / (counts.sum() + len(counts))
-    n_docs, whole = int(counts[STOP]), float(counts.sum() + len(counts))
 
-    def run(batches):
-        import xxhash
+def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None) -> Tree:
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    if parts is None:  # white space is a bound of the words
+        n = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = max(LEAST_PARTS, 1 << max(0, int(np.ceil(np.log2(max(1, n / 6 / PART_TOKENS))))))
+    terms, contexts, shared, level = [], None, None, 1
+    while True:
+        found = keep(listed(count_entries(docs, level, parts, shared, held), contexts, level, parts), f"tree-listed-{level}")
+        if level == 1:
+            totals = [np.frombuffer(r[0], np.uint64) for r in of_kind(found, "total").select("blob").toLocalIterator()]  # a row for each range
+            kinds, total = (int(sum(t[i] for t in totals)) for i in (0, 1))
+            if not total:
+                return Tree(of_kind(found, "word"), of_kind(found, "word"), 0, 0, 0, parts)
+            words = keep(_words(of_kind(found, "word"), total, kinds), "tree-words")
+        both = keep(rated(of_kind(found, "listed"), words if level == 1 else of_kind(terms[-1], "term"), parts), f"tree-rated-{level}")
+        terms.append(keep(settled(both.select("part", "blob"), level, parts), f"tree-terms-{level}"))
+        discard(found, both)
+        if contexts is not None:
+            discard(contexts)
+        contexts = keep(longer(of_kind(terms[-1], "grow"), of_kind(terms[-1], "stay"), level, parts), f"tree-contexts-{level + 1}")
+        if contexts.isEmpty():
+            discard(contexts)
+            break
+        contexts_only = contexts.select("part", "blob")
+        contexts_only.written_to = contexts.written_to
+        contexts, level = contexts_only, level + 1
+        if shared:
+            shared.destroy()
+        shared = spark.sparkContext.broadcast((bitmap(contexts, CONTEXT, "context", parts), bitmap(of_kind(terms[-1], "term"), TERM, "k", parts)))
+    found = of_kind(terms[0], "term")
+    for t in terms[1:]:
+        found = found.unionByName(of_kind(t, "term"))
+    return Tree(words, found, total, kinds, level, parts)
+
+
+def _hot(df: DataFrame, least: float) -> np.ndarray:
+    """Terms seen ``least`` times, sorted by key."""
 
+    def run(batches):
         for batch in batches:
-            keys = np.array([xxhash.xxh3_64_intdigest(w) for w in batch.column("word").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(keys.view(np.int64)), "n": batch.column("n")})
-
-    ends = vocab.sparkSession.createDataFrame([(bytearray(BEFORE), n_docs), (bytearray(AFTER), n_docs)], "word binary, n long")
-    p = F.when(F.col("n") >= F.lit(least), (F.col("n") + 1) / whole).otherwise(F.lit(float(share[RARE])) * (F.col("n") - DISCOUNT) / max(n_rare, 1))
-    words = vocab.mapInArrow(run, "k long, n long").select("k", p.alias("p"), "n")
-    return words.unionByName(ends.mapInArrow(run, "k long, n long").select("k", F.lit(float(share[STOP])).alias("p"), "n"))
-
-
-def _terms(texts: list[list[bytes]], words: Words, bits: np.ndarray, hot: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The broadcast terms of each text's score, and the keys that have to be joined."""
-    x = words.read(texts)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    text = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
-    keys, of = [], []
-    for level in range(LEVELS):
-        some = np.flatnonzero(_in(bits, x.context[level]))
-        entry = x.entry[level][some]
-        listed = _in(bits, entry)
-        keys += [x.context[level][some], entry[listed]]
-        of += [text[some], text[some[listed]]]
-    keys, of = np.concatenate(keys), np.concatenate(of)
-    order = np.argsort(keys)
-    keys, of = keys[order], of[order]
-    at = np.searchsorted(hot, keys)
-    at[at == len(hot)] = 0
-    hit = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
-    sums = np.bincount(of[hit], weights=weights[at[hit]], minlength=len(texts)) if hit.any() else np.zeros(len(texts))
-    keys, of = keys[~hit], of[~hit]
-    order = np.argsort(of, kind="stable")
-    return sums, np.split(keys[order].view(np.int64), np.searchsorted(of[order], np.arange(1, len(texts))))
-
-
-def score(docs: DataFrame, parts: tuple[int, int] = HELD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    import xxhash
+            yield pa.RecordBatch.from_pydict({"blob": pa.array([x[x["n"] >= least].tobytes() for x in (np.frombuffer(b, TERM) for b in batch.column("blob").to_pylist())], pa.binary())})
+
+    rows = np.frombuffer(b"".join(r[0] for r in df.select("part", "blob").mapInArrow(run, "blob binary").where(F.length("blob") > 0).toLocalIterator()), TERM)
+    return rows[np.argsort(rows["k"])]
 
+
+def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    vocab = keep(vocabulary(docs, parts), "vocabulary")
-    n_docs = docs.where((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts[0])) != parts[1]) | F.col("doc_id").isNull()).count()
-    words, distinct = vocab.agg(F.sum("n"), F.count("*")).first()
-    total, kinds = (words or 0) + n_docs, distinct + (n_docs > 0)
-    often = sorted((-r[1], bytes(r[0])) for r in vocab.where(F.col("n") >= F.lit(max(LEAST, WORD_SHARE * total))).toLocalIterator())
-    symbols = {w: FIRST_WORD + i for i, (_, w) in enumerate(often)}
-    counts = np.zeros(FIRST_WORD + len(often), np.int64)
-    counts[FIRST_WORD:] = [-n for n, _ in often]
-    counts[STOP], counts[RARE] = n_docs, (words or 0) - counts[FIRST_WORD:].sum()
-    n_rare, rare_kinds, whole = int(counts[RARE]), distinct - len(often), float(counts.sum() + len(counts))
-    root = keep(root_table(vocab, counts, max(LEAST, WORD_SHARE * total), n_rare), "root")
-    terms = grow(docs, root, parts)
-    common = terms.where(F.col("n") >= F.lit(max(1.0, HOT_SHARE * total))).select("k", "w").toArrow()
-    hot, weights = common.column("k").to_numpy().view(np.uint64), common.column("w").to_numpy()
-    order = np.argsort(hot)
-    shared = spark.sparkContext.broadcast((symbols, counts, bitmap(terms), hot[order], weights[order]))
-
-    def key(i: object, t: bytes) -> int:
-        return xxhash.xxh64_intdigest(t, seed=zlib.crc32(str(i).encode())) - (1 << 63)
-
-    def summaries(batches):
-        symbols, counts, bits, hot, weights = shared.value
-        known = {w: (float(np.log10(counts[s] + 1)), float(np.log10((counts[s] + 1) / whole))) for w, s in symbols.items()}
-        end, stop, rare = float(np.log10(n_docs + 1)), float(np.log10((counts[STOP] + 1) / whole)), float(np.log10((counts[RARE] + 1) / whole))
-        numbers = Words()
+    tree = grow(docs, held, parts)
+    parts, depth, total = tree.parts, tree.depth, tree.total
+    unseen = float(np.log10(DISCOUNT * tree.kinds / total)) if total else 0.0
+    empty = np.zeros(0, TERM)
+    least = max(1.0, HOT_SHARE * total)
+    shared = spark.sparkContext.broadcast((_hot(tree.words, least) if total else empty, _hot(tree.terms, least) if total else empty, bitmap(tree.terms, TERM, "k", parts) if total else None))
+
+    def positions(batches):
+        from pyspark import TaskContext
+
+        hot_words, hot, bits = shared.value
+        task, row, words, found = TaskContext.get().partitionId(), 0, Words(), []
+        before = np.uint64(digest(BEFORE))
+
+        def out():
+            cold = np.concatenate(found)
+            found.clear()
+            rows = blobs("", cold, "k", parts)
+            none = pa.nulls(len(rows))
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([r[1] for r in rows], pa.int32()), "task": pa.array([task] * len(rows), pa.int32()), "row": none.cast(pa.int64()), "doc_id": none.cast(kind), "held_out": none.cast(pa.bool_()),
+                "n_tokens": none.cast(pa.int64()), "known": none.cast(pa.int64()), "log": none.cast(pa.float64()), "score": none.cast(pa.float64()), "blob": pa.array([r[2] for r in rows], pa.binary()),
+            })
+
         for batch in slices(batches):
-            ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch)
-            split = [tokens(t) for t in texts]
-            log = [[known[w] for w in ws if w in known] for ws in split]
-            seldom = [Counter(w for w in ws if w not in known) for ws in split]
-            sums, cold = _terms(split, numbers, bits, hot, weights)
-            score = [s + stop + sum(p for _, p in x) + rare * (len(ws) - len(x)) for s, x, ws in zip(sums.tolist(), log, split, strict=True)]
+            ids, texts = batch.column("doc_id").to_pylist(), [tokens(t) for t in as_bytes(batch)]
+            kind = batch.column("doc_id").type
+            h = words.read(texts)
+            here = np.flatnonzero(h != before)
+            n = np.array([len(t) + 1 for t in texts], np.int64)
+            text = np.repeat(np.arange(len(texts)), n)
+            known, log, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts)), n * unseen
+
+            def look(keys, of, table_, is_word, known=known, log=log, sums=sums, row=row):
+                order = np.argsort(keys)
+                keys, of = keys[order], of[order]
+                at, hit = _find(table_["k"], keys)
+                at, of_hit = at[hit], of[hit]
+                sums += np.bincount(of_hit, weights=table_["w"][at], minlength=len(sums))
+                if is_word:
+                    known += np.bincount(of_hit, minlength=len(known))
+                    log += np.bincount(of_hit, weights=np.log10(table_["n"][at] + 1.0), minlength=len(log))
+                cold = np.zeros(int((~hit).sum()), LOOKUP)
+                cold["k"], cold["row"] = keys[~hit], of[~hit] + row
+                return cold
+
+            if total:
+                found.append(look(h[here], text, hot_words, True))
+                for context, entry in chain(h, depth):
+                    for keys in (context[here], entry[here]):
+                        some = _in(bits, keys)
+                        found.append(look(keys[some], text[some], hot, False))
+            m = batch.num_rows
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "key": pa.array([key(i, t) for i, t in zip(ids, texts, strict=True)], pa.int64()), "held_out": pa.array([is_held_out(i, parts) for i in ids], pa.bool_()),
-                "n_tokens": pa.array([len(ws) + 1 for ws in split], pa.int64()), "hot_known": pa.array([len(x) + (n_docs > 0) for x in log], pa.int64()),
-                "hot_log": pa.array([sum(c for c, _ in x) + end for x in log], pa.float64()), "score": pa.array(score, pa.float64()),
-                "words": pa.array([list(x.items()) for x in seldom], pa.map_(pa.binary(), pa.int32())), "cold": pa.array(cold, pa.list_(pa.int64())),
+                "part": pa.nulls(m, pa.int32()), "task": pa.array([task] * m, pa.int32()), "row": pa.array(np.arange(row, row + m), pa.int64()), "doc_id": batch.column("doc_id"), "held_out": pa.array([is_held_out(i, held) for i in ids], pa.bool_()),
+                "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "log": pa.array(log, pa.float64()), "score": pa.array(sums, pa.float64()), "blob": pa.nulls(m, pa.binary()),
             })
+            row += m
+            if sum(map(len, found)) > FLUSH:
+                yield from out()
+        if sum(map(len, found)):
+            yield from out()
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    head = keep(docs.mapInArrow(summaries, f"doc_id {ids}, key long, held_out boolean, n_tokens long, hot_known long, hot_log double, score double, words map<binary,int>, cold array<bigint>"), "scores")
-    # Among rare words: a word's own count less the discount; what was discounted is for the words that training lacks.
-    seen, free = F.coalesce("n", F.lit(0)), (DISCOUNT * rare_kinds / n_rare if n_rare else 1.0)
-    among = F.when(seen > 0, F.log10((F.greatest(seen, F.lit(1)) - DISCOUNT) / max(n_rare, 1))).otherwise(F.lit(float(np.log10(free))))
-    joined = head.select("key", F.explode("words").alias("word", "tf")).join(vocab, "word", "left").groupBy("key").agg(
-        F.sum(F.when(seen > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10(seen + 1)).alias("log"), F.sum(F.col("tf") * among).alias("rare"))
-    # Rows alike in id and text share a key, and so their sums; each gets its part.
-    copies = head.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    part = F.coalesce("copies", F.lit(1))
-    sums = joined.join(copies, "key", "left").select("key", (F.col("known") / part).cast("long").alias("known"), (F.col("log") / part).alias("log"), (F.col("rare") / part).alias("rare"))
-    # Every copy of a row gives the same keys, so a sum over them is shared out as well.
-    more = head.select("key", F.explode("cold").alias("k")).groupBy("key", "k").agg(F.count("*").alias("tf")).join(terms.select("k", "w"), "k").groupBy("key").agg(F.sum(F.col("tf") * F.col("w")).alias("more"))
-    more = more.join(copies, "key", "left").select("key", (F.col("more") / part).alias("more"))
-    return head.join(sums, "key", "left").join(more, "key", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    each = keep(docs.mapInArrow(positions, f"part int, task int, row long, doc_id {ids}, held_out boolean, n_tokens long, known long, log double, score double, blob binary"), "tree-positions")
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of each task's positions, sums for its rows."""
+        t = _array(right, TERM)
+        order = np.argsort(t["k"])
+        t, made = t[order], []
+        word = t["p"] < 0
+        for task, blob in zip(left.column("task").to_pylist(), left.column("blob").to_pylist(), strict=True):
+            x = np.frombuffer(blob, LOOKUP)
+            at, hit = _find(t["k"], x["k"])
+            if not hit.any():
+                continue
+            at, (rows, of) = at[hit], np.unique(x["row"][hit], return_inverse=True)
+            s = np.zeros(len(rows), SUMS)
+            is_word = word[at]
+            s["row"], s["score"] = rows, np.bincount(of, weights=t["w"][at])
+            s["known"], s["log"] = np.bincount(of, weights=is_word), np.bincount(of, weights=np.where(is_word, np.log10(t["n"][at] + 1.0), 0.0))
+            made.append((task, s.tobytes()))
+        return pa.table({"task": pa.array([m[0] for m in made], pa.int32()), "blob": pa.array([m[1] for m in made], pa.binary())})
+
+    def marked(batches):
+        """Words have a negative p, so that a look-up tells them from contexts and entries."""
+        for batch in batches:
+            out = []
+            for blob in batch.column("blob").to_pylist():
+                x = np.frombuffer(blob, TERM).copy()
+                x["p"] = -1.0
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "blob": pa.array(out, pa.binary())})
+
+    everything = tree.words.mapInArrow(marked, "part int, blob binary").unionByName(tree.terms)
+    sums = meet(each.where(F.col("part").isNotNull()).select("part", "task", "blob"), everything, look_up, "task int, blob binary")
+
+    def final(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.column("row").to_numpy()
+        order = np.argsort(row)
+        s = _array(right, SUMS)
+        at = order[np.searchsorted(row[order], s["row"])]
+        add = lambda c: np.bincount(at, weights=s[c], minlength=len(row))
+        n = left.column("n_tokens").to_numpy()
+        return pa.table({
+            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(left.column("known").to_numpy() + add("known").astype(np.int64), pa.int64()), "train_tokens": pa.array(np.full(len(row), total), pa.int64()),
+            "base_score": pa.array(left.column("log").to_numpy() + add("log") - n * np.log10(total + tree_kinds + 1), pa.float64()), "score": pa.array(left.column("score").to_numpy() + add("score"), pa.float64()),
+        })
+
+    tree_kinds = tree.kinds
+    head = each.where(F.col("part").isNull()).select("task", "row", "doc_id", "held_out", "n_tokens", "known", "log", "score")
+    return meet(head, sums, final, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", by="task")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
