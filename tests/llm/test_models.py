@@ -152,7 +152,7 @@ def brute_tree_scores(texts, new):
         fresh = []
         for c in tried:
             gain = sum(k * math.log(own(c, x) / p(c[1:], x)) for x, k in seen[c].items())
-            if gain > lm.MIN_GAIN and max(seen[c].values()) >= lm.CUT:
+            if gain > lm.MIN_GAIN and gain > lm.MIN_DIVERGENCE * sum(seen[c].values()) and max(seen[c].values()) >= lm.CUT:
                 fresh.append(c)
         stays |= dict.fromkeys(fresh, True)
         tried = [(*c, x) for c in tried for x, k in seen[c].items() if k >= max(lm.LEAST, lm.CUT) and x is not None and (*c[1:], x) in stays and (len(c) == 1 or c[1:] in stays)]
@@ -180,8 +180,8 @@ def test_tree_grows_by_evidence_and_equals_brute_force(spark, monkeypatch):
     want, stays = brute_tree_scores(texts, new)
     assert stays["seldom",] and stays["w1", "w2", "w3", "w5"] and stays["w4", "w2", "w3", "w5"]
     docs = spark.createDataFrame([*rows, rows[-2]], "doc_id long, text string").selectExpr("*", "1 as row", "'x' as part", "2 as task").repartition(3)
-    for share in (suffix_tree_lm.HOT_SHARE, 1.0):  # all terms broadcast, all looked up
-        monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", share)
+    for most in (suffix_tree_lm.HOT_KEYS, 40, 0):  # all terms broadcast, some, all looked up
+        monkeypatch.setattr(suffix_tree_lm, "HOT_KEYS", most)
         got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, parts=8).collect()}
         assert np.allclose([got[i] for i in held], want, rtol=1e-9)
 
@@ -197,6 +197,18 @@ def test_tree_probabilities_sum_to_one(spark):
     assert np.allclose([got[h].score for h in held[:6]], want)
 
 
+def test_word_hashes_are_those_of_single_words(monkeypatch):
+    texts = [b"", b" A b\tcc\x0b\n A", b"x" * 5000 + b" y", "é 中文 a\u00a0b".encode(), b"cc cc", b"q" * 2500]
+    one = lambda w: suffix_tree_lm.word_hashes(w)[0][0]
+    want = [x for t in texts for x in [suffix_tree_lm.BEFORE, *map(one, t.lower().split()), suffix_tree_lm.AFTER]]
+    for step in (suffix_tree_lm.STEP, 1000, 7):
+        monkeypatch.setattr(suffix_tree_lm, "STEP", step)
+        h, n = suffix_tree_lm.read(texts)
+        assert h.tolist() == want and n.tolist() == [len(t.split()) for t in texts]
+    words = {bytes(w) for w in np.random.default_rng(2).integers(97, 102, (200_000, 9)).astype(np.uint8)} | {b"a" * k for k in range(1, 300)}
+    assert len({int(x) for x in suffix_tree_lm.word_hashes(b" ".join(words))[0]}) == len(words)
+
+
 def test_tree_keys_come_back():
     x = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2)
     assert (suffix_tree_lm._unmix(near_dedup._mix(x)) == x).all()

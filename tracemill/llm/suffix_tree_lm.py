@@ -2,16 +2,16 @@
 
 A context is the last one, two, three or more words before a position. The tree grows level by level: contexts of d + 1 words are
 tried below the retained ones of d words, and growth ends when no context is left to try. A context is tried if it was seen ``LEAST``
-times; it stays if its next-word distribution diverges enough from its longest suffix's (count x Kullback-Leibler divergence above
-``MIN_GAIN``), so the tree follows the corpus in size and in depth. It lists the next words that it saw ``CUT`` times and takes the
+times; it stays if its next-word distribution diverges enough from its longest suffix's (Kullback-Leibler divergence above
+``MIN_DIVERGENCE``, and times the count above ``MIN_GAIN``), so the tree follows the corpus in size and in depth. It lists the next words that it saw ``CUT`` times and takes the
 others from its suffix; distributions are smoothed with the suffix's by absolute discounting, and the root is the discounted word
 distribution, in which all words that training lacks are one symbol, as they are in the base score.
 
 The tree is a table of the shared folder. A position's score is the root's log probability plus one term for each retained context
 of its chain: what the context gives up to its suffix, and for a next word that it lists what that adds. So a text's score is a sum
-over keys (64-bit hashes of words, of contexts, and of contexts with next words). Keys with ``HOT_SHARE`` of the tokens are
-broadcast, at most 1 / HOT_SHARE of them for each level and kind; all others meet the tree by key. Bitmaps of fixed size only keep keys that the
-tree can't have out of the shuffles: a false hit is settled by the tables.
+over keys (64-bit hashes of words, of contexts, and of contexts with next words). The most frequent keys, ``HOT_KEYS`` of each kind
+at most, are broadcast; all others meet the tree by key. Bitmaps of fixed size only keep keys that the tree can't have out of the
+shuffles: a false hit is settled by the tables.
 
 Rows with one number each would cost more than the work on them, so tasks hand on sorted arrays, one for each range of keys
 (``parts`` of them, in proportion to the corpus): Spark shuffles the arrays by range, and a range's arrays are merged by numpy.
@@ -26,7 +26,6 @@ long text is held in memory with its positions, some 100 bytes a word.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import as_bytes, discard, keep, slices, table
 from .near_dedup import _M1, _M2, _mix
 
-#: Keys with such a share of the tokens are broadcast.
-HOT_SHARE = 1e-6
+#: So many of the most frequent keys of words, and of contexts and entries, are broadcast at most.
+HOT_KEYS = 400_000
 #: Times that a context must be seen to be tried, and a next word to be listed.
 LEAST, CUT = 4, 2
-#: Nats (count x divergence) that a context must save to become a node of the tree.
-MIN_GAIN = 8.0
+#: Nats that a context must save to become a node of the tree: in all (count x divergence), and for each time it was seen.
+MIN_GAIN, MIN_DIVERGENCE = 8.0, 0.1
 #: What each listed word's count gives up to the suffix's distribution.
 DISCOUNT = 0.75
 #: log2 of the bits of a bitmap.
@@ -50,8 +49,6 @@ BITS = 27
 #: Training tokens for each range of keys, and the fewest ranges.
 PART_TOKENS, LEAST_PARTS = 4_000_000, 64
 HELD = (7, 2)
-#: Tokens before a text and after it; no word has white space.
-BEFORE, AFTER = b" ", b"\n"
 #: Keys that a task collects before it hands them on.
 FLUSH = 2_000_000
 
@@ -70,10 +67,6 @@ def is_held_out(doc_id: object, parts: tuple[int, int] = HELD) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % parts[0] == parts[1]
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def _unmix(x: np.ndarray) -> np.ndarray:
     """The inverse of ``_mix``."""
     x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
@@ -83,12 +76,6 @@ def _unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def digest(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def context_of(gram: np.ndarray, level: int) -> np.ndarray:
     """Key of a context of ``level`` words: ``gram`` is its one word's hash, or the entry of its words before the last with the last."""
     return _mix(gram + np.uint64(level))
@@ -98,28 +85,51 @@ def entry_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(context ^ word)
 
 
-class Words(dict):
-    """Numbers of words, with the hashes of the words."""
-
-    def __init__(self):
-        self.hashes = array("Q")
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: A fixed random 64-bit number for each byte, and the seed of those for each place in a word.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_PLACE = np.uint64(0xD1B54A32D192ED03)
+#: Bytes hashed at a time.
+STEP = 1_000_000
 
-    def __missing__(self, word: bytes) -> int:
-        self.hashes.append(digest(word))
-        self[word] = n = len(self.hashes) - 1
-        return n
 
-    def read(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Hashes of the words of all texts, each with what is before and after it."""
-        if len(self) > 500_000:
-            self.clear()
-            self.hashes = array("Q")
-        get, ids = self.__getitem__, []
-        for t in texts:
-            ids.append(get(BEFORE))
-            ids += map(get, t)
-            ids.append(get(AFTER))
-        return np.array(self.hashes, np.uint64)[np.array(ids, np.int64)]
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of a lower-cased text: the sum over its bytes of the byte's number times its place's, mixed."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = ~_SPACE[raw]
+    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    sums = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(raw), STEP):
+        some = np.flatnonzero(inside[at : at + STEP]) + at
+        if len(some):
+            word = np.searchsorted(starts, some[0], side="right") - 1
+            begin = np.searchsorted(some, starts[word + 1 : np.searchsorted(starts, some[-1], side="right")])
+            begin = np.concatenate([[0], begin])
+            place = some - np.repeat(starts[word : word + len(begin)], np.diff(np.append(begin, len(some))))
+            numbers = _mix(np.arange(min(int(place.max()) + 1, 64), dtype=np.uint64) + _PLACE)
+            factor = numbers[np.minimum(place, len(numbers) - 1)]
+            far = place >= len(numbers)
+            if far.any():
+                factor[far] = _mix(place[far].astype(np.uint64) + _PLACE)
+            sums[word : word + len(begin)] += np.add.reduceat(_BYTE[raw[some]] * (factor | np.uint64(1)), begin)
+    return _mix(sums), starts
+
+
+#: Hashes of what is before a text and after it; no word has white space.
+BEFORE, AFTER = _mix(_BYTE[32:33])[0], _mix(_BYTE[10:11])[0]
+
+
+def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text's with what is before and after it; and the number of words of each text."""
+    h, starts = word_hashes(b"\n".join(texts).lower())
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    last = np.searchsorted(starts, ends)
+    n = np.diff(last, prepend=0)
+    at = np.repeat(np.arange(len(texts)) * 2 + 1, n) + np.arange(len(h))
+    out = np.full(len(h) + 2 * len(texts), AFTER)
+    out[at] = h
+    out[last - n + np.arange(len(texts)) * 2] = BEFORE
+    return out, n
 
 
 def chain(h: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,6 +176,23 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def lookups(rows: np.ndarray, parts: int) -> list[tuple[str, int, bytes]]:
+    """Keys to look up, for each range in the order of their rows; the rows are packed as differences."""
+    part = part_of(rows["k"], parts).astype(np.uint64)
+    rows = rows[np.argsort(part << np.uint64(32) | rows["row"])]
+    ends = np.searchsorted(np.sort(part), np.arange(parts + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        x = rows[ends[p] : ends[p + 1]]
+        out.append(("", p, len(x).to_bytes(8, "little") + x["k"].tobytes() + zlib.compress(np.diff(x["row"], prepend=np.uint32(0)).tobytes(), 1)))
+    return out
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(blob, np.uint64, n, 8), np.cumsum(np.frombuffer(zlib.decompress(blob[8 + 8 * n :]), np.uint32), dtype=np.uint32)
+
+
 def meet(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str = _BLOBS, by: str = "part") -> DataFrame:
     return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(f, schema)
 
@@ -185,7 +212,8 @@ def bitmap(df: DataFrame, dtype: np.dtype, column: str, parts: int) -> np.ndarra
         return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros((parts, size // 8), np.uint8)
-    for part, bits in df.groupBy("part").applyInArrow(run, "part int, bits binary").toLocalIterator():
+    found = df.groupBy("part").applyInArrow(run, "part int, bits binary").toArrow()
+    for part, bits in zip(found.column("part").to_pylist(), found.column("bits").to_pylist(), strict=True):
         out[part] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
@@ -199,8 +227,7 @@ def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[i
     """Arrays of (context, next, n) over the training documents, by context. ``shared``: broadcast bitmaps of the contexts tried and of the entries listed a level below."""
 
     def run(batches):
-        words, found = Words(), []
-        before = np.uint64(digest(BEFORE))
+        found = []
 
         def out():
             context, nxt, k = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -213,13 +240,13 @@ def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[i
             yield from _batch(blobs("entry", rows, "context", parts)).to_batches()
 
         for batch in slices(batches, most=4_000_000):
-            texts = [tokens(t) for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, held)]
+            texts = [t for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, held)]
             if not texts:
                 continue
-            h, below = words.read(texts), None
+            (h, _), below = read(texts), None
             for context, entry in chain(h, level):
                 up, below = below, entry
-            some = h != before
+            some = h != BEFORE
             if shared:
                 some &= _in(shared.value[0], context) & _in(shared.value[1], up)
             found.append((context[some], h[some], entry[some]))
@@ -249,7 +276,7 @@ def listed(entries: DataFrame, contexts: DataFrame | None, level: int, parts: in
             of = np.add.reduceat(n, begin) if len(begin) else n
             words = np.zeros(len(begin), TERM)
             words["k"], words["n"] = _unmix(context[begin]) - np.uint64(1), of
-            words["k"][words["k"] == np.uint64(digest(BEFORE))] = digest(AFTER)
+            words["k"][words["k"] == BEFORE] = AFTER
             out += blobs("word", words, "k", parts)
             out.append(("total", 0, np.array([len(words), of.sum()], np.uint64).tobytes()))
             c = np.zeros(len(begin), CONTEXT)
@@ -294,8 +321,6 @@ def rated(rows: DataFrame, below: DataFrame, parts: int) -> DataFrame:
 
 def settled(rows: DataFrame, level: int, parts: int) -> DataFrame:
     """The divergence test. Kinds ``term`` (by key: what is looked up), ``stay`` (the retained contexts) and ``grow`` (by suffix: longer contexts seen often enough)."""
-    after = np.uint64(digest(AFTER))
-
     def run(t: pa.Table) -> pa.Table:
         x = _array(t, RATED)
         x = x[np.argsort(x["context"], kind="stable")]
@@ -305,12 +330,12 @@ def settled(rows: DataFrame, level: int, parts: int) -> DataFrame:
         gain = np.add.reduceat(x["n"] * np.log(x["own"] / x["above"]), begin) if len(x) else np.zeros(0)
         seen = np.add.reduceat(x["n"], begin) if len(x) else np.zeros(0)
         gain = gain + (head["of"] - seen) * np.log(head["free"])
-        stay = gain > MIN_GAIN
+        stay = (gain > MIN_GAIN) & (gain > MIN_DIVERGENCE * head["of"])
         own = x[np.repeat(stay, ends)]
         contexts, terms = np.zeros(int(stay.sum()), TERM), np.zeros(len(own), TERM)
         contexts["k"], contexts["n"], contexts["w"], contexts["p"] = head["context"][stay], head["of"][stay], np.log10(head["free"][stay]), np.nan
         terms["k"], terms["n"], terms["w"], terms["p"] = own["k"], own["n"], np.log10(own["own"]) - np.log10(own["above"]) - np.log10(own["free"]), own["own"]
-        more = x[(x["n"] >= LEAST) & ((x["up"] != after) if level == 1 else np.True_)]
+        more = x[(x["n"] >= LEAST) & ((x["up"] != AFTER) if level == 1 else np.True_)]
         growth = np.zeros(len(more), GROWTH)
         growth["suffix"], growth["k"], growth["n"] = context_of(more["up"], level), more["k"], more["n"]
         return _batch(blobs("term", np.concatenate([contexts, terms]), "k", parts) + blobs("stay", contexts, "k", parts) + blobs("grow", growth, "suffix", parts))
@@ -385,20 +410,36 @@ def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None
         if shared:
             shared.destroy()
         shared = spark.sparkContext.broadcast((bitmap(contexts, CONTEXT, "context", parts), bitmap(of_kind(terms[-1], "term"), TERM, "k", parts)))
+    if shared:
+        shared.destroy()
     found = of_kind(terms[0], "term")
     for t in terms[1:]:
         found = found.unionByName(of_kind(t, "term"))
     return Tree(words, found, total, kinds, level, parts)
 
 
-def _hot(df: DataFrame, least: float) -> np.ndarray:
-    """Terms seen ``least`` times, sorted by key."""
+def _hot(df: DataFrame, most: int) -> np.ndarray:
+    """The most frequent terms, sorted by key: those seen 2 ** j times or more, for the least j with at most ``most`` of them."""
+
+    def sizes(batches):
+        for batch in batches:
+            n = np.concatenate([np.frombuffer(b, TERM)["n"] for b in batch.column("blob").to_pylist()] or [np.zeros(0)])
+            j, c = np.unique(np.floor(np.log2(np.maximum(n, 1))).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"j": pa.array(j, pa.int64()), "c": pa.array(c, pa.int64())})
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"blob": pa.array([x[x["n"] >= least].tobytes() for x in (np.frombuffer(b, TERM) for b in batch.column("blob").to_pylist())], pa.binary())})
 
-    rows = np.frombuffer(b"".join(r[0] for r in df.select("part", "blob").mapInArrow(run, "blob binary").where(F.length("blob") > 0).toLocalIterator()), TERM)
+    least, seen = None, 0
+    for j, c in sorted(map(tuple, df.mapInArrow(sizes, "j long, c long").groupBy("j").agg(F.sum("c")).collect()), reverse=True):  # 64 rows at most
+        seen += c
+        if seen > most:
+            break
+        least = 2**j
+    if least is None:
+        return np.zeros(0, TERM)
+    rows = np.frombuffer(b"".join(df.mapInArrow(run, "blob binary").where(F.length("blob") > 0).toArrow().column("blob").to_pylist()), TERM)
     return rows[np.argsort(rows["k"])]
 
 
@@ -410,20 +451,18 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
     parts, depth, total = tree.parts, tree.depth, tree.total
     unseen = float(np.log10(DISCOUNT * tree.kinds / total)) if total else 0.0
     empty = np.zeros(0, TERM)
-    least = max(1.0, HOT_SHARE * total)
-    shared = spark.sparkContext.broadcast((_hot(tree.words, least) if total else empty, _hot(tree.terms, least) if total else empty, bitmap(tree.terms, TERM, "k", parts) if total else None))
+    shared = spark.sparkContext.broadcast((_hot(tree.words, HOT_KEYS) if total else empty, _hot(tree.terms, HOT_KEYS) if total else empty, bitmap(tree.terms, TERM, "k", parts) if total else None))
 
     def positions(batches):
         from pyspark import TaskContext
 
         hot_words, hot, bits = shared.value
-        task, row, words, found = TaskContext.get().partitionId(), 0, Words(), []
-        before = np.uint64(digest(BEFORE))
+        task, row, found = TaskContext.get().partitionId(), 0, []
 
         def out():
             cold = np.concatenate(found)
             found.clear()
-            rows = blobs("", cold, "k", parts)
+            rows = lookups(cold, parts)
             none = pa.nulls(len(rows))
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([r[1] for r in rows], pa.int32()), "task": pa.array([task] * len(rows), pa.int32()), "row": none.cast(pa.int64()), "doc_id": none.cast(kind), "held_out": none.cast(pa.bool_()),
@@ -431,13 +470,12 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
             })
 
         for batch in slices(batches):
-            ids, texts = batch.column("doc_id").to_pylist(), [tokens(t) for t in as_bytes(batch)]
-            kind = batch.column("doc_id").type
-            h = words.read(texts)
-            here = np.flatnonzero(h != before)
-            n = np.array([len(t) + 1 for t in texts], np.int64)
-            text = np.repeat(np.arange(len(texts)), n)
-            known, log, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts)), n * unseen
+            ids, kind = batch.column("doc_id").to_pylist(), batch.column("doc_id").type
+            h, n = read(as_bytes(batch))
+            n = n + 1
+            here = np.flatnonzero(h != BEFORE)
+            text = np.repeat(np.arange(len(ids)), n)
+            known, log, sums = np.zeros(len(ids), np.int64), np.zeros(len(ids)), n * unseen
 
             def look(keys, of, table_, is_word, known=known, log=log, sums=sums, row=row):
                 order = np.argsort(keys)
@@ -479,11 +517,11 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
         t, made = t[order], []
         word = t["p"] < 0
         for task, blob in zip(left.column("task").to_pylist(), left.column("blob").to_pylist(), strict=True):
-            x = np.frombuffer(blob, LOOKUP)
-            at, hit = _find(t["k"], x["k"])
+            keys, row = unpacked(blob)
+            at, hit = _find(t["k"], keys)
             if not hit.any():
                 continue
-            at, (rows, of) = at[hit], np.unique(x["row"][hit], return_inverse=True)
+            at, (rows, of) = at[hit], np.unique(row[hit], return_inverse=True)
             s = np.zeros(len(rows), SUMS)
             is_word = word[at]
             s["row"], s["score"] = rows, np.bincount(of, weights=t["w"][at])
