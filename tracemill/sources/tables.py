@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a cut lineage that outlives lost executors."""
     spark = df.sparkSession
-    path, was = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(CLEAN_UP, None)
+    path, was = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(CLEAN_UP) if spark.conf.isModifiable(CLEAN_UP) else None
     try:
         if was is not None:
             spark.conf.set(CLEAN_UP, "true")
