@@ -57,6 +57,7 @@ CONTEXT = np.dtype([("context", "<u8"), ("suffix", "<u8"), ("of", "<u8")])
 LISTED = np.dtype([("up", "<u8"), ("k", "<u8"), ("context", "<u8"), ("n", "<u8"), ("of", "<u8"), ("free", "<f8")])
 RATED = np.dtype([*LISTED.descr, ("above", "<f8"), ("own", "<f8")])
 TERM = np.dtype([("k", "<u8"), ("n", "<u8"), ("w", "<f8"), ("p", "<f8")])
+WEIGHT = np.dtype([("k", "<u8"), ("w", "<f8"), ("n", "<u8")])
 GROWTH = np.dtype([("suffix", "<u8"), ("k", "<u8"), ("n", "<u8")])
 LOOKUP = np.dtype([("k", "<u8"), ("row", "<u4")])
 SUMS = np.dtype([("row", "<u4"), ("known", "<u4"), ("log", "<f8"), ("score", "<f8")])
@@ -418,6 +419,22 @@ def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None
     return Tree(words, found, total, kinds, level, parts)
 
 
+def _weights(df: DataFrame, are_words: bool) -> DataFrame:
+    """What look-ups need; contexts and entries have no count there."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for blob in batch.column("blob").to_pylist():
+                t = np.frombuffer(blob, TERM)
+                x = np.zeros(len(t), WEIGHT)
+                x["k"], x["w"], x["n"] = t["k"], t["w"], t["n"] if are_words else 0
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "blob": pa.array(out, pa.binary())})
+
+    return df.mapInArrow(run, "part int, blob binary")
+
+
 def _hot(df: DataFrame, most: int) -> np.ndarray:
     """The most frequent terms, sorted by key: those seen 2 ** j times or more, for the least j with at most ``most`` of them."""
 
@@ -512,10 +529,8 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of each task's positions, sums for its rows."""
-        t = _array(right, TERM)
-        order = np.argsort(t["k"])
-        t, made = t[order], []
-        word = t["p"] < 0
+        t = _array(right, WEIGHT)
+        t, made = t[np.argsort(t["k"])], []
         for task, blob in zip(left.column("task").to_pylist(), left.column("blob").to_pylist(), strict=True):
             keys, row = unpacked(blob)
             at, hit = _find(t["k"], keys)
@@ -523,23 +538,12 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
                 continue
             at, (rows, of) = at[hit], np.unique(row[hit], return_inverse=True)
             s = np.zeros(len(rows), SUMS)
-            is_word = word[at]
-            s["row"], s["score"] = rows, np.bincount(of, weights=t["w"][at])
-            s["known"], s["log"] = np.bincount(of, weights=is_word), np.bincount(of, weights=np.where(is_word, np.log10(t["n"][at] + 1.0), 0.0))
+            n = t["n"][at]  # 0 for contexts and entries
+            s["row"], s["score"], s["known"], s["log"] = rows, np.bincount(of, weights=t["w"][at]), np.bincount(of, weights=n > 0), np.bincount(of, weights=np.log10(n + 1.0))
             made.append((task, s.tobytes()))
         return pa.table({"task": pa.array([m[0] for m in made], pa.int32()), "blob": pa.array([m[1] for m in made], pa.binary())})
 
-    def marked(batches):
-        """Words have a negative p, so that a look-up tells them from contexts and entries."""
-        for batch in batches:
-            out = []
-            for blob in batch.column("blob").to_pylist():
-                x = np.frombuffer(blob, TERM).copy()
-                x["p"] = -1.0
-                out.append(x.tobytes())
-            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "blob": pa.array(out, pa.binary())})
-
-    everything = tree.words.mapInArrow(marked, "part int, blob binary").unionByName(tree.terms)
+    everything = _weights(tree.words, True).unionByName(_weights(tree.terms, False))
     sums = meet(each.where(F.col("part").isNotNull()).select("part", "task", "blob"), everything, look_up, "task int, blob binary")
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
