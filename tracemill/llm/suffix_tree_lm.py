@@ -41,10 +41,10 @@ HOT_KEYS = 400_000
 #: Times that a context must be seen to be tried, and a next word to be listed.
 LEAST, CUT = 4, 2
 #: Nats that a context must save to become a node of the tree: in all (count x divergence), and for each time it was seen.
-MIN_GAIN, MIN_DIVERGENCE = 8.0, 0.1
+MIN_GAIN, MIN_DIVERGENCE = 8.0, 0.25
 #: What each listed word's count gives up to the suffix's distribution.
 DISCOUNT = 0.75
-#: log2 of the bits of a bitmap.
+#: log2 of the most bits of a bitmap; with fewer keys it has eight bits for each.
 BITS = 27
 #: Training tokens for each range of keys, and the fewest ranges.
 PART_TOKENS, LEAST_PARTS = 4_000_000, 64
@@ -203,13 +203,15 @@ def of_kind(df: DataFrame, kind: str) -> DataFrame:
 
 
 def bitmap(df: DataFrame, dtype: np.dtype, column: str, parts: int) -> np.ndarray:
-    """2 ** BITS bits, set where a key begins with these bits; each range of keys makes its own."""
-    size = (1 << BITS) // parts
+    """2 ** BITS bits at most, set where a key begins with these bits; each range of keys makes its own."""
+    n = (df.agg(F.sum(F.length("blob"))).first()[0] or 0) // dtype.itemsize
+    log = min(BITS, max(17, int(np.ceil(np.log2(8 * n + 1)))))
+    size = (1 << log) // parts
 
     def run(t: pa.Table) -> pa.Table:
         keys = _array(t, dtype)[column]
         bits = np.zeros(size, np.uint8)
-        bits[((keys >> np.uint64(64 - BITS)) & np.uint64(size - 1)).astype(np.int64)] = 1
+        bits[((keys >> np.uint64(64 - log)) & np.uint64(size - 1)).astype(np.int64)] = 1
         return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros((parts, size // 8), np.uint8)
@@ -220,7 +222,7 @@ def bitmap(df: DataFrame, dtype: np.dtype, column: str, parts: int) -> np.ndarra
 
 
 def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - BITS)
+    at = keys >> np.uint64(64 - int(np.log2(8 * len(bits))))
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -455,9 +457,12 @@ def _hot(df: DataFrame, most: int) -> np.ndarray:
             break
         least = 2**j
     if least is None:
-        return np.zeros(0, TERM)
+        return np.zeros(0, WEIGHT)
     rows = np.frombuffer(b"".join(df.mapInArrow(run, "blob binary").where(F.length("blob") > 0).toArrow().column("blob").to_pylist()), TERM)
-    return rows[np.argsort(rows["k"])]
+    out = np.zeros(len(rows), WEIGHT)
+    for c in WEIGHT.names:
+        out[c] = rows[c]
+    return out[np.argsort(out["k"])]
 
 
 def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None) -> DataFrame:
@@ -467,7 +472,7 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
     tree = grow(docs, held, parts)
     parts, depth, total = tree.parts, tree.depth, tree.total
     unseen = float(np.log10(DISCOUNT * tree.kinds / total)) if total else 0.0
-    empty = np.zeros(0, TERM)
+    empty = np.zeros(0, WEIGHT)
     shared = spark.sparkContext.broadcast((_hot(tree.words, HOT_KEYS) if total else empty, _hot(tree.terms, HOT_KEYS) if total else empty, bitmap(tree.terms, TERM, "k", parts) if total else None))
 
     def positions(batches):
