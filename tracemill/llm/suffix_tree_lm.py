@@ -16,6 +16,9 @@ shuffles: a false hit is settled by the tables.
 Rows with one number each would cost more than the work on them, so tasks hand on sorted arrays, one for each range of keys
 (``parts`` of them, in proportion to the corpus): Spark shuffles the arrays by range, and a range's arrays are merged by numpy.
 
+Rows are numbered within their task: ``docs`` must give a task's rows in the same order whenever it is computed, as files do;
+what comes from a shuffle has to be written first.
+
 Words are told apart by 64-bit hashes: of a billion distinct words two share one with a chance of 3 %; these would share their count.
 
 Defined results: a null or empty text is the end symbol alone; repeated rows each get their row; with no training rows the model is
@@ -30,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +54,7 @@ BITS = 27
 PART_TOKENS, LEAST_PARTS = 4_000_000, 64
 HELD = (7, 2)
 #: Keys that a task collects before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 ENTRY = np.dtype([("context", "<u8"), ("next", "<u8"), ("n", "<u4")])
 CONTEXT = np.dtype([("context", "<u8"), ("suffix", "<u8"), ("of", "<u8")])
@@ -522,7 +526,7 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
                     found.append(look(entry[here[some]], text[some], hot, False))
             m = batch.num_rows
             yield pa.RecordBatch.from_pydict({
-                "part": pa.nulls(m, pa.int32()), "task": pa.array([task] * m, pa.int32()), "row": pa.array(np.arange(row, row + m), pa.int64()), "doc_id": batch.column("doc_id"), "held_out": pa.array([is_held_out(i, held) for i in ids], pa.bool_()),
+                "part": pa.array([task % parts] * m, pa.int32()), "task": pa.array([task] * m, pa.int32()), "row": pa.array(np.arange(row, row + m), pa.int64()), "doc_id": batch.column("doc_id"), "held_out": pa.array([is_held_out(i, held) for i in ids], pa.bool_()),
                 "n_tokens": pa.array(n, pa.int64()), "known": pa.array(known, pa.int64()), "log": pa.array(log, pa.float64()), "score": pa.array(sums, pa.float64()), "blob": pa.nulls(m, pa.binary()),
             })
             row += m
@@ -532,13 +536,16 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
             yield from out()
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    each = keep(docs.mapInArrow(positions, f"part int, task int, row long, doc_id {ids}, held_out boolean, n_tokens long, known long, log double, score double, blob binary"), "tree-positions")
+    head = f"task int, row long, doc_id {ids}, held_out boolean, n_tokens long, known long, log double, score double, blob binary"
+    each = docs.mapInArrow(positions, f"part int, {head}")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Of each task's positions, sums for its rows."""
+        """Of each task's positions, sums for its rows; the rows themselves pass."""
         t = _array(right, WEIGHT)
         t, made = t[np.argsort(t["k"])], []
-        for task, blob in zip(left.column("task").to_pylist(), left.column("blob").to_pylist(), strict=True):
+        left = left.drop_columns(["part"])
+        asked = left.filter(pc.is_valid(left.column("blob")))
+        for task, blob in zip(asked.column("task").to_pylist(), asked.column("blob").to_pylist(), strict=True):
             keys, row = unpacked(blob)
             at, hit = _find(t["k"], keys)
             if not hit.any():
@@ -548,12 +555,14 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
             n = t["n"][at]  # 0 for contexts and entries
             s["row"], s["score"], s["known"], s["log"] = rows, np.bincount(of, weights=t["w"][at]), np.bincount(of, weights=n > 0), np.bincount(of, weights=np.log10(n + 1.0))
             made.append((task, s.tobytes()))
-        return pa.table({"task": pa.array([m[0] for m in made], pa.int32()), "blob": pa.array([m[1] for m in made], pa.binary())})
+        sums = pa.table({f.name: pa.array([m[0] for m in made], pa.int32()) if f.name == "task" else pa.array([m[1] for m in made], f.type) if f.name == "blob" else pa.nulls(len(made), f.type) for f in left.schema}, schema=left.schema)
+        return pa.concat_tables([left.filter(pc.is_null(left.column("blob"))), sums])
 
     everything = _weights(tree.words, True).unionByName(_weights(tree.terms, False))
-    sums = meet(each.where(F.col("part").isNotNull()).select("part", "task", "blob"), everything, look_up, "task int, blob binary")
+    sums = meet(each, everything, look_up, head)
 
-    def final(left: pa.Table, right: pa.Table) -> pa.Table:
+    def final(t: pa.Table) -> pa.Table:
+        left, right = (t.filter(f(t.column("blob"))) for f in (pc.is_null, pc.is_valid))
         row = left.column("row").to_numpy()
         order = np.argsort(row)
         s = _array(right, SUMS)
@@ -566,8 +575,7 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
         })
 
     tree_kinds = tree.kinds
-    head = each.where(F.col("part").isNull()).select("task", "row", "doc_id", "held_out", "n_tokens", "known", "log", "score")
-    return meet(head, sums, final, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", by="task")
+    return sums.groupBy("task").applyInArrow(final, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
