@@ -51,10 +51,10 @@ DISCOUNT = 0.75
 #: log2 of the most bits of a bitmap; with fewer keys it has 16 bits for each.
 BITS = 27
 #: Training tokens for each range of keys, and the fewest ranges.
-PART_TOKENS, LEAST_PARTS = 4_000_000, 64
+PART_TOKENS, LEAST_PARTS = 1_000_000, 64
 HELD = (7, 2)
 #: Keys that a task collects before it hands them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 ENTRY = np.dtype([("context", "<u8"), ("next", "<u8"), ("n", "<u4")])
 CONTEXT = np.dtype([("context", "<u8"), ("suffix", "<u8"), ("of", "<u8")])
@@ -246,7 +246,7 @@ def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[i
             rows["context"], rows["next"] = context[order[first]], nxt[order[first]]
             yield from _batch(blobs("entry", rows, "context", parts)).to_batches()
 
-        for batch in slices(batches, most=4_000_000):
+        for batch in slices(batches, most=1_000_000):
             texts = [t for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, held)]
             if not texts:
                 continue
@@ -495,7 +495,7 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
                 "n_tokens": none.cast(pa.int64()), "known": none.cast(pa.int64()), "log": none.cast(pa.float64()), "score": none.cast(pa.float64()), "blob": pa.array([r[2] for r in rows], pa.binary()),
             })
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=1_000_000):
             ids, kind = batch.column("doc_id").to_pylist(), batch.column("doc_id").type
             h, n = read(as_bytes(batch))
             n = n + 1
