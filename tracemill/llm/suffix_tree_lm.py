@@ -51,7 +51,7 @@ DISCOUNT = 0.75
 #: log2 of the most bits of a bitmap; with fewer keys it has 16 bits for each.
 BITS = 27
 #: Training tokens for each range of keys, and the fewest ranges.
-PART_TOKENS, LEAST_PARTS = 1_000_000, 64
+PART_TOKENS, LEAST_PARTS = 2_000_000, 64
 HELD = (7, 2)
 #: Keys that a task collects before it hands them on.
 FLUSH = 500_000
