@@ -68,9 +68,9 @@ def test_family_bounds_lose_no_link(spark, monkeypatch):
             rows.append((9000 + k, " ".join(w)))
     seen, bounded = [], near_dedup.family_pairs
 
-    def watched(members, docs, width=5):
-        seen.append((members.count(), bounded(members, docs, width).distinct().count()))
-        return bounded(members, docs, width)
+    def watched(members, docs, width=5, **more):
+        seen.append((members.count(), bounded(members, docs, width, **more).distinct().count()))
+        return bounded(members, docs, width, **more)
 
     monkeypatch.setattr(near_dedup, "family_pairs", watched)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

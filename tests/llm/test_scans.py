@@ -212,19 +212,21 @@ def test_licenses(spark, documents, odd):
 
     def brute(t):
         t, out = t or "", []
-        for u in {" ".join(licenses.normalise(x)) for x in t.split("\n") + re.split("\n[\x20\x09\x0d]*\n", t)}:
+        whole = [x for x in (" ".join(licenses.normalise(x)) for x in re.split("\n[\x20\x09\x0d]*\n", t)) if x]
+        for u in {*(" ".join(licenses.normalise(x)) for x in t.split("\n")), *(" ".join(whole[i : i + k]) for k in range(1, licenses.RUN + 1) for i in range(len(whole) - k + 1))}:
             w = u.split()
             p = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
-            for name, q in rows:
-                if p and (d := 2 * len(p & set(q)) / (len(p) + len(q))) >= licenses.THRESHOLD:
-                    out.append((name, round(d, 9)))
+            best = min(((-2 * len(p & set(q)) / (len(p) + len(q)), name) for name, q in rows), default=None)
+            if p and -best[0] >= licenses.THRESHOLD:
+                out.append((best[1], round(-best[0], 9)))
         return sorted(out)
 
-    extra = [(400, "x\n\n" + licenses.TEMPLATES["MIT"][1].replace(", ", ",\n") + "\n\ny"), (401, "released under an MIT license"), (402, "Licensed under CC BY-NC 4.0.")]
+    extra = [(400, "x\n\n" + licenses.TEMPLATES["MIT"][1].replace(", ", ",\n") + "\n\ny"), (401, "released under an MIT license"), (402, "Licensed under CC BY-NC 4.0."), (403, licenses.TEMPLATES["MIT"][1].replace(": The above", ":\n\nThe above")), (404, licenses.TEMPLATES["BSD-3-Clause"][1].replace(": Re", ":\n\n1. Re").replace("disclaimer. Re", "disclaimer.\n \n2. Re")), (405, "This work is licensed under the GNU General Public License, version 3.")]
     texts = documents + [(r[0], r[1]) for r in odd.select("doc_id", "text").collect()] + extra
     got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert order((r.doc_id, sorted((x.license, round(x.dice, 9)) for x in r.found)) for r in got) == order((i, brute(t)) for i, t in texts)
-    assert {r.doc_id: [x.license for x in r.found] for r in got}[400] == ["MIT"]
+    found = {r.doc_id: {x.license for x in r.found} for r in got}
+    assert found[400] == found[403] == {"MIT"} and found[402] == {"CC-BY-NC-4.0"} and found[404] == {"BSD-3-Clause"} and found[405] == {"GPL-3.0"}
 
 
 def test_secrets_in_long_texts_and_clashing_columns(spark):
@@ -245,3 +247,19 @@ def test_secrets_in_long_texts_and_clashing_columns(spark):
         if r.doc_id == 1:
             assert r.text == "[SECRET] [SECRET], " * 99_999 + "[SECRET] [SECRET]," and r.n_chars == len(r.text)
     assert secrets.redact(df.limit(0)).count() == secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_come_back(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog again", 5), (2, "Released under the MIT License.", 6), (3, None, 7)]
+    names = ["items", "ranges", "spans", "n_words", "score", "row", "_t", "_w", "_n", "t", "n", "units", "sets", "some", "paragraphs", "base_failed"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in names], "concat('k', doc_id) as kept")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "Nothing of it")], "item_id long, text string")
+    want = sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, decontaminate.decontaminate(df, items).collect())) == want
+    assert sorted(map(tuple, licenses.scan(df).drop("found").collect())) == want
+    assert sorted(map(tuple, secrets.redact(df).collect())) == want
+    assert quality.accepted(df, labels).columns == df.columns
+    rated = {r.doc_id: r for r in quality.rate(df, labels).collect()}
+    assert rated[2].items == "items2" and rated[2]["t"] == "t2" and rated[2].n_words == 5
+    assert decontaminate.decontaminate(df.limit(0), items).count() == licenses.scan(df.limit(0)).count() == quality.rate(df.limit(0), labels).count() == 0

@@ -4,7 +4,8 @@ Test questions and answers are normalised into word windows and put into one aut
 normalised once, scanned once, and the hits are mapped back to offsets of the original text.
 
 Defined results: a null or empty text has no words and is clean; a null, empty or wordless item matches nothing; repeated
-items count once by ``item_id``; repeated documents each get their row; other columns are ignored.
+items count once by ``item_id``; repeated documents each get their row; an empty table gives no rows; other columns are ignored, or
+kept as they are by ``decontaminate``, whatever they are called. A very long text is scanned once, in time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, table
 
 WINDOW = 10
-#: Characters of benchmark text in one automaton. A larger benchmark is scanned in blocks of this size.
-BLOCK_CHARS = 8_000_000
+#: Characters of benchmark text in one automaton, which takes some 400 bytes for each in every worker; a larger benchmark is scanned in
+#: blocks of this size.
+BLOCK_CHARS = 1_000_000
 
 #: Lower-cases A-Z and turns every byte that is no digit, letter or part of a non-ASCII character into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -103,14 +105,19 @@ _RANGES = pa.list_(pa.list_(pa.int64()))
 _HITS = "n_words long, ranges array<array<bigint>>, items array<string>, spans array<array<bigint>>"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, block_chars: int = BLOCK_CHARS, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns, ``text`` and n_words, ranges (hit word ranges), items, spans (code-point offsets of ``ranges``).
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, ``text`` and n_words, ranges (hit word ranges), items, spans (code-point offsets of ``ranges``).
 
     One narrow pass: no shuffle. What is broadcast is one automaton's windows, at most ``block_chars`` of items
     (and the last item); a larger benchmark takes one pass of the same stage for each block.
     """
-    spark, carry = docs.sparkSession, carry or ["doc_id"]
-    df = docs.select(*carry, F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("ranges"), F.array().cast("array<string>").alias("items"), F.array().cast("array<array<bigint>>").alias("spans"))
+    return _leaks(docs, F.col("doc_id"), benchmark, width, block_chars).withColumnRenamed("row", "doc_id")
+
+
+def _leaks(docs: DataFrame, row, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The same with any column expression ``row`` in place of doc_id."""
+    spark = docs.sparkSession
+    df = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("ranges"), F.array().cast("array<string>").alias("items"), F.array().cast("array<array<bigint>>").alias("spans"))
 
     def block_pass(windows):
         shared = spark.sparkContext.broadcast(windows)
@@ -144,8 +151,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, bl
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    found = find_leaks(docs, benchmark, carry=[c for c in docs.columns if c != "text"])
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    found = _leaks(docs, F.struct("*"), benchmark)
+    return found.where(F.size("items") == 0).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _digest(batches):

@@ -1,12 +1,14 @@
 """License scans with DataFrame functions only.
 
-Each line and each paragraph of a text is normalised and compared with license templates by the Dice coefficient of their sets of
-word pairs. Size bounds prune: a Dice of ``t`` needs ``t / (2 - t)`` of a template's pairs, so a unit must hold at least one of any
+Each line, each paragraph and each run of two to ``RUN`` paragraphs of a text is normalised and compared with license templates by the
+Dice coefficient of their sets of word pairs; a unit carries the license of its best template only, so that siblings (GPL and LGPL,
+versions, CC variants) don't come along. Size bounds prune: a Dice of ``t`` needs ``t / (2 - t)`` of a template's pairs, so a unit must hold at least one of any
 sufficiently large choice of them (one regular expression for all templates skips most texts), and its own number of pairs must lie
 between ``t / (2 - t)`` and ``(2 - t) / t`` of the template's.
 
 Defined results: a null or empty text has no license; repeated rows each get their row; a tie between templates goes to the first
-name; other columns are ignored.
+name; an empty table gives no rows; other columns keep their values, whatever they are called (one called found is replaced). Long
+texts take time in proportion to their length, and only those with a chosen pair are compared at all.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, table
 
 THRESHOLD = 0.8
+#: Paragraphs in a row that are compared together, as notices have their clauses in paragraphs of their own.
+RUN = 4
 
 # Notices by which works state their license, as published with the licenses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -80,20 +84,30 @@ def _norm(x: Column) -> Column:
 
 
 def scan(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with found: array of (license, dice) for every unit and template that reach ``threshold``."""
+    """``docs`` with found: array of (license, dice), the best template of every unit that reaches ``threshold``."""
     rows = template_rows()
     templates = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, p)).alias("pairs")) for n, p in rows])
     pattern = pruning_pattern(threshold)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.withColumn("_t", text).withColumn("_n", _norm(F.col("_t")))
-    units = F.array_distinct(F.transform(F.concat(F.split("_t", "\n"), F.split("_t", r"\n[\x20\x09\x0D]*\n")), _norm))
-    df = df.withColumn("_u", F.when(F.col("_n").rlike(pattern), F.filter(units, lambda u: u.rlike(pattern))).otherwise(F.array().cast("array<string>")))
+    df = apart(docs, t=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    df = df.withColumn("n", _norm(F.col("t")))
+    df = df.withColumn("some", F.col("n").rlike(pattern))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("paragraphs", F.when(F.col("some"), F.filter(F.transform(F.split("t", r"\n[\x20\x09\x0D]*\n"), _norm), lambda x: x != "")).otherwise(none))
+    def run(k: int) -> Column:
+        several = F.transform(F.sequence(F.lit(1), F.size("paragraphs") - (k - 1)), lambda i: F.array_join(F.slice("paragraphs", i, k), " "))
+        return F.when(F.size("paragraphs") >= k, several).otherwise(none)
+
+    runs = [run(k) for k in range(2, RUN + 1)]
+    units = F.array_distinct(F.concat(F.transform(F.split("t", "\n"), _norm), F.col("paragraphs"), *runs))
+    df = df.withColumn("units", F.when(F.col("some"), F.filter(units, lambda u: u.rlike(pattern))).otherwise(none))
     pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    df = df.withColumn("_p", F.transform("_u", lambda u: F.struct(pairs(F.split(u, " ")).alias("p"))))
+    df = df.withColumn("sets", F.transform("units", lambda u: F.struct(pairs(F.split(u, " ")).alias("p"))))
     dice = lambda p, t: F.when(F.size(p).between(F.ceil(low * F.size(t["pairs"]) - 1e-9), F.floor(high * F.size(t["pairs"]) + 1e-9)), 2.0 * F.size(F.array_intersect(p, t["pairs"])) / (F.size(p) + F.size(t["pairs"])))
-    found = F.flatten(F.transform("_p", lambda u: F.filter(F.transform(templates, lambda t: F.struct(t["license"].alias("license"), dice(u["p"], t).alias("dice"))), lambda x: x["dice"] >= threshold)))
-    return df.withColumn("found", F.when(F.size("_p") > 0, found).otherwise(F.array().cast("array<struct<license:string,dice:double>>"))).drop("_t", "_n", "_u", "_p")
+    best = lambda u: F.array_min(F.filter(F.transform(templates, lambda t: F.struct((-dice(u["p"], t)).alias("less"), t["license"].alias("license"))), lambda x: x["less"] <= -threshold))
+    found = F.transform(F.filter(F.transform("sets", best), lambda x: x.isNotNull()), lambda x: F.struct(x["license"].alias("license"), (-x["less"]).alias("dice")))
+    df = df.withColumn("found", F.when(F.size("sets") > 0, found).otherwise(F.array().cast("array<struct<license:string,dice:double>>")))
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "found"], "found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +125,12 @@ def _oracle() -> str:
 WITH t(license, pairs) AS (VALUES {values}),
 tt AS (SELECT row_number() OVER () AS tid, license, pairs FROM t),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS unit
-      FROM (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[\x20\x09\x0D]*\n'))) AS x FROM d)),
+g AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n[\x20\x09\x0D]*\n'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS q FROM d),
+u AS (SELECT DISTINCT doc_id, unit FROM (
+      SELECT doc_id, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)
+      UNION ALL SELECT doc_id, array_to_string(q[i : i + k - 1], ' ') AS unit FROM (SELECT doc_id, q, k, unnest(range(1, len(q) - k + 2)) AS i FROM g, (SELECT unnest(range(1, {RUN + 1})) AS k) WHERE len(q) >= k))),
 p AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS pairs FROM (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM u)),
-m AS (SELECT doc_id, license, dice FROM (SELECT doc_id, license, 2.0 * len(list_intersect(p.pairs, tt.pairs)) / (len(p.pairs) + len(tt.pairs)) AS dice FROM p, tt WHERE len(p.pairs) > 0 AND list_has_any(p.pairs, tt.pairs)) WHERE dice >= {THRESHOLD}),
+m AS (SELECT doc_id, license, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS best FROM (SELECT doc_id, unit, license, 2.0 * len(list_intersect(p.pairs, tt.pairs)) / (len(p.pairs) + len(tt.pairs)) AS dice FROM p, tt WHERE len(p.pairs) > 0 AND list_has_any(p.pairs, tt.pairs)) WHERE dice >= {THRESHOLD}) WHERE best = 1),
 b AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS k FROM m),
 a AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_matches, coalesce(a.licenses, '') AS licenses, coalesce(b.license, '') AS best_license, round(CAST(coalesce(b.dice, 0) AS DOUBLE), 6) AS best_dice

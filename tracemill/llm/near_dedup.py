@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, keep, slices, table
+from .common import as_bytes, discard, keep, slices, table
 
 SHINGLE = 5
 #: 100 * intersection >= percent * union: by the contract of the op9 query, and for stages, which have no contract of their own.
@@ -251,8 +251,12 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, percent: int = PER
         more = confirmed(second, docs, width, percent)
         labels = keep(components(labels.select(F.col("rep").alias("a"), F.col("component").alias("b")).union(more)), "components")
     final = classes.select("mark", "rep").join(labels, "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    out = each.select("doc_id", "n_shingles", "mark").join(keep(final, "class-components"), "mark", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    final = keep(final, "class-components")
+    discard(lists, first, second)
+    some = F.col("n_shingles") > 0  # texts without words share a mark, so they stay out of the join
+    out = each.where(some).select("doc_id", "n_shingles", "mark").join(final, "mark", "left").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(each.where(~some).select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    component = F.col("component")
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -7,7 +7,8 @@ log(P target / P raw), and everything below a fixed threshold is rejected, the s
 Counting combines within tasks, so what is shuffled is at most a row for each bucket and task; the driver sees ``BUCKETS`` rows.
 
 Defined results: a null or empty text has no words, fails the base rules and is rejected; repeated rows each get their row; with no
-trusted rows at all every score is 0 and the base rules decide alone.
+trusted rows at all every score is 0 and the base rules decide alone; an empty table gives no rows; other columns are kept apart from
+the operator's own names. A very long text is held in memory as its words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, keep, table
 
 BUCKETS = 1 << 14
 #: Documents whose labels are read for the target, taken in the order of a hash of their id.
@@ -101,11 +102,25 @@ def with_score(docs: DataFrame, model: list[float]) -> DataFrame:
     return docs.withColumn("_g", _grams()).withColumn("score", F.when(F.size("_g") > 0, total / F.size("_g")).otherwise(F.lit(0.0))).drop("_g")
 
 
-def rate(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the rule columns, score and kept."""
+def _rated(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``docs``' columns as one struct ``row`` beside the rule columns, score and kept."""
     model = fit(docs, labels)
-    df = with_score(with_rules(with_words(docs)), model)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_t", "_w")
+    df = with_score(with_rules(with_words(apart(docs, text=F.col("text")))), model)
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_t", "_w", "text")
+
+
+def rate(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with the rule columns, score and kept; columns of these names are replaced, all others keep their values."""
+    df = _rated(docs, labels, threshold)
+    own = [c for c in df.columns if c != "row"]
+    return df.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in own], *own)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the rules and the ratio keep, with all their columns."""
+    # Written first: a filter on the verdict would be pushed through all its steps, and its expression would grow with each.
+    df = keep(_rated(docs, labels, threshold).select("row", "kept"), "rated")
+    return df.where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
