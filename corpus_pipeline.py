@@ -15,9 +15,7 @@ from tracemill.llm.common import keep, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the likelihood ratio reject go."""
-    # Written first: a filter on the verdict would be pushed through all its steps, and its expression would grow with each.
-    rated = keep(quality.rate(docs, table(spark, sf_dir, "labels")).select(*docs.columns, F.col("kept").alias("_kept")), "rated")
-    return rated.where("_kept").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
