@@ -106,3 +106,94 @@ def test_span_reader_and_stream(spark, tmp_path):
 def test_entry_runs_and_every_sql_has_a_query(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_call_forest_pairs_last_in_first_out(spark):
+    import random
+
+    from tracemill.operators import spans
+
+    rng, rows, want = random.Random(4), [], []
+    for request in "abcd":
+        for thread in (1, 2):
+            stack = []
+            for seq in range(60):
+                event = rng.choice(["enter", "enter", "exit", "gc"])
+                rows.append((request, thread, seq, seq, f"c{seq % 4}", event))
+                if event == "enter":
+                    stack.append([request, thread, seq, None, stack[-1][2] if stack else None])
+                    want.append(stack[-1])
+                elif event == "exit" and stack:
+                    stack.pop()[3] = seq
+    rng.shuffle(rows)
+    log = spark.createDataFrame(rows, "request_id string, thread_id int, seq long, ts long, component string, event string").withColumn("ts", F.timestamp_seconds("ts"))
+    got = spans.call_forest(log)
+    assert sorted((r.request_id, r.thread_id, r.seq, r.exit_seq, r.parent_seq) for r in got.collect()) == sorted(map(tuple, want))
+    assert all(r.self_ms <= r.total_ms for r in spans.self_times(got).collect())
+    assert spans.call_forest(log.limit(0)).count() == 0
+
+
+def test_redaction_covers_schemes_and_quoted_keys(spark):
+    from tracemill.functions import text
+
+    cases = {
+        "Authorization: Bearer sk-123456": "Authorization: ***", "{'openai_api_key': 'sk-abc'}": "{'openai_api_key': ***}", "bearer abc.def ok": "bearer *** ok", "password=hunter2&x=1": "password=***&x=1",
+        "https://u:p@h/x": "https://***@h/x", "a token is fine": "a token is fine", "Authorization: Basic dXNlcjpw, next": "Authorization: ***, next",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.redacted(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in got} == cases
+
+
+def test_usl_fit_finds_the_law_and_refuses_flat_sweeps(spark):
+    from tracemill.operators import statistics
+
+    n = [1, 2, 4, 8, 16, 32]
+    rows = [("good", k, 100 * k / (1 + 0.05 * (k - 1) + 0.4 * k * (k - 1))) for k in n] + [("flat", k, 50.0) for k in n] + [("few", k, 10.0 * k) for k in (1, 2)] + [("good", 0, 5.0), ("good", 4, 0.0)]
+    got = {r.key: r for r in statistics.usl_fit(spark.createDataFrame(rows, "key string, concurrency int, req_per_s double")).collect()}
+    assert abs(got["good"].sigma - 0.05) < 1e-3 and abs(got["good"].kappa - 0.4) < 1e-3 and got["good"].r2 > 0.999
+    assert got["flat"].sigma is None and got["few"].rate is None
+
+
+def test_test_paths(spark):
+    from tracemill.functions import predicates
+
+    yes = ["tests/a.py", "x\\Test\\a", "a/__tests__/b.js", "test_a.py", "a/b_test.go", "a.spec.ts", "b/c.test.js"]
+    no = ["spec/a.rs", "fixtures/a", "conftest.py", "a/contest.py", "latest/a.py", "a/testing.py"]
+    got = spark.createDataFrame([(x,) for x in yes + no], "p string").select("p", predicates.is_test_path(F.col("p")).alias("t")).collect()
+    assert {r.p for r in got if r.t} == set(yes)
+
+
+def test_porcelain_records_are_read_in_order(spark):
+    from tracemill.sources import spans
+
+    status = "R  new name.txt\0my file.txt\0 M a b.py\0?? c\0"
+    got = spans.porcelain_changes(spark.createDataFrame([(status,)], "status string")).collect()
+    assert {r.file for r in got} == {"new name.txt", "my file.txt", "a b.py", "c"}
+
+
+def test_lines_keep_their_order_in_long_files(spark, tmp_path):
+    import json
+
+    from tracemill.sources import spans
+
+    (tmp_path / "t.jsonl").write_text("".join(json.dumps({"type": "x", "ts": i}) + "\n" for i in range(120_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400k")
+    try:
+        lines = spans.read_lines(spark, str(tmp_path), "type string, ts double")
+        assert lines.rdd.getNumPartitions() > 4
+        ts = [r.ts for r in lines.orderBy("file", "seq").select("ts").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ts == sorted(ts) and len(ts) == 120_000
+
+
+def test_benjamini_hochberg_over_ranges(spark):
+    from tracemill.operators import statistics
+
+    p = [((i * 7919) % 1009 + 1) / 1010 for i in range(500)]
+    got = {r.component: r.q for r in statistics.benjamini_hochberg(spark.createDataFrame([(i, x) for i, x in enumerate(p)], "component long, p double")).collect()}
+    order = sorted(range(500), key=lambda i: (p[i], i))
+    least = 1.0
+    for rank in range(500, 0, -1):
+        least = min(least, p[order[rank - 1]] * 500 / rank)
+        assert abs(got[order[rank - 1]] - least) < 1e-12

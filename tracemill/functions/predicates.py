@@ -26,9 +26,9 @@ def is_nullish(summary: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    """A directory named for tests, or a file name that marks one."""
-    p = F.lower(path)
-    return p.rlike(r"(^|/)(tests?|__tests__|spec|specs|testing|fixtures)/") | p.rlike(r"(^|/)(test_[^/]*|[^/]*_test\.[a-z]+|[^/]*\.(test|spec)\.[a-z]+|conftest\.py)$")
+    """A directory named for tests, or a file name that marks one; back slashes count as slashes."""
+    p = F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+    return p.rlike(r"(^|/)(tests?|__tests__|testing)/") | p.rlike(r"(^|/)(test_[^/]*|[^/.]*_test(\.[^/]*)?|[^/]*\.(test|spec)\.[^/]*)$")
 
 
 #: Words by which a query asks for tests.

@@ -61,9 +61,9 @@ def token_estimate(text: Column) -> Column:
 
 
 def redacted(text: Column, mark: str = "***") -> Column:
-    """Secrets in key=value and quoted pairs, bearer tokens, web tokens and URL credentials."""
-    out = F.regexp_replace(text, r"(?i)\b([A-Za-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key|authorization))(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;&\"']+)", f"$1$2{mark}")
-    out = F.regexp_replace(out, r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]+=*", f"Bearer {mark}")
+    """Bearer and basic credentials, secrets in key=value and quoted pairs (quoted keys as well), web tokens and URL credentials."""
+    out = F.regexp_replace(text, r"(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+", f"$1 {mark}")
+    out = F.regexp_replace(out, r"(?i)\b([A-Za-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key|authorization)[\"']?\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|(?:bearer|basic)\s+[^\s,;&\"'}]+|[^\s,;&\"'}]+)", f"$1{mark}")
     out = F.regexp_replace(out, r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", mark)
     return F.regexp_replace(out, r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s:]+:[^/@\s]+@", f"$1{mark}@")
 

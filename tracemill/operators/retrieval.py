@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+
 from ..functions.text import tokens
 
 # Fixed values of the scoring: BM25, fusion, and its priors.
@@ -32,6 +34,21 @@ def bm25(index: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     return hits.join(F.broadcast(df), "term").join(lengths, "doc_id").join(F.broadcast(total)).groupBy("doc_id").agg(F.sum(idf * tf).alias("score"))
 
 
+def bm25_search(docs: DataFrame, query: str) -> DataFrame:
+    """(doc_id, score) straight from documents (doc_id, text): each text is read once, and only the query's terms leave it."""
+    spark = docs.sparkSession
+    terms = [t for t in (spark.createDataFrame([(query,)], "q string").select(F.array_distinct(tokens(F.col("q")))).first()[0] or [])]
+    each = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    each = each.select("doc_id", F.size("t").alias("length"), F.filter("t", lambda x: x.isin(terms)).alias("t"))
+    each = materialised(each, "query-terms")
+    total = each.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    hits = each.select("doc_id", "length", F.explode("t").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # the query's terms at most
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return hits.join(F.broadcast(df), "term").join(F.broadcast(total)).groupBy("doc_id").agg(F.sum(idf * tf).alias("score"))
+
+
 def updated_postings(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
     """The index with changed documents (doc_id, text) put anew and removed ones (doc_id) gone: equal to one built anew."""
     gone = changed.select("doc_id").union(removed.select("doc_id")).distinct()

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+
 EPS = 1e-12
 
 
@@ -30,7 +32,7 @@ def psi(reference: DataFrame, current: DataFrame, most: int = 10) -> DataFrame:
     edges = _bins(reference.where("value is not null"), "value", most)
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        return df.join(F.broadcast(edges), "metric").select("metric", _slot(F.col("value")).alias("bin")).where("bin is not null").groupBy("metric", "bin").agg(F.count("*").alias(name))
+        return df.join(edges, "metric").select("metric", _slot(F.col("value")).alias("bin")).where("bin is not null").groupBy("metric", "bin").agg(F.count("*").alias(name))
 
     grid = edges.select("metric", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
     both = grid.join(counts(reference, "r"), ["metric", "bin"], "left").join(counts(current, "c"), ["metric", "bin"], "left").fillna(0, ["r", "c"])
@@ -44,7 +46,7 @@ def binned_kl(reference: DataFrame, current: DataFrame, bins: int = 12) -> DataF
     """Kullback-Leibler divergence of the current from the reference on bins over both ranges."""
     both = reference.select("metric", "value", F.lit(1).alias("r")).union(current.select("metric", "value", F.lit(0).alias("r"))).where("value is not null")
     edges = both.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.lit(bins).alias("bins"))
-    counted = both.join(F.broadcast(edges), "metric").select("metric", "r", _slot(F.col("value")).alias("bin")).groupBy("metric", "bin").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
+    counted = both.join(edges, "metric").select("metric", "r", _slot(F.col("value")).alias("bin")).groupBy("metric", "bin").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("c"))
     w = Window.partitionBy("metric")
     p, q = (F.greatest(F.col(x) / F.greatest(F.sum(x).over(w), F.lit(1)), F.lit(EPS)) for x in ("r", "c"))
     return counted.select("metric", p.alias("p"), q.alias("q")).groupBy("metric").agg(F.sum(F.col("q") * F.log(F.col("q") / F.col("p"))).alias("kl"))
@@ -95,12 +97,17 @@ def leave_one_out_outliers(points: DataFrame, key: str, name: str, value: str, f
 
 
 def benjamini_hochberg(tests: DataFrame, key: str = "component") -> DataFrame:
-    """Adjusted p values: the least of n p / rank over all larger p."""
-    n = tests.agg(F.count("*").alias("_n"))
-    order = Window.orderBy("p", key)
-    ranked = tests.join(F.broadcast(n)).withColumn("_raw", F.col("p") * F.col("_n") / F.row_number().over(order))
-    back = Window.orderBy(F.desc("p"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_raw", "_n")
+    """Adjusted p values: the least of n p / rank over all larger p. Ranges of p are sorted apart; their sizes and minima link them."""
+    ranges = materialised(tests.repartitionByRange("p", key).withColumn("_range", F.spark_partition_id()), "p-ranges")
+    order, across = Window.partitionBy("_range").orderBy("p", key), Window.orderBy("_range")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_c"))  # one row for each range
+    offsets = sizes.select("_range", (F.sum("_c").over(across) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    ranked = ranges.join(F.broadcast(offsets), "_range").withColumn("_raw", F.col("p") * F.col("_n") / (F.col("_before") + F.row_number().over(order)))
+    later = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy("_range").agg(F.min("_raw").alias("_m")).select("_range", F.min("_m").over(later).alias("_later"))
+    back = Window.partitionBy("_range").orderBy(F.desc("p"), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("_raw").over(back), F.col("_later"))  # least takes no notice of a null
+    return ranked.join(F.broadcast(least), "_range").withColumn("q", q).drop("_range", "_before", "_n", "_raw", "_later")
 
 
 def ks_two_sample(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
@@ -123,7 +130,8 @@ def residual_shift(frames: DataFrame, early: float = 2 / 3) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["value"]).sort_values("bucket")
-        x = np.array([[1.0, *[v if v is not None else 0.0 for v in p]] for p in pdf["parents"]], float).reshape(len(pdf), -1)
+        pdf = pdf[[all(v is not None and v == v for v in p) for p in pdf["parents"]]]
+        x = np.array([[1.0, *p] for p in pdf["parents"]], float).reshape(len(pdf), -1)
         y, bad = pdf["value"].to_numpy(float), pdf["incident"].to_numpy(bool)
         normal = np.flatnonzero(~bad)
         cut = max(1, int(len(normal) * early))
@@ -136,24 +144,33 @@ def residual_shift(frames: DataFrame, early: float = 2 / 3) -> DataFrame:
 
 
 def usl_fit(points: DataFrame) -> DataFrame:
-    """Universal scalability law of (key, concurrency, req_per_s): least squares over a refined grid with the rate in closed form."""
+    """Universal scalability law of (key, concurrency, req_per_s): least squares over a refined grid with the rate in closed form.
+
+    Points without concurrency or throughput don't count. All results are null for fewer than three concurrencies, a flat sweep, or a
+    fit no better than the mean. Both coefficients lie between 0 and 1.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n, t = pdf["concurrency"].to_numpy(float), pdf["req_per_s"].to_numpy(float)
+        some = (n >= 1) & (t > 0)
+        n, t = n[some], t[some]
         out = {"key": [pdf["key"].iloc[0]], "sigma": [None], "kappa": [None], "rate": [None], "r2": [None], "peak": [None]}
-        if len(np.unique(n)) >= 3 and t.any():
-            (s0, s1), (k0, k1), best = (0.0, 1.0), (0.0, 0.1), None
-            for _ in range(6):
+        spread = float(((t - t.mean()) ** 2).sum()) if len(t) else 0.0
+        if len(np.unique(n)) >= 3 and spread > 0:
+            (s0, s1), (k0, k1), best = (0.0, 1.0), (0.0, 1.0), None
+            for _ in range(24):
                 s, k = np.linspace(s0, s1, 33)[:, None, None], np.linspace(k0, k1, 33)[None, :, None]
                 f = n / (1 + s * (n - 1) + k * n * (n - 1))
                 rate = (f * t).sum(-1) / (f * f).sum(-1)
                 err = ((t - rate[..., None] * f) ** 2).sum(-1)
                 i, j = np.unravel_index(err.argmin(), err.shape)
-                best = float(s[i, 0, 0]), float(k[0, j, 0]), float(rate[i, j]), float(err[i, j])
-                ds, dk = (s1 - s0) / 16, (k1 - k0) / 16
-                (s0, s1), (k0, k1) = (max(0, best[0] - ds), best[0] + ds), (max(0, best[1] - dk), best[1] + dk)
-            spread = float(((t - t.mean()) ** 2).sum())
-            out |= {"sigma": [best[0]], "kappa": [best[1]], "rate": [best[2]], "r2": [1 - best[3] / spread if spread else 0.0], "peak": [math.sqrt((1 - best[0]) / best[1]) if best[1] > 0 and best[0] < 1 else None]}
+                if best is None or err[i, j] < best[3]:
+                    best = float(s[i, 0, 0]), float(k[0, j, 0]), float(rate[i, j]), float(err[i, j])
+                ds, dk = (s1 - s0) / 4, (k1 - k0) / 4
+                (s0, s1), (k0, k1) = (max(0.0, best[0] - ds), min(1.0, best[0] + ds)), (max(0.0, best[1] - dk), min(1.0, best[1] + dk))
+            r2 = 1 - best[3] / spread
+            if best[2] > 0 and r2 > 0:
+                out |= {"sigma": [best[0]], "kappa": [best[1]], "rate": [best[2]], "r2": [r2], "peak": [math.sqrt((1 - best[0]) / best[1]) if best[1] > 0 and best[0] < 1 else None]}
         return pd.DataFrame(out)
 
     return points.groupBy("key").applyInPandas(run, "key string, sigma double, kappa double, rate double, r2 double, peak double")

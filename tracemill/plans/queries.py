@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import percentiles, predicates, text
-from ..operators import aggregates, graph, lifecycle, retrieval, statistics
+from ..operators import aggregates, graph, lifecycle, retrieval, spans, statistics
 from ..registry import query
 from ..sources.tables import read_table
 from .views import CALLS, HALVES, calls, halves
@@ -172,23 +173,27 @@ def _jaccard(spark, d):
     return graph.cooccurrence(calls(spark, d).select("request_id", "component").distinct()).withColumn("jaccard", r("jaccard"))
 
 
-_SUPPLY = "e AS (SELECT DISTINCT 's' || (l_suppkey % 40) AS src, 'p' || (l_partkey % 60) AS dst FROM lineitem WHERE l_orderkey % 97 = 0 UNION SELECT DISTINCT 'p' || (l_partkey % 60), 's' || ((l_suppkey + 1) % 40) FROM lineitem WHERE l_orderkey % 89 = 0)"
+_SUPPLY = "e AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)"
 
 
 def _supply(spark, d):
+    """Orders to parts to suppliers, of all line items."""
     li = read_table(spark, d, "lineitem")
-    s, p = (lambda x: F.concat(F.lit("s"), (x % 40).cast("string"))), (lambda x: F.concat(F.lit("p"), (x % 60).cast("string")))
-    a = li.where("l_orderkey % 97 = 0").select(s(F.col("l_suppkey")).alias("src"), p(F.col("l_partkey")).alias("dst"))
-    return a.union(li.where("l_orderkey % 89 = 0").select(p(F.col("l_partkey")).alias("src"), s(F.col("l_suppkey") + 1).alias("dst"))).distinct()
+    node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    return li.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst")).union(li.select(node("p", "l_partkey"), node("s", "l_suppkey"))).distinct()
 
 
-@query("blast_radius", f"""WITH RECURSIVE {_SUPPLY}, dn AS (SELECT 's1' AS id, 0 AS depth UNION SELECT e.dst, dn.depth + 1 FROM dn JOIN e ON e.src = dn.id WHERE dn.depth < 6), up AS (SELECT 's1' AS id, 0 AS depth UNION SELECT e.src, up.depth + 1 FROM up JOIN e ON e.dst = up.id WHERE up.depth < 6)
+@query("blast_radius", f"""WITH RECURSIVE {_SUPPLY}, dn AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT e.dst, dn.depth + 1 FROM dn JOIN e ON e.src = dn.id WHERE dn.depth < 6), up AS (SELECT 'p1' AS id, 0 AS depth UNION SELECT e.src, up.depth + 1 FROM up JOIN e ON e.dst = up.id WHERE up.depth < 6)
 SELECT 'down' AS direction, id, min(depth) AS depth FROM dn GROUP BY id HAVING min(depth) > 0 UNION ALL SELECT 'up', id, min(depth) FROM up GROUP BY id HAVING min(depth) > 0""")
 def _blast(spark, d):
-    return graph.blast_radius(_supply(spark, d), "s1", 6)
+    return graph.blast_radius(_supply(spark, d), "p1", 6)
 
 
-@query("pagerank_supply")
+_STEPS = "".join(f""", f{k} AS MATERIALIZED (SELECT l.dst AS id, sum(r.rank * l.share) AS flow FROM l JOIN r{k} r ON r.id = l.src GROUP BY 1), r{k + 1} AS MATERIALIZED (SELECT b.id, b.dangling, 0.15 / c.n + 0.85 * (coalesce(f.flow, 0) + x.lost / c.n) AS rank FROM b LEFT JOIN f{k} f USING (id), c, (SELECT coalesce(sum(rank) FILTER (dangling), 0) AS lost FROM r{k}) x)""" for k in range(40))
+
+
+@query("pagerank_supply", f"""WITH {_SUPPLY}, n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS MATERIALIZED (SELECT count(*) AS n FROM n), g AS MATERIALIZED (SELECT src, count(*) AS degree FROM e GROUP BY 1), l AS MATERIALIZED (SELECT e.src, dst, 1.0 / CAST(degree AS DOUBLE) AS share FROM e JOIN g USING (src)),
+b AS MATERIALIZED (SELECT n.id, g.src IS NULL AS dangling FROM n LEFT JOIN g ON g.src = n.id), r0 AS MATERIALIZED (SELECT b.id, b.dangling, 1.0 / CAST(c.n AS DOUBLE) AS rank FROM b, c){_STEPS} SELECT id, round(rank / (SELECT max(rank) FROM r40), 6) AS rank FROM r40""")
 def _pagerank(spark, d):
     e = _supply(spark, d)
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
@@ -200,13 +205,13 @@ q AS (SELECT DISTINCT unnest(['brand', '12', 'part', '7']) AS term), df AS (SELE
 SELECT p_partkey, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))), 6) AS score FROM i JOIN df USING (term) JOIN l USING (p_partkey), n GROUP BY p_partkey""")
 def _bm25(spark, d):
     p = read_table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("text"))
-    return retrieval.bm25(*retrieval.postings(p), "brand 12 part 7").select(F.col("doc_id").alias("p_partkey"), r("score").alias("score"))
+    return retrieval.bm25_search(p, "brand 12 part 7").select(F.col("doc_id").alias("p_partkey"), r("score").alias("score"))
 
 
 @query("bm25_documents")
 def _bm25_documents(spark, d):
     p = read_table(spark, d, "documents").select("doc_id", "text")
-    return retrieval.bm25(*retrieval.postings(p), "license version token").withColumn("score", r("score"))
+    return retrieval.bm25_search(p, "license version token").withColumn("score", r("score"))
 
 
 @query("cosine_top_k", "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[])))), 6) AS score FROM embeddings, q ORDER BY 2 DESC, vec_id LIMIT 20")
@@ -237,10 +242,10 @@ def _theil(spark, d):
     return statistics.theil_sen(s, "component", "session_id", "ms").withColumn("slope", r("slope", 5))
 
 
-@query("benjamini_hochberg", """WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS component, (p_partkey * 7919 % 1009 + 1) / 1010.0 AS p FROM part WHERE p_partkey <= 400), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, component) AS raw FROM t)
+@query("benjamini_hochberg", """WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS component, (p_partkey * 7919 % 1009 + 1) / 1010.0 AS p FROM part), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, component) AS raw FROM t)
 SELECT component, round(p, 6) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, component DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS q FROM k""")
 def _bh(spark, d):
-    t = read_table(spark, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").cast("string").alias("component"), ((F.col("p_partkey") * 7919 % 1009 + 1) / 1010.0).alias("p"))
+    t = read_table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("component"), ((F.col("p_partkey") * 7919 % 1009 + 1) / 1010.0).alias("p"))
     return statistics.benjamini_hochberg(t).select("component", r("p").alias("p"), r("q").alias("q"))
 
 
@@ -289,3 +294,53 @@ def _estimates(spark, d):
 def _classes(spark, d):
     s = F.when(F.col("event_id") % 9 != 0, 200 + 100 * (F.col("event_id") % 4))
     return read_table(spark, d, "events").groupBy(predicates.status_class(s).alias("class")).agg(F.count("*").alias("n"))
+
+
+_LOG = """log AS (SELECT CAST(user_id AS VARCHAR) AS request_id, user_id % 3 AS thread_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts, event_type AS component, CASE WHEN event_id % 5 < 3 THEN 'enter' ELSE 'exit' END AS event FROM events)"""
+_FOREST = f"""{_LOG}, v AS (SELECT *, sum(CASE WHEN event = 'enter' THEN 1 ELSE -1 END) OVER (PARTITION BY request_id, thread_id ORDER BY seq) AS up FROM log), w AS (SELECT *, CASE WHEN event = 'enter' THEN up ELSE up + 1 END AS level FROM v),
+x AS (SELECT *, lead(event) OVER k AS next_event, lead(seq) OVER k AS next_seq, lead(ts) OVER k AS next_ts FROM w WINDOW k AS (PARTITION BY request_id, thread_id, level ORDER BY seq)),
+y AS (SELECT request_id, thread_id, seq, ts, component, level, CASE WHEN next_event = 'exit' THEN next_seq END AS exit_seq, CASE WHEN next_event = 'exit' THEN next_ts END AS exit_ts FROM x WHERE event = 'enter'),
+forest AS (SELECT y.*, (SELECT max(p.seq) FROM y p WHERE p.request_id = y.request_id AND p.thread_id = y.thread_id AND p.level = y.level - 1 AND p.seq < y.seq) AS parent_seq, level - min(level) OVER (PARTITION BY request_id, thread_id) AS depth FROM y)"""
+
+
+def _forest(spark, d):
+    e = read_table(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return spans.call_forest(e.select(F.col("user_id").cast("string").alias("request_id"), (F.col("user_id") % 3).alias("thread_id"), seq.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("component"), F.when(F.col("event_id") % 5 < 3, "enter").otherwise("exit").alias("event")))
+
+
+@query("call_forest", f"WITH {_FOREST} SELECT request_id, seq, component, exit_seq, parent_seq, CAST(depth AS BIGINT) AS depth FROM forest")
+def _call_forest(spark, d):
+    return _forest(spark, d).select("request_id", "seq", "component", "exit_seq", "parent_seq", F.col("depth").cast("long").alias("depth"))
+
+
+@query("self_times", f"""WITH {_FOREST}, c AS (SELECT *, date_diff('microsecond', ts, exit_ts) / 1000.0 AS ms FROM forest WHERE exit_seq IS NOT NULL), k AS (SELECT request_id, thread_id, parent_seq AS seq, sum(ms) AS inner_ms FROM c GROUP BY ALL)
+SELECT component, count(*) AS calls, round(sum(ms), 3) AS total_ms, round(sum(greatest(ms - coalesce(inner_ms, 0), 0)), 3) AS self_ms FROM c LEFT JOIN k USING (request_id, thread_id, seq) GROUP BY 1""")
+def _self_times(spark, d):
+    return spans.self_times(_forest(spark, d)).select("component", "calls", r("total_ms", 3).alias("total_ms"), r("self_ms", 3).alias("self_ms"))
+
+
+@query("repeated_children", f"""WITH {_FOREST}, k AS (SELECT request_id, thread_id, parent_seq AS seq, component AS child, count(*) AS n FROM forest WHERE parent_seq IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)
+SELECT f.component, child, count(*) AS callers, CAST(sum(n) AS BIGINT) AS calls FROM k JOIN forest f USING (request_id, thread_id, seq) GROUP BY ALL""")
+def _repeated(spark, d):
+    return spans.repeated_children(_forest(spark, d))
+
+
+@query("redacted_documents", r"""SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(bearer|basic)\s+[A-Za-z0-9._~+/=-]+', '\1 ***', 'g'), '(?i)\b([A-Za-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key|authorization)["'']?\s*[=:]\s*)("[^"]*"|''[^'']*''|(?:bearer|basic)\s+[^\s,;&"''}]+|[^\s,;&"''}]+)', '\1***', 'g'),
+'\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*', '***', 'g'), '([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s:]+:[^/@\s]+@', '\1***@', 'g')) AS n_chars FROM documents""")
+def _redacted(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", F.length(text.redacted(F.col("text"))).cast("long").alias("n_chars"))
+
+
+_PATH = "CASE c_custkey % 7 WHEN 0 THEN 'src/tests/' || c_name || '.py' WHEN 1 THEN 'Src\\Testing\\' || c_name WHEN 2 THEN 'spec/' || c_name || '.rs' WHEN 3 THEN 'app/test_' || c_name WHEN 4 THEN 'app/' || c_name || '_test.go' WHEN 5 THEN 'web/' || c_name || '.spec.ts' ELSE 'conftest.py' END"
+
+
+@query("test_paths", f"""SELECT c_custkey, regexp_matches(replace(lower({_PATH}), '\\', '/'), '(^|/)(tests?|__tests__|testing)/') OR regexp_matches(replace(lower({_PATH}), '\\', '/'), '(^|/)(test_[^/]*|[^/.]*_test(\\.[^/]*)?|[^/]*\\.(test|spec)\\.[^/]*)$') AS is_test FROM customer""")
+def _test_paths(spark, d):
+    path = F.expr(_PATH.replace("\\", "\\\\"))
+    return read_table(spark, d, "customer").select("c_custkey", predicates.is_test_path(path).alias("is_test"))
+
+
+@query("reciprocal_ranks", "SELECT p_partkey, rank, round(1 / (60 + rank), 6) AS weight FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 200")
+def _ranks(spark, d):
+    return retrieval.rrf(read_table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("score")), "p_partkey").select("p_partkey", "rank", r("weight").alias("weight"))

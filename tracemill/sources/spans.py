@@ -15,9 +15,11 @@ DECISION = "type string, ts double, decision_id string, epoch string, action str
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All lines with their file, its time and their order in it; ``_bad`` holds what could not be read."""
+    """All lines with their file, its time and their order in it (``seq`` grows along a file); ``_bad`` holds what could not be read."""
     reader = spark.read.schema(schema if "_bad" in schema else f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true")
-    return reader.json(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("captured_ts"), (F.col("_metadata.file_block_start") * 1_000_000 + F.monotonically_increasing_id() % 1_000_000).alias("seq"))
+    # A task reads its blocks in order and numbers their lines upwards, so block and number together order a file; they are never taken modulo.
+    seq = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return reader.json(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("captured_ts"), seq.alias("seq"))
 
 
 class Trace:
@@ -57,7 +59,7 @@ def with_tags(lines: DataFrame, tags: DataFrame) -> DataFrame:
     """Sessions by folder: the tag file's epoch and time where there is one, else the file's own time."""
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")
     t = tags.select(folder(F.col("file")).alias("_folder"), "epoch", F.timestamp_seconds(F.col("captured_unix")).alias("_at"))
-    out = lines.withColumn("_folder", folder(F.col("file"))).join(F.broadcast(t), "_folder", "left")
+    out = lines.withColumn("_folder", folder(F.col("file"))).join(t, "_folder", "left")
     return out.withColumn("captured_ts", F.coalesce("_at", "captured_ts")).drop("_at").withColumnRenamed("_folder", "session_id")
 
 
@@ -70,9 +72,16 @@ def openapi_endpoints(spec: DataFrame, column: str = "spec") -> DataFrame:
 
 
 def porcelain_changes(status: DataFrame, column: str = "status") -> DataFrame:
-    """Changed files of NUL-separated version-control status text; a rename gives both names."""
-    parts = F.split(column, "\x00")
-    return status.select(F.posexplode(parts).alias("at", "part")).where("part <> ''").select(F.when(F.col("part").rlike(r"^.{2} "), F.substring("part", 4, 10_000)).otherwise(F.col("part")).alias("file")).distinct()
+    """Changed files of NUL-separated version-control status text, record by record; a rename or copy is followed by its old name."""
+    start = F.struct(F.lit(False).alias("old"), F.array().cast("array<string>").alias("files"))
+
+    def step(acc, part):
+        name = F.when(acc["old"], part).otherwise(F.expr("null"))
+        status_, file = F.substring(part, 1, 2), F.regexp_replace(part, r"(?s)^.{3}", "")
+        return F.struct((~acc["old"] & status_.rlike("[RC]")).alias("old"), F.concat(acc["files"], F.array(F.coalesce(name, file))).alias("files"))
+
+    parts = F.filter(F.split(column, "\x00"), lambda x: x != "")
+    return status.select(F.explode(F.aggregate(parts, start, step, lambda acc: acc["files"])).alias("file")).distinct()
 
 
 def chrome_trace(calls: DataFrame) -> DataFrame:
