@@ -29,7 +29,7 @@ long text is held in memory with its positions, some 100 bytes a word.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -137,14 +137,17 @@ def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def chain(h: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(context, entry) keys of all positions by level. A text's first position has garbage from its second level on, which no table has."""
-    gram = np.roll(h, 1)
-    for level in range(1, levels + 1):
-        context = context_of(gram, level)
-        entry = entry_of(context, h)
-        yield context, entry
-        gram = np.roll(entry, 1)
+def keys_at(h: np.ndarray, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(context, entry, entry a level below) of some positions. A text's first position has garbage from its second level on, which no table has."""
+    gram, below = h[at - level], None
+    for k in range(1, level + 1):
+        context = context_of(gram, k)
+        gram = entry_of(context, h[at - level + k])
+    if level > 1:
+        below = h[at - level + 1]
+        for k in range(1, level):
+            below = entry_of(context_of(below, k), h[at - level + 1 + k])
+    return context, gram, below
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -231,7 +234,7 @@ def _in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[int, int] = HELD) -> DataFrame:
-    """Arrays of (context, next, n) over the training documents, by context. ``shared``: broadcast bitmaps of the contexts tried and of the entries listed a level below."""
+    """Arrays of (context, next, n) over the training documents, by context. ``shared``: broadcast bitmaps of the contexts tried, from two words on, and of the entries listed a level below."""
 
     def run(batches):
         found = []
@@ -250,13 +253,15 @@ def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[i
             texts = [t for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, held)]
             if not texts:
                 continue
-            (h, _), below = read(texts), None
-            for context, entry in chain(h, level):
-                up, below = below, entry
-            some = h != BEFORE
+            h, _ = read(texts)
+            at = np.flatnonzero(h != BEFORE)
+            for k in range(2, level + 1):  # a context is tried below a tried one only
+                at = at[_in(shared.value[0][k - 2], keys_at(h, at, k)[0])]
+            context, entry, up = keys_at(h, at, level)
             if shared:
-                some &= _in(shared.value[0], context) & _in(shared.value[1], up)
-            found.append((context[some], h[some], entry[some]))
+                some = _in(shared.value[1], up)
+                context, entry, at = context[some], entry[some], at[some]
+            found.append((context, h[at], entry))
             if sum(len(x[0]) for x in found) > FLUSH:
                 yield from out()
         if found:
@@ -393,7 +398,7 @@ def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None
     if parts is None:  # white space is a bound of the words
         n = docs.agg(F.sum(F.length("text"))).first()[0] or 0
         parts = max(LEAST_PARTS, 1 << max(0, int(np.ceil(np.log2(max(1, n / 6 / PART_TOKENS))))))
-    terms, contexts, shared, level = [], None, None, 1
+    terms, contexts, shared, level, tried = [], None, None, 1, []
     while True:
         found = keep(listed(count_entries(docs, level, parts, shared, held), contexts, level, parts), f"tree-listed-{level}")
         if level == 1:
@@ -416,7 +421,8 @@ def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None
         contexts, level = contexts_only, level + 1
         if shared:
             shared.destroy()
-        shared = spark.sparkContext.broadcast((bitmap(contexts, CONTEXT, "context", parts), bitmap(of_kind(terms[-1], "term"), TERM, "k", parts)))
+        tried.append(bitmap(contexts, CONTEXT, "context", parts))
+        shared = spark.sparkContext.broadcast((tried, bitmap(of_kind(terms[-1], "term"), TERM, "k", parts)))
     if shared:
         shared.destroy()
     found = of_kind(terms[0], "term")
@@ -518,12 +524,13 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
 
             if total:
                 found.append(look(h[here], text, hot_words, True))
-                for context, entry in chain(h, depth):  # a context stays below a retained one only
-                    some = _in(bits, context[here])
-                    here, text = here[some], text[some]
-                    found.append(look(context[here], text, hot, False))
-                    some = _in(bits, entry[here])
-                    found.append(look(entry[here[some]], text[some], hot, False))
+                for level in range(1, depth + 1):  # a context stays below a retained one only
+                    context, entry, _ = keys_at(h, here, level)
+                    some = _in(bits, context)
+                    here, text, entry = here[some], text[some], entry[some]
+                    found.append(look(context[some], text, hot, False))
+                    some = _in(bits, entry)
+                    found.append(look(entry[some], text[some], hot, False))
             m = batch.num_rows
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([task % parts] * m, pa.int32()), "task": pa.array([task] * m, pa.int32()), "row": pa.array(np.arange(row, row + m), pa.int64()), "doc_id": batch.column("doc_id"), "held_out": pa.array([is_held_out(i, held) for i in ids], pa.bool_()),
