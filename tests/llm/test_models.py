@@ -215,6 +215,18 @@ def test_tree_keys_come_back():
     assert (suffix_tree_lm._unmix(near_dedup._mix(x)) == x).all()
 
 
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        rows = np.zeros(n, suffix_tree_lm.ENTRY)
+        rows["context"] = rng.choice(rng.integers(0, (1 << 64) - 1, 200, np.uint64), n)
+        rows["next"], rows["n"] = rng.integers(0, (1 << 64) - 1, n, np.uint64), rng.integers(1, 1 << 32, n)
+        packed = suffix_tree_lm.packed_entries(rows, 64)
+        assert all((suffix_tree_lm.part_of(suffix_tree_lm.unpacked_entries(suffix_tree_lm._batch([b]))["context"], 64) == b[1]).all() for b in packed)
+        order = ["context", "next", "n"]
+        assert (np.sort(suffix_tree_lm.unpacked_entries(suffix_tree_lm._batch(packed)), order=order) == np.sort(rows, order=order)).all()
+
+
 def test_toxicity_restores_disguised_words():
     m = toxicity.Letters(dict.fromkeys(["idiot", "moron", "stupid", "loser", "table", "the", "hello", "other"], 50))
     r = toxicity.Reader(m)

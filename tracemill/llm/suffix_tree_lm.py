@@ -201,6 +201,30 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.uint64, n, 8), np.cumsum(np.frombuffer(zlib.decompress(blob[8 + 8 * n :]), np.uint32), dtype=np.uint32)
 
 
+def packed_entries(rows: np.ndarray, parts: int) -> list[tuple[str, int, bytes]]:
+    """Entries for each range in the order of their contexts: these as packed differences, the counts packed, the next words as they are."""
+    rows = rows[np.argsort(rows["context"])]
+    ends = np.searchsorted(part_of(rows["context"], parts), np.arange(parts + 1))  # ranges follow the order of the keys
+    out = []
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        x = rows[ends[p] : ends[p + 1]]
+        contexts = zlib.compress(np.diff(x["context"], prepend=np.uint64(0)).tobytes(), 1)
+        out.append(("entry", p, len(x).to_bytes(8, "little") + len(contexts).to_bytes(8, "little") + x["next"].tobytes() + contexts + zlib.compress(x["n"].tobytes(), 1)))
+    return out
+
+
+def unpacked_entries(t: pa.Table) -> np.ndarray:
+    made = []
+    for blob in t.column("blob").to_pylist():
+        n, size = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+        at = 16 + 8 * n
+        x = np.zeros(n, ENTRY)
+        x["context"] = np.cumsum(np.frombuffer(zlib.decompress(blob[at : at + size]), "<u8"), dtype=np.uint64)
+        x["next"], x["n"] = np.frombuffer(blob, "<u8", n, 16), np.frombuffer(zlib.decompress(blob[at + size :]), "<u4")
+        made.append(x)
+    return np.concatenate(made) if made else np.zeros(0, ENTRY)
+
+
 def meet(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str = _BLOBS, by: str = "part") -> DataFrame:
     return left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(f, schema)
 
@@ -247,7 +271,7 @@ def count_entries(docs: DataFrame, level: int, parts: int, shared, held: tuple[i
             rows = np.zeros(len(first), ENTRY)
             rows["n"] = np.diff(np.append(first, len(k)))
             rows["context"], rows["next"] = context[order[first]], nxt[order[first]]
-            yield from _batch(blobs("entry", rows, "context", parts)).to_batches()
+            yield from _batch(packed_entries(rows, parts)).to_batches()
 
         for batch in slices(batches, most=1_000_000):
             texts = [t for i, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), strict=True) if not is_held_out(i, held)]
@@ -276,7 +300,7 @@ def listed(entries: DataFrame, contexts: DataFrame | None, level: int, parts: in
     is_root = contexts is None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        e = _array(left, ENTRY)
+        e = unpacked_entries(left)
         k = entry_of(e["context"], e["next"])
         order = np.lexsort((k, e["context"]))
         e, k = e[order], k[order]
