@@ -24,14 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialised(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a cut lineage that outlives lost executors."""
+def materialised(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: a cut lineage that outlives lost executors.
+
+    ``by``: a column whose values are written apart, each in a folder of its own below.
+    """
     spark = df.sparkSession
     path, was = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(CLEAN_UP) if spark.conf.isModifiable(CLEAN_UP) else None
     try:
         if was is not None:
             spark.conf.set(CLEAN_UP, "true")
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         if was is not None:
             spark.conf.set(CLEAN_UP, was)
