@@ -233,6 +233,13 @@ def of_kind(df: DataFrame, kind: str) -> DataFrame:
     return df.where(F.col("kind") == kind).select("part", "blob")
 
 
+def kept_kind(df: DataFrame, kind: str) -> DataFrame:
+    """One kind of a table that was written by kinds, to be deleted alone."""
+    out = of_kind(df, kind)
+    out.written_to = f"{df.written_to}/kind={kind}"
+    return out
+
+
 def bitmap(df: DataFrame, dtype: np.dtype, column: str, parts: int) -> np.ndarray:
     """2 ** BITS bits at most, set where a key begins with these bits; each range of keys makes its own."""
     n = (df.agg(F.sum(F.length("blob"))).first()[0] or 0) // dtype.itemsize
@@ -432,11 +439,12 @@ def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None
                 return Tree(of_kind(found, "word"), of_kind(found, "word"), 0, 0, 0, parts)
             words = keep(_words(of_kind(found, "word"), total, kinds), "tree-words")
         both = keep(rated(of_kind(found, "listed"), words if level == 1 else of_kind(terms[-1], "term"), parts), f"tree-rated-{level}")
-        terms.append(keep(settled(both.select("part", "blob"), level, parts), f"tree-terms-{level}"))
+        terms.append(keep(settled(both.select("part", "blob"), level, parts), f"tree-terms-{level}", by="kind"))
         discard(found, both)
         if contexts is not None:
             discard(contexts)
         contexts = keep(longer(of_kind(terms[-1], "grow"), of_kind(terms[-1], "stay"), level, parts), f"tree-contexts-{level + 1}")
+        discard(kept_kind(terms[-1], "grow"), kept_kind(terms[-1], "stay"))
         if contexts.isEmpty():
             discard(contexts)
             break
