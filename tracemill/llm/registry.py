@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licenses, near_dedup, packing, quality, secrets, suffix_tree_lm, token_counts, toxicity
+from . import decontaminate, html_text, licenses, near_dedup, packing, quality, secrets, suffix_tree_lm, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_near_dedup": near_dedup.query,
     "op10_html_extraction": html_text.query,
+    "op13_url_filters": url_filters.query,
 }
 
-ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE}
+ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op3_license_scan": licenses.ORACLE, "op13_url_filters": url_filters.ORACLE}
