@@ -13,6 +13,7 @@ no part in counting; repeated rows each get their row; broken markup is read as
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -25,7 +26,8 @@ from .common import keep, slices, table
 #: A subtree is a template of its host if it is on so many different pages at least; if it is no box, on this share of them as well.
 MIN_PAGES, MIN_SHARE = 5, 0.5
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTE = re.compile("[>\"']")
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +35,8 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What an opening tag ends, if one of these is open below the nearest of the barriers.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: End tags that do not reach beyond a barrier.
+_WITHIN, _BARRIERS = frozenset("p li b i a span".split()), ("article", "main", "td", "th", "table")
 _ENDS_P = _BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "figcaption"}
 _FURNITURE = frozenset("head nav footer aside form script style noscript template iframe svg canvas object button select textarea input dialog menu title audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -65,6 +69,82 @@ def _close(node: Node, digest) -> None:
     node.hash = digest("\x00".join(parts).encode("utf-8", "replace"))
 
 
+class Tags:
+    """The tags of a page in order, in time linear in its length whatever is broken.
+
+    A tag ends at the first ``>`` outside quotes; where its quotes do not close before the page ends, at the first ``>``; without any it is text. From one opening quote on there is one way to go on, so a way
+    that has led to the page's end is remembered and not walked again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.dead = page, page.rfind(">"), set()
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends before ``at`` ends; -1: nowhere."""
+        if at > self.last:
+            return -1
+        way, i = [], at
+        while m := _QUOTE.search(self.page, i):
+            k = m.start()
+            if self.page[k] == ">":
+                return k
+            if k in self.dead:
+                break
+            way.append(k)
+            i = self.page.find(self.page[k], k + 1) + 1
+            if not i:
+                break
+        self.dead.update(way)
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag or comment from ``at`` on; comments and declarations have no name."""
+        while m := _OPEN.search(self.page, at):
+            if m[1]:
+                close = self.page.find("-->", m.end())
+                return m.start(), close + 3 if close >= 0 else len(self.page), "", "", ""
+            if m.start() > self.last:
+                rest = self.page.find("<!--", m.start())  # an open comment hides the rest of the page even where no tag can end
+                return (rest, len(self.page), "", "", "") if rest >= 0 else None
+            close = self.page.find(">", m.end()) if m[2] else self.end(m.end())
+            if close >= 0:
+                return m.start(), close + 1, m[3] or "", (m[4] or "").lower(), self.page[m.end() : close] if m[4] else ""
+            at = m.end()
+        return None
+
+
+class Open:
+    """The open elements, and for each tag where its open elements stand."""
+
+    def __init__(self, top: Node, digest):
+        self.stack, self.digest, self.places, self.blocks = [top], digest, {}, []
+
+    def nearest(self, tags) -> int:
+        """The innermost place of one of ``tags``; 0 without any."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BLOCK:
+            self.blocks.append(node.tag)
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            if self.stack:
+                self.places[node.tag].pop()
+                if node.tag in _BLOCK:
+                    self.blocks.pop()
+            _close(node, self.digest)
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile("</" + re.escape(tag), re.I | re.A)
+
+
 def parse(page: str) -> Node:
     import xxhash
 
@@ -72,61 +152,42 @@ def parse(page: str) -> Node:
         return xxhash.xxh64_intdigest(data) - (1 << 63)
 
     top = Node("#")
-    stack, at, low = [top], 0, None
+    tags, open_, at = Tags(page), Open(top, digest), 0
     while True:
-        m = _TAG.search(page, at)
-        if (m.start() if m else len(page)) > at:
-            stack[-1].kids.append(entities.unescape(page[at : m.start() if m else len(page)]))
-        if not m:
+        found = tags.next(at)
+        start = found[0] if found else len(page)
+        if start > at:
+            open_.stack[-1].kids.append(entities.unescape(page[at:start]))
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, slash, tag, attrs = found
         if not tag:
             continue
-        attrs = m[3] or m[6] or ""
-        if m[1] or m[4]:  # an end tag
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        _close(stack.pop(), digest)
-                    break
-                if stack[k].tag in ("article", "main", "td", "th", "table") and tag in ("p", "li", "b", "i", "a", "span"):
-                    break
+        if slash:
+            here = open_.nearest((tag,))
+            if here and (tag not in _WITHIN or here > open_.nearest(_BARRIERS)):
+                open_.cut(here)
             continue
         if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        _close(stack.pop(), digest)
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
+            if open_.blocks and open_.blocks[-1] == "p":
+                open_.cut(open_.nearest(("p",)))
         elif tag in _ENDS:
             ends, barrier = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in barrier:
-                    break
-                if stack[k].tag in ends:
-                    while len(stack) > k:
-                        _close(stack.pop(), digest)
-                    break
+            if (here := open_.nearest(ends)) > open_.nearest(barrier):
+                open_.cut(here)
         marks = " ".join(x[2] or x[3] or x[4] or "" for x in _MARK.finditer(attrs)).lower() if attrs else ""
         node = Node(tag, marks + (" #hidden" if attrs and _HIDDEN.search(attrs) else ""))
-        stack[-1].kids.append(node)
+        open_.stack[-1].kids.append(node)
         if tag in _VOID:
             _close(node, digest)
         elif tag in _RAW:  # no markup inside
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            if end < 0:
-                end = len(page)
-            gt = page.find(">", end)
+            m = _raw_end(tag).search(page, at)
+            gt = page.find(">", m.start()) if m else -1
             at = gt + 1 if gt >= 0 else len(page)
             _close(node, digest)
         elif not attrs.endswith("/") or tag not in ("path", "rect", "circle", "use", "line", "g"):
-            stack.append(node)
-    while stack:
-        _close(stack.pop(), digest)
+            open_.push(node)
+    open_.cut(0)
     return top
 
 
