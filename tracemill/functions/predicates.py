@@ -60,7 +60,7 @@ def is_io(blocked: Column, wall: Column, side_effects: Column, sources: Column)
     """Mostly blocked; else it had side effects; else it drew on an outside source."""
     measured = blocked.isNotNull() & (wall > 0)
     return F.when(measured, blocked_ms(blocked, wall) / wall > 0.5).otherwise(
-        (F.coalesce(F.size(side_effects), F.lit(0)) > 0) | F.coalesce(F.exists(sources, lambda s: s.rlike("(?i)net|http|socket|file|db|sql|io")), F.lit(False))
+        (F.coalesce(F.size(side_effects), F.lit(0)) > 0) | F.coalesce(F.exists(sources, lambda s: s.rlike("(?i)io|net|read|socket|http|file|db|query")), F.lit(False))
     )
 
 

@@ -25,8 +25,19 @@ def numbered(df: DataFrame, by: list[str], order: list[Column | str], place: str
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # A row for each range that goes on with the group of the one before: fewer than there are ranges.
     names = ["_c", *[f"_s{i}" for i in range(len(sums))]]
-    offsets = parts.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[F.sum(c).over(earlier).alias(f"_before{c}") for c in names]).where("_before_c is not null")
-    same = reduce(lambda x, y: x & y, [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]])
+    offsets = parts.select(F.col("_range").alias("_at"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[F.sum(c).over(earlier).alias(f"_before{c}") for c in names]).where("_before_c is not null")
+    same = reduce(lambda x, y: x & y, [F.col("_range") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]])
     rows = rows.join(F.broadcast(offsets), same, "left")
     more = {place: "_before_c"} | {n: f"_before_s{i}" for i, n in enumerate(sums)}
     return rows.select(*[F.col(c) for c in df.columns], *[(F.col(n) + F.coalesce(b, F.lit(0))).alias(n) for n, b in more.items()])
+
+
+def medians(df: DataFrame, by: list[str], value: str, name: str = "median", label: str = "medians") -> DataFrame:
+    """(``by``…, n, ``name``): the exact median of non-null values of each group, the mean of the middle two where their number is even. No group is held in one task."""
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(*by, value), by, [value], "_place", label=label)
+    sizes = ranked.groupBy(*by).agg(F.max("_place").alias("n"))
+    # Two rows of each group lie in the middle; the sizes go to the rows by the place they name.
+    middle = sizes.select(*by, "n", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))).alias("_place"))
+    same = reduce(lambda x, y: x & y, [F.col("_place") == F.col("_middle"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]])
+    found = ranked.join(middle.select(F.col("_place").alias("_middle"), "n", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]), same)
+    return found.groupBy(*by).agg(F.max("n").alias("n"), F.avg(value).alias(name))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import resolver
+from ..operators import clusters, graph, resolver, walks
 from ..registry import query
 from ..sources.tables import read_table
+from .queries import r
 
 _SYMBOLS = [
     "p_partkey AS id", "CASE WHEN p_partkey % 13 = 0 THEN 'get' WHEN p_partkey % 17 = 0 THEN concat('only', p_partkey) ELSE concat('fn', p_partkey % 701) END AS name",
@@ -53,3 +54,50 @@ def _pending(spark, d):
 @query("reference_stats", f"WITH {_GRAPH} SELECT why AS reason, count(*) AS n FROM k WHERE why IS NOT NULL GROUP BY 1")
 def _stats(spark, d):
     return _graph(spark, d)[2]
+
+
+_LINKS = ["l_partkey AS src", "l_orderkey % 211 AS dst", "CASE l_linenumber % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'invoke' ELSE 'inherit' END AS kind"]
+_FLOW = ["l_partkey AS src", "l_suppkey AS dst", "l_quantity AS calls"]
+_BETA = {"invoke": 0.4, "inherit": 0.2, "contains": 0.1, "flow": 0.3}
+_STEPS = 10  # log(0.001) / log(0.5)
+_WALK = f"""s AS (SELECT {', '.join(_SYMBOLS)} FROM part), e AS (SELECT kind, src, dst, 1.0 AS w FROM (SELECT {', '.join(_LINKS)} FROM lineitem) UNION ALL SELECT 'flow', src, dst, ln(1 + calls) FROM (SELECT {', '.join(_FLOW)} FROM lineitem)),
+v AS (SELECT e.* FROM e JOIN s a ON a.id = src JOIN s b ON b.id = dst WHERE src <> dst), n AS MATERIALIZED (SELECT kind, src, dst, sum(w) AS w FROM (SELECT * FROM v UNION ALL SELECT kind, dst, src, w FROM v) GROUP BY ALL),
+b(kind, beta) AS (VALUES {', '.join(map(str, _BETA.items()))}), g AS (SELECT src, kind, sum(w) AS degree FROM n GROUP BY ALL), t AS MATERIALIZED (SELECT n.src, n.dst, sum(beta * w / degree) AS p FROM n JOIN g USING (src, kind) JOIN b USING (kind) GROUP BY 1, 2), o AS MATERIALIZED (SELECT src, sum(beta) AS out FROM g JOIN b USING (kind) GROUP BY 1),
+z AS (SELECT id, 1 / (61 + row_number() OVER (ORDER BY id) - 1) / (SELECT count(*) FROM s x WHERE x.name = s.name) AS m FROM s WHERE id % 400 = 7), a AS MATERIALIZED (SELECT id, m / sum(m) OVER () AS s FROM z), p0 AS (SELECT id, s AS mass FROM a), {', '.join(f"""
+l{k} AS (SELECT sum(mass * (1 - coalesce(out, 0))) AS lost FROM p{k - 1} LEFT JOIN o ON src = id), m{k} AS (SELECT dst AS id, sum(mass * p) AS got FROM p{k - 1} JOIN t ON src = id GROUP BY 1), p{k} AS MATERIALIZED (SELECT id, 0.5 * coalesce(s, 0) + 0.5 * (coalesce(got, 0) + lost * coalesce(s, 0)) AS mass FROM m{k} FULL JOIN a USING (id), l{k})""" for k in range(1, _STEPS + 1))}"""
+
+
+@query("context_walk", f"WITH {_WALK} SELECT id, round(mass, 9) AS mass, id IN (SELECT id FROM a) AS anchor FROM p{_STEPS} WHERE mass > 0")
+def _walk(spark, d):
+    symbols, lines = read_table(spark, d, "part").selectExpr(*_SYMBOLS), read_table(spark, d, "lineitem")
+    hits = symbols.where("id % 400 = 7").select("id", walks.anchor_weight(F.floor(F.col("id") / 400)).alias("weight"))
+    return walks.context_walk(symbols, lines.selectExpr(*_LINKS), lines.selectExpr(*_FLOW), hits, beta=_BETA, alpha=0.5, tolerance=1e-3, budget=10**9).select("id", r("mass", 9).alias("mass"), "anchor")
+
+
+_DEPTH = 3
+_TREE = f"""k AS (SELECT DISTINCT l_partkey AS src, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS dst FROM lineitem), f0 AS (SELECT r_regionkey + 1 AS root, r_regionkey + 1 AS id, [r_regionkey + 1] AS path FROM region), seen0 AS (SELECT root, id FROM f0), {', '.join(f"""
+m{i} AS (SELECT root, path, dst AS id FROM f{i - 1} JOIN k ON src = id), c{i} AS MATERIALIZED (SELECT m.*, m.id IS NOT NULL AND NOT EXISTS (FROM seen{i - 1} s WHERE s.root = m.root AND s.id = m.id) AS fresh, min(path) OVER (PARTITION BY root, m.id) AS least FROM m{i} m),
+x{i} AS MATERIALIZED (SELECT root, CASE WHEN id IS NULL THEN path ELSE list_append(path, id) END AS path, {i} AS depth, id, CASE WHEN id IS NULL THEN 'external' WHEN NOT fresh THEN 'elsewhere' WHEN {i} > {_DEPTH} THEN 'truncated' WHEN path <> least THEN 'elsewhere' WHEN id IN (SELECT src FROM k) THEN 'expanded' ELSE 'leaf' END AS state FROM c{i}),
+f{i} AS (SELECT root, id, path FROM x{i} WHERE state = 'expanded'), seen{i} AS (SELECT root, id FROM seen{i - 1} UNION SELECT root, id FROM x{i} WHERE state IN ('expanded', 'leaf'))""" for i in range(1, _DEPTH + 2))}, tree AS (SELECT root, path, 0 AS depth, id, CASE WHEN id IN (SELECT src FROM k) THEN 'expanded' ELSE 'leaf' END AS state FROM f0 {' '.join(f'UNION ALL SELECT * FROM x{i}' for i in range(1, _DEPTH + 2))})"""
+
+
+def _tree(spark, d):
+    edges = read_table(spark, d, "lineitem").selectExpr("l_partkey AS src", "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS dst")
+    return walks.call_trees(edges, read_table(spark, d, "region").selectExpr("CAST(r_regionkey + 1 AS BIGINT) AS root"), _DEPTH)
+
+
+@query("call_trees", f"WITH {_TREE} SELECT root, array_to_string(path, '/') AS path, CAST(depth AS INT) AS depth, id, state FROM tree")
+def _call_trees(spark, d):
+    return _tree(spark, d).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
+@query("call_paths", f"WITH {_TREE} SELECT root, id, arg_min(array_to_string(path, '/'), (len(path), path)) AS path FROM tree WHERE id IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2")
+def _call_paths(spark, d):
+    found = walks.path_to(_tree(spark, d), read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
+@query("supplier_dendrogram")
+def _dendrogram(spark, d):
+    pairs = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").cast("string").alias("component")).distinct()
+    return clusters.average_linkage(pairs.select(F.col("component").alias("name")).distinct(), graph.cooccurrence(pairs)).withColumn("distance", r("distance"))
