@@ -1,4 +1,5 @@
-from tracemill.operators import ranges
+from tracemill.functions import percentiles
+from tracemill.operators import lifecycle, ranges
 
 
 def test_numbered_over_ranges(spark):
@@ -16,3 +17,25 @@ def test_numbered_over_ranges(spark):
             total += x
             want.add((g, at, x, n, total))
     assert {tuple(r) for r in got} == want and len(got) == len(data)
+
+
+def test_order_statistics_of_groups_with_equal_values(spark):
+    data = [("hot", i * 7 % 50) for i in range(1000)] + [("one", 5), ("two", 1), ("two", 2), (None, 1), ("gone", None)]
+    df = spark.createDataFrame(data, "g string, x int")
+    picks = {"low": percentiles.floor_index_at(0.3), "clamped": percentiles.clamped_index_at(0.5), "near": percentiles.nearest_rank_at(0.9), "last": lambda n: n - 1}
+    got = {r.g: tuple(r)[1:] for r in ranges.order_statistics(df, ["g"], "x", picks).collect()}
+    want = {}
+    for g in ("hot", "one", "two"):
+        v = sorted(x for k, x in data if k == g)
+        n = len(v)
+        want[g] = (n, v[int(0.3 * (n - 1))], v[min(int(n * 0.5), n - 1)], v[max(-(-9 * n // 10) - 1, 0)], v[-1])
+    assert got == want
+
+
+def test_keys_missing_from_sessions(spark):
+    sessions = [(f"s{i}", i // 2 * 10.0) for i in range(20)]
+    attempts = [(f"k{i}", float(i)) for i in range(0, 95, 5)]
+    sightings = [(f"k{i}", f"s{i * 3 % 20}") for i in range(0, 95, 5)] + [("k10", "s19"), ("k10", "s19"), ("k10", "nowhere")]
+    frames = spark.createDataFrame(sessions, "session_id string, at double"), spark.createDataFrame(attempts, "key string, last_activity double"), spark.createDataFrame(sightings, "key string, session_id string")
+    want = {k: n for k, t in attempts if (n := sum(at > t and (k, s) not in set(sightings) for s, at in sessions)) >= 3}
+    assert {r.key: r.missed for r in lifecycle.expired_keys(*frames).collect()} == want

@@ -1,4 +1,7 @@
-"""The four percentile definitions that the analyses use. They differ on small samples, so each has its own name."""
+"""The four percentile definitions that the analyses use. They differ on small samples, so each has its own name.
+
+The aggregates of three of them hold a group's values in one array: they are for small groups. Their ``…_at`` give the place in a sorted sample of n for ``ranges.order_statistics``, which takes groups of any size.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,18 @@ def floor_index(x: Column, p: float) -> Column:
     return F.get(values, F.floor(F.lit(p) * (F.size(values) - 1)).cast("int"))
 
 
+def floor_index_at(p: float):
+    return lambda n: F.floor(F.lit(p) * (n - 1))
+
+
+def clamped_index_at(p: float):
+    return lambda n: F.least(F.floor(n * F.lit(p)), n - 1)
+
+
+def nearest_rank_at(p: float):
+    return lambda n: F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0))
+
+
 def clamped_index(x: Column, p: float) -> Column:
     """The value at index floor(n * p), at most n - 1, of the sorted sample."""
     values = F.array_sort(F.collect_list(x))

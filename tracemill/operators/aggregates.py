@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.percentiles import floor_index, interpolated
+from ..functions.percentiles import floor_index_at, interpolated
 from ..functions.predicates import is_error
+from .ranges import order_statistics
 
 
 def rollup(calls: DataFrame, bucket: str = "60 seconds") -> DataFrame:
@@ -27,11 +28,10 @@ def rollup(calls: DataFrame, bucket: str = "60 seconds") -> DataFrame:
 
 def symbol_stats(calls: DataFrame) -> DataFrame:
     """Per component: calls, total time, errors, last seen, median, and high percentiles by floor index."""
-    d = F.col("duration_ms")
-    return calls.where(F.col("component").isNotNull()).groupBy("component").agg(
-        F.count("*").alias("calls"), F.sum(d).alias("total_ms"), F.count_if(is_error()).alias("errors"), F.max("ts").alias("last_seen"), interpolated(d, 0.5).alias("p50"),
-        floor_index(d, 0.95).alias("p95"), floor_index(d, 0.99).alias("p99"),
-    ).withColumn("error_rate", F.col("errors") / F.col("calls"))
+    d, rows = F.col("duration_ms"), calls.where(F.col("component").isNotNull())
+    main = rows.groupBy("component").agg(F.count("*").alias("calls"), F.sum(d).alias("total_ms"), F.count_if(is_error()).alias("errors"), F.max("ts").alias("last_seen"), interpolated(d, 0.5).alias("p50"))
+    high = order_statistics(rows.select("component", "duration_ms"), ["component"], "duration_ms", {"p95": floor_index_at(0.95), "p99": floor_index_at(0.99)}, "durations").drop("n")
+    return main.join(high, "component", "left").withColumn("error_rate", F.col("errors") / F.col("calls"))
 
 
 def request_rows(calls: DataFrame) -> DataFrame:
@@ -94,10 +94,11 @@ def suspects(calls: DataFrame, top: int | None = 20) -> DataFrame:
 
 def coverage(calls: DataFrame) -> DataFrame:
     """Per component: outcomes, time and requests; errors of its latest session only."""
-    newest = Window.partitionBy("component").orderBy(F.desc("session_id"))
-    rows = calls.where(F.col("component").isNotNull()).withColumn("_newest", F.rank().over(newest) == 1)
-    return rows.groupBy("component").agg(
-        F.count_if(~is_error()).alias("ok"), F.count_if(is_error()).alias("errors"), F.sum("duration_ms").alias("total_ms"), F.countDistinct("request_id").alias("requests"), F.count_if(is_error() & F.col("_newest")).alias("current_errors"))
+    rows = calls.where(F.col("component").isNotNull())
+    per = rows.groupBy("component", "session_id").agg(F.count_if(~is_error()).alias("ok"), F.count_if(is_error()).alias("errors"), F.sum("duration_ms").alias("ms"))
+    newest = F.coalesce(F.max_by("errors", "session_id"), F.sum("errors"))  # without any session's name all of its calls are of one
+    sums = per.groupBy("component").agg(F.sum("ok").alias("ok"), F.sum("errors").alias("errors"), F.sum("ms").alias("total_ms"), newest.alias("current_errors"))
+    return sums.join(rows.groupBy("component").agg(F.countDistinct("request_id").alias("requests")), "component").select("component", "ok", "errors", "total_ms", "requests", "current_errors")
 
 
 def callers_of(calls: DataFrame, component: str) -> DataFrame:

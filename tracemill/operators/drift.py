@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialised
-from .ranges import numbered
-from .statistics import benjamini_hochberg, ks_two_sample
+from .statistics import benjamini_hochberg, distribution_distance, ks_two_sample
 
 # The rollup's columns that a drift report compares.
 REPORT_COLUMNS = (
@@ -47,16 +46,6 @@ def _binned(values: DataFrame, lo: str, hi: str, n: str) -> DataFrame:
     return both.select("metric", "bin", share("r").alias("p"), share("c").alias("q"))
 
 
-def distribution_distance(points: DataFrame) -> DataFrame:
-    """(metric, wasserstein): the area between two distribution functions. ``points``: metric, value, r, c (how often in either sample), one row a value. Sums run over sorted ranges."""
-    run = materialised(numbered(points, ["metric"], ["value"], "_place", {"upto_r": "r", "upto_c": "c"}, "distribution"), "distribution")
-    whole = run.groupBy("metric").agg(F.max("upto_r").alias("nr"), F.max("upto_c").alias("nc"))
-    after = run.select("metric", (F.col("_place") - 1).alias("_place"), F.col("value").alias("next"))
-    gap = F.abs(F.col("upto_r") / F.col("nr") - F.col("upto_c") / F.col("nc")) * (F.col("next") - F.col("value"))
-    out = run.join(after, ["metric", "_place"]).join(whole, "metric").groupBy("metric").agg(F.sum(gap).alias("wasserstein"))
-    return whole.select("metric").join(out, "metric", "left").fillna(0.0, ["wasserstein"])
-
-
 def drift_report(metrics: DataFrame, baseline: str, window: str, columns: tuple[str, ...] = REPORT_COLUMNS) -> DataFrame:
     """metric, psi, kl_histogram, entropy_divergence, wasserstein, n_baseline, n_window of each of ``columns`` that ``metrics`` (bucket and columns) has.
 

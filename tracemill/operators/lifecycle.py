@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.percentiles import MAD_SCALE, median_of
+from .ranges import numbered
 
 
 def latest_session(rows: DataFrame, key: list[str], epoch: str = "epoch", at: str = "captured_ts") -> DataFrame:
@@ -92,10 +93,17 @@ def completed_episodes(events: DataFrame) -> DataFrame:
 
 
 def expired_keys(sessions: DataFrame, attempts: DataFrame, sightings: DataFrame, least: int = 3) -> DataFrame:
-    """Keys that were in none of at least so many sessions after their last activity."""
-    later = attempts.join(sessions, F.col("at") > F.col("last_activity")).select("key", "session_id")
-    missed = later.join(sightings, ["key", "session_id"], "left_anti")
-    return missed.groupBy("key").agg(F.count("*").alias("missed")).where(F.col("missed") >= least)
+    """Keys that were in none of at least so many sessions after their last activity.
+
+    ``sessions``: session_id, at, one row each. ``attempts``: key, last_activity, one row each. ``sightings``: key, session_id. The sessions up to a time are numbered over sorted ranges of both tables' times, and those after it that saw the key are taken off.
+    """
+    both = sessions.select(F.col("at"), F.lit(0).alias("_kind"), F.lit(None).cast(attempts.schema["key"].dataType).alias("key"), F.lit(1).alias("_one"))
+    both = both.unionByName(attempts.select(F.col("last_activity").alias("at"), F.lit(1).alias("_kind"), "key", F.lit(0).alias("_one"))).where("at is not null").withColumn("_g", F.lit(0))
+    upto = numbered(both, ["_g"], ["at", "_kind"], "_place", {"_before": "_one"}, "session-times").where("_kind = 1").select("key", "_before")
+    total = sessions.where("at is not null").agg(F.count("*").alias("_all"))
+    seen = sightings.select("key", "session_id").distinct().join(sessions, "session_id").join(attempts, "key").where(F.col("at") > F.col("last_activity")).groupBy("key").agg(F.count("*").alias("_seen"))
+    missed = upto.join(F.broadcast(total)).join(seen, "key", "left").select("key", (F.col("_all") - F.col("_before") - F.coalesce("_seen", F.lit(0))).alias("missed"))
+    return missed.where(F.col("missed") >= least)
 
 
 def active_since(events: DataFrame, since: float) -> DataFrame:

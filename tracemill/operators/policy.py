@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialised
+from .intervals import halves
 from .statistics import shrunk_mean
 
 
@@ -84,8 +86,7 @@ def epoch_deltas(samples: DataFrame, baseline: int, target: int, least: int = 20
     Action means are fitted on two halves of each action's samples of the epoch, dealt in turn by a hash of the decision, and used for
     the other half; a half without an action falls back on the half's mean.
     """
-    w = Window.partitionBy("epoch", "action").orderBy(F.sha2(F.col("decision_id").cast("string"), 256))
-    s = samples.withColumn("fold", (F.row_number().over(w) - 1) % 2).withColumn("fit", 1 - F.col("fold"))
+    s = materialised(halves(samples, ["epoch", "action"]).withColumn("fit", 1 - F.col("fold")), "folds")
     per = s.groupBy("epoch", "fold", "action").agg(F.sum("reward").alias("total"), F.count("reward").alias("n"))
     half = per.groupBy(F.col("epoch").alias("_epoch"), F.col("fold").alias("fit")).agg(  # each half's means, for the other one
         (F.sum("total") / F.sum("n")).alias("overall"), *[(F.sum(F.when(F.col("action") == a, F.col("total"))) / F.sum(F.when(F.col("action") == a, F.col("n")))).alias(f"_{name}") for name, a in (("b", baseline), ("t", target))])

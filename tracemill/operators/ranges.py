@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialised
+from .skew import spread_join
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column | str], place: str = "place", sums: dict[str, str] | None = None, label: str = "ranges") -> DataFrame:
@@ -41,3 +43,17 @@ def medians(df: DataFrame, by: list[str], value: str, name: str = "median", labe
     same = reduce(lambda x, y: x & y, [F.col("_place") == F.col("_middle"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]])
     found = ranked.join(middle.select(F.col("_place").alias("_middle"), "n", *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]), same)
     return found.groupBy(*by).agg(F.max("n").alias("n"), F.avg(value).alias(name))
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str, picks: dict[str, Callable[[Column], Column]], label: str = "order-statistics") -> DataFrame:
+    """(``by``…, n and a column for each of ``picks``): of each group's n non-null values in order the one at the index (from 0) that the pick gives for n.
+
+    Equal values are one row with their number, so that a group is as large as it has different values; these are spread over ranges. Groups with a null in ``by`` have no row.
+    """
+    counts = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*by, value]])).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    run = materialised(numbered(counts, by, [value], "_place", {"_upto": "_n"}, label), label)
+    sizes = run.groupBy(*by).agg(F.max("_upto").alias("n"))
+    wanted = sizes.select("*", *[pick(F.col("n")).cast("long").alias(f"_i{k}") for k, pick in enumerate(picks.values())])
+    both = spread_join(run, wanted, by, by[0])
+    here = lambda k: (F.col(f"_i{k}") < F.col("_upto")) & (F.col(f"_i{k}") >= F.col("_upto") - F.col("_n"))
+    return both.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(here(k), F.col(value))).alias(name) for k, name in enumerate(picks)])

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialised
+from .intervals import halves
+from .ranges import numbered
 
 EPS = 1e-12
 
@@ -55,11 +57,17 @@ def binned_kl(reference: DataFrame, current: DataFrame, bins: int = 12) -> DataF
 def wasserstein(reference: DataFrame, current: DataFrame) -> DataFrame:
     """Area between the two distribution functions of each metric."""
     both = reference.select("metric", "value", F.lit(1).alias("r"), F.lit(0).alias("c")).union(current.select("metric", "value", F.lit(0).alias("r"), F.lit(1).alias("c"))).where("value is not null")
-    points = both.groupBy("metric", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    w = Window.partitionBy("metric").orderBy("value")
-    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("metric")
-    gap = F.abs(F.sum("r").over(upto) / F.sum("r").over(whole) - F.sum("c").over(upto) / F.sum("c").over(whole))
-    return points.select("metric", (gap * (F.lead("value").over(w) - F.col("value"))).alias("area")).groupBy("metric").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("wasserstein"))
+    return distribution_distance(both.groupBy("metric", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c")))
+
+
+def distribution_distance(points: DataFrame) -> DataFrame:
+    """(metric, wasserstein): the area between two distribution functions. ``points``: metric, value, r, c (how often in either sample), one row a value. Sums run over sorted ranges."""
+    run = materialised(numbered(points, ["metric"], ["value"], "_place", {"upto_r": "r", "upto_c": "c"}, "distribution"), "distribution")
+    whole = run.groupBy("metric").agg(F.max("upto_r").alias("nr"), F.max("upto_c").alias("nc"))
+    after = run.select("metric", (F.col("_place") - 1).alias("_place"), F.col("value").alias("next"))
+    gap = F.abs(F.col("upto_r") / F.col("nr") - F.col("upto_c") / F.col("nc")) * (F.col("next") - F.col("value"))
+    out = run.join(after, ["metric", "_place"]).join(whole, "metric").groupBy("metric").agg(F.sum(gap).alias("wasserstein"))
+    return whole.select("metric").join(out, "metric", "left").fillna(0.0, ["wasserstein"])
 
 
 def theil_sen(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -225,8 +233,7 @@ def policy_samples(decisions: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def off_policy(samples: DataFrame, target: int, clip: float | None = None) -> DataFrame:
     """Direct, weighted, self-normalised and doubly robust value of always taking ``target``, cross-fitted on two stratified halves."""
-    w = Window.partitionBy("action").orderBy(F.sha2(F.col("decision_id").cast("string"), 256))
-    s = samples.withColumn("fold", (F.row_number().over(w) - 1) % 2)
+    s = materialised(halves(samples, ["action"]), "folds")
     model = s.groupBy((1 - F.col("fold")).alias("fold"), "action").agg(F.avg("reward").alias("mean"))
     overall = s.groupBy((1 - F.col("fold")).alias("fold")).agg(F.avg("reward").alias("overall"))
     at = model.where(F.col("action") == target).select("fold", F.col("mean").alias("_target"))

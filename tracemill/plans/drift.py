@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import drift
+from ..operators import drift, shapes
 from ..registry import query
 from ..sources.tables import read_table
 from .queries import r
@@ -48,3 +48,12 @@ def _causes(spark, d):
     rows = _rollup(spark, d).select("bucket", "component", F.col("latency_p50").alias("value"))
     o = drift.root_causes(rows, spark.createDataFrame(_CHAIN, "src string, dst string"), "2024-01-01,2024-01-15 23:59:59", "2024-01-16,2024-02-28")
     return o.select("component", r("ks").alias("ks"), r("shift").alias("shift"), "n_normal", "n_incident")
+
+
+_BODY = """CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN props WHEN 2 THEN concat('{"ok": ', event_id % 2 = 0, ', "items": [', props, ', ', event_id, ', ', props, ']}') WHEN 3 THEN concat('text ', props) ELSE CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[1]' ELSE '[1, 2.5, -3e9]' END END"""
+
+
+@query("response_shapes", """WITH s AS (SELECT CASE event_id % 5 WHEN 0 THEN 'empty' WHEN 3 THEN 'raw:text/plain' ELSE 'json:' || substr(sha256(CASE event_id % 5 WHEN 1 THEN '{k:number}' WHEN 2 THEN '{items:[number|{k:number}],ok:boolean}' ELSE CASE event_id % 3 WHEN 0 THEN '[]' ELSE '[number]' END END), 1, 16) END AS shape FROM events) SELECT shape, count(*) AS n FROM s GROUP BY 1""")
+def _shapes(spark, d):
+    e = read_table(spark, d, "events").select(F.col("event_id").alias("key"), F.expr(_BODY).alias("body"), F.lit("text/plain; charset=utf-8").alias("content_type"))
+    return shapes.shape_hashes(e).groupBy("shape").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import percentiles, predicates, text
-from ..operators import aggregates, graph, lifecycle, retrieval, spans, statistics
+from ..operators import aggregates, graph, lifecycle, ranges, retrieval, spans, statistics
 from ..registry import query
 from ..sources.tables import read_table
 from .views import CALLS, HALVES, calls, halves
@@ -104,8 +104,10 @@ def _histogram(spark, d):
 @query("percentile_kinds", """WITH v AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS v, quantile_cont(l_extendedprice, 0.9) AS i, quantile_disc(l_extendedprice, 0.9) AS nr FROM lineitem GROUP BY 1)
 SELECT l_returnflag, round(i, 6) AS interpolated, v[1 + CAST(floor(0.9 * (len(v) - 1)) AS INT)] AS floor_index, v[1 + least(CAST(floor(len(v) * 0.9) AS INT), len(v) - 1)] AS clamped_index, nr AS nearest_rank FROM v""")
 def _percentiles(spark, d):
-    x = F.col("l_extendedprice")
-    return read_table(spark, d, "lineitem").groupBy("l_returnflag").agg(r(percentiles.interpolated(x, 0.9)).alias("interpolated"), percentiles.floor_index(x, 0.9).alias("floor_index"), percentiles.clamped_index(x, 0.9).alias("clamped_index"), percentiles.nearest_rank(x, 0.9).alias("nearest_rank"))
+    picks = {"floor_index": percentiles.floor_index_at(0.9), "clamped_index": percentiles.clamped_index_at(0.9), "nearest_rank": percentiles.nearest_rank_at(0.9), "after": lambda n: F.ceil(0.9 * (n - 1))}
+    o = ranges.order_statistics(read_table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", picks)
+    part = 0.9 * (F.col("n") - 1) - F.floor(0.9 * (F.col("n") - 1))
+    return o.select("l_returnflag", r(F.col("floor_index") + part * (F.col("after") - F.col("floor_index"))).alias("interpolated"), "floor_index", "clamped_index", "nearest_rank")
 
 
 @query("pareto_hotspots", """WITH t AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1), k AS (SELECT *, sum(total) OVER () AS al, coalesce(sum(total) OVER (ORDER BY total DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (ORDER BY total DESC, o_custkey) AS n FROM t)
@@ -208,7 +210,9 @@ def _bm25(spark, d):
     return retrieval.bm25_search(p, "brand 12 part 7").select(F.col("doc_id").alias("p_partkey"), r("score").alias("score"))
 
 
-@query("bm25_documents")
+@query("bm25_documents", r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '([^0-9])([0-9])', '\1 \2', 'g'), '([0-9])([^0-9])', '\1 \2', 'g'), 'İ', 'i', 'g')), '[\p{L}\p{M}\p{N}]+') AS t FROM documents),
+n AS (SELECT count(*) AS n, avg(len(t)) AS m FROM d), h AS (SELECT doc_id, len(t) AS len, term, len(list_filter(t, lambda x: x = term)) AS tf FROM d, (VALUES ('license'), ('version'), ('token')) q(term)), f AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY 1)
+SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / m))), 6) AS score FROM h JOIN f USING (term), n WHERE tf > 0 GROUP BY 1""")
 def _bm25_documents(spark, d):
     p = read_table(spark, d, "documents").select("doc_id", "text")
     return retrieval.bm25_search(p, "license version token").withColumn("score", r("score"))
@@ -259,7 +263,10 @@ def _ope(spark, d):
     return statistics.off_policy(s, 1).select("n", *[r(c).alias(c) for c in ("dm", "ips", "snips", "dr")], r("ess", 4).alias("ess"))
 
 
-@query("learned_invariants")
+@query("learned_invariants", """WITH f AS (SELECT o_orderpriority AS endpoint, o_orderkey AS seq, 'order_id' AS field, CAST(o_orderkey AS VARCHAR) AS text, CAST(o_orderkey AS DOUBLE) AS number FROM orders UNION ALL SELECT o_orderpriority, o_orderkey, 'status', o_orderstatus, NULL FROM orders),
+u AS (SELECT *, number > lag(number) OVER (PARTITION BY endpoint, field ORDER BY seq) AS up FROM f), g AS (SELECT endpoint, field, count(*) AS n, count(*) - count(text) AS nulls, count(DISTINCT text) AS kinds, count(number) AS numbers, min(number) AS low, max(number) AS high, bool_and(coalesce(up, true)) AS rises FROM u GROUP BY 1, 2 HAVING count(*) >= 5),
+k AS (SELECT *, unnest(['never_null', 'stable_enum', 'numeric_bound', 'id_monotonic']) AS kind FROM g), x AS (SELECT *, CASE kind WHEN 'numeric_bound' THEN 2 / (n + 1) WHEN 'stable_enum' THEN kinds / n ELSE pow(2.0, -n) END AS chance FROM k WHERE CASE kind WHEN 'never_null' THEN nulls = 0 WHEN 'stable_enum' THEN nulls = 0 AND kinds BETWEEN 2 AND 8 WHEN 'numeric_bound' THEN numbers = n AND low < high ELSE numbers = n AND rises AND field LIKE '%id' END)
+SELECT endpoint, field, n, kinds, low, high, kind, (n + 1) / (n + 2) AS confidence, chance, chance <= 0.10 AS enforced FROM x""")
 def _invariants(spark, d):
     o = read_table(spark, d, "orders")
     f = F.explode(F.array(F.struct(F.lit("order_id").alias("field"), F.col("o_orderkey").cast("string").alias("text"), F.col("o_orderkey").cast("double").alias("number")), F.struct(F.lit("status").alias("field"), F.col("o_orderstatus").alias("text"), F.lit(None).cast("double").alias("number")))).alias("x")
