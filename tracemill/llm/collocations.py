@@ -1,8 +1,8 @@
 """Phrase collocations: word sequences that occur more often than their parts would have them meet.
 
 Texts are cut into pieces at punctuation; equal pieces of a language become one row with its multiplicity. A slice of pieces is laid out as arrays of
-words, its n-grams are added up with the pieces' multiplicities, and the sums go to the hash buckets of their phrases, where duckdb adds them
-up out of core: it reads the bucket as a stream, holds ``MEMORY`` and spills the rest to the task's scratch folder (beside Spark's own spill files;
+words, its n-grams are added up with the pieces' multiplicities, and the sums go, compressed, to the hash buckets of their phrases (``BUCKETS`` for each shuffle
+partition), where duckdb adds them up out of core: it reads the bucket as a stream, holds ``MEMORY`` and spills the rest to the task's scratch folder (beside Spark's own spill files;
 removed when the task ends, and nothing else reads it). A phrase that occurs ``least`` times has parts that do so too, so only those are kept.
 
 Each candidate then asks for the counts of its parts: requests are shuffled to the counts, answers back to the candidates. A part with more than 1 / HOT
@@ -17,6 +17,7 @@ is counted whole. Scores are exact for counts below 10^15.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import tempfile
@@ -25,19 +26,21 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
 from .common import as_bytes, keep, slices, table
 
 WORDS, LEAST, INSIDE, TOP = 3, 10, 50, 2_000
 #: What duckdb may hold in one task.
 MEMORY = "300MB"
 #: Piece text whose n-grams are laid out at a time, in bytes.
-SLICE = 4_000_000
+SLICE = 8_000_000
+#: Hash buckets for each shuffle partition: the smaller a bucket, the less duckdb spills.
+BUCKETS = 3
 HOT = 20_000
-#: Parts that a language is ranked in before its best are ranked together.
-PARTS = 32
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 
 
@@ -45,7 +48,7 @@ def pieces(docs: DataFrame) -> DataFrame:
     """lang, piece (lower-cased words joined by one space), times: each distinct piece once."""
 
     def run(batches):
-        for batch in slices(batches, most=4 * SLICE):
+        for batch in slices(batches, most=SLICE):
             langs = batch.column("lang").to_pylist()
             found: Counter = Counter()
             for lang, text in zip(langs, as_bytes(batch), strict=True):
@@ -60,7 +63,7 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 def ngrams(text: list[bytes], times: np.ndarray, most: int):
-    """(words in a phrase, phrases, how often) of all phrases of up to ``most`` words within the pieces, repeated phrases added up."""
+    """(words in a phrase, phrases, how often, hashes) of all phrases of up to ``most`` words within the pieces, repeated phrases added up."""
     joined = np.frombuffer(b"\n".join(text) + b"\n", np.uint8)
     ends = np.flatnonzero((joined == 32) | (joined == 10))
     last = joined[ends] == 10
@@ -68,54 +71,97 @@ def ngrams(text: list[bytes], times: np.ndarray, most: int):
     offsets = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     weight = np.repeat(times, np.diff(np.concatenate(([-1], np.flatnonzero(last)))))
-    phrases, start = words, np.arange(len(ends))
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    with np.errstate(over="ignore"):
+        word_hash = np.add.reduceat((data + np.uint64(1)) * (_ODD * (2 * place.astype(np.uint64) + np.uint64(1))), offsets[:-1])
+        word_hash = (word_hash ^ (word_hash >> np.uint64(29))) * _ODD
+    phrases, start, hashes = words, np.arange(len(ends)), word_hash
     for n in range(1, most + 1):
         if n > 1:
             going = start + n - 1 < len(ends)
             going[going] = ~last[start[going] + n - 2]  # not past the end of the piece
             start = start[going]
             phrases = pc.binary_join_element_wise(phrases.filter(pa.array(going)), words.take(pa.array(start + n - 1)), pa.scalar(" ", pa.large_string()))
+            hashes = hashes[going] * _ODD + word_hash[start + n - 1]
         if not len(start):
             return
-        sums = pa.table({"phrase": phrases, "f": weight[start]}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
-        yield n, sums["phrase"].combine_chunks(), sums["f_sum"].combine_chunks()
+        sums = pa.table({"phrase": phrases, "f": weight[start], "h": hashes}).group_by("phrase", use_threads=False).aggregate([("f", "sum"), ("h", "min")])
+        yield n, sums["phrase"].combine_chunks(), sums["f_sum"].combine_chunks(), sums["h_min"].to_numpy()
 
 
-def _slice_counts(most: int):
+def _joined(batches):
+    """Batches of about ``SLICE`` bytes of pieces, put together from smaller ones or cut from larger ones."""
+    held, size = [], 0
+    for batch in slices(batches, "piece", SLICE):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _slice_counts(most: int, buckets: int):
+    """Counts of a slice, one compressed row for each hash bucket. Its sections are the languages' phrases of one length: the counts, then the phrases with a line end each."""
+
     def run(batches):
-        for batch in slices(batches, "piece", SLICE):
-            langs = batch.column("lang").to_pylist()
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in _joined(batches):
+            lang_of = np.array(batch.column("lang").to_pylist(), object)
             text, times = as_bytes(batch, "piece"), batch.column("times").to_numpy(zero_copy_only=False)
-            groups: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                groups.setdefault(lang, []).append(i)
-            for lang, rows in groups.items():
-                for n, phrases, f in ngrams([text[i] for i in rows], times[rows], most):
-                    k = len(phrases)
-                    for a in range(0, k, 50_000):
-                        part = phrases.slice(a, 50_000)
-                        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang), len(part)), "size": pa.repeat(pa.scalar(n, pa.int32()), len(part)), "phrase": part.cast(pa.string()), "f": f.slice(a, 50_000).cast(pa.int64())})
+            sections: dict[int, list] = {}
+            for lang in dict.fromkeys(lang_of.tolist()):
+                rows = np.flatnonzero(lang_of == lang)
+                for size, phrases, f, h in ngrams([text[i] for i in rows], times[rows], most):
+                    bucket = ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    counts = f.to_numpy()[order].astype(np.int64)
+                    lines = pc.binary_join_element_wise(phrases.take(pa.array(order)), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+                    at, data = np.frombuffer(lines.buffers()[1], np.int64)[: len(lines) + 1], lines.buffers()[2]
+                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    for b in np.flatnonzero(np.diff(cuts)):
+                        i, j = cuts[b], cuts[b + 1]
+                        sections.setdefault(int(b), []).append((lang, size, int(j - i), counts[i:j].tobytes() + data[int(at[i]) : int(at[j])].to_pybytes()))
+            out = []
+            for b, parts in sections.items():
+                langs, sizes, ns, raw = zip(*parts, strict=True)
+                out.append((b, list(langs), list(sizes), list(ns), list(map(len, raw)), codec.compress(b"".join(raw), asbytes=True)))
+                sections[b] = None
+            if out:
+                yield pa.RecordBatch.from_pydict({n: pa.array(v, t) for (n, t), v in zip(_PACKED.items(), zip(*out, strict=True), strict=True)})
 
     return run
 
 
+def _unpacked(batches):
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for row in batch.to_pylist():
+            raw, start = codec.decompress(row["data"], sum(row["bytes"]), asbytes=True), 0
+            for lang, size, n, length in zip(row["lang"], row["size"], row["n"], row["bytes"], strict=True):
+                counts = np.frombuffer(raw, np.int64, n, start)
+                lines = np.frombuffer(raw, np.uint8, length - 8 * n, start + 8 * n)
+                start += length
+                ends = np.flatnonzero(lines == 10)
+                offsets = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int64)
+                phrases = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(lines[lines != 10])])
+                yield pa.RecordBatch.from_pydict({"lang": pa.repeat(pa.scalar(lang, pa.string()), n), "size": pa.repeat(pa.scalar(size, pa.int32()), n), "phrase": phrases.cast(pa.string()), "f": counts})
+
+
 def _bucket_counts(least: int, memory: str):
     """Adds up one hash bucket in duckdb; a row of size 0 for each language has the words counted here, frequent or not."""
 
     def run(batches):
         import duckdb
 
-        first = next((b for b in batches if b.num_rows), None)
+        rows = _unpacked(batches)
+        first = next(rows, None)
         if first is None:
             return
-
-        def rest():
-            yield first
-            yield from batches
-
         with tempfile.TemporaryDirectory(prefix="counts-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as scratch:
             with duckdb.connect(config={"memory_limit": memory, "temp_directory": scratch, "threads": 1, "preserve_insertion_order": False}) as db:
-                db.register("parts", pa.RecordBatchReader.from_batches(first.schema, rest()))
+                db.register("parts", pa.RecordBatchReader.from_batches(first.schema, itertools.chain([first], rows)))
                 words: Counter = Counter()
                 sums = db.sql("SELECT lang, any_value(size) AS size, phrase, CAST(sum(f) AS BIGINT) AS f FROM parts GROUP BY lang, phrase")
                 for out in sums.to_arrow_reader(50_000):
@@ -131,14 +177,15 @@ def _bucket_counts(least: int, memory: str):
     return run
 
 
+_PACKED = {"bucket": pa.int32(), "lang": pa.list_(pa.string()), "size": pa.list_(pa.int32()), "n": pa.list_(pa.int32()), "bytes": pa.list_(pa.int64()), "data": pa.binary()}
 _SHAPE = {"lang": pa.string(), "size": pa.int32(), "phrase": pa.string(), "f": pa.int64()}
 
 
 def frequent(docs: DataFrame, most: int = WORDS, least: int = LEAST, memory: str = MEMORY) -> DataFrame:
     """lang, size, phrase, f of every phrase of up to ``most`` words that occurs ``least`` times; rows of size 0 add up to a language's words."""
-    shape = "lang string, size int, phrase string, f long"
-    parts = pieces(docs).mapInArrow(_slice_counts(most), shape)
-    return keep(parts.repartition("lang", "phrase").mapInArrow(_bucket_counts(least, memory), shape), "phrase-counts")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = pieces(docs).mapInArrow(_slice_counts(most, buckets), "bucket int, lang array<string>, size array<int>, n array<int>, bytes array<bigint>, data binary")
+    return keep(parts.repartition(buckets, "bucket").mapInArrow(_bucket_counts(least, memory), "lang string, size int, phrase string, f long"), "phrase-counts")
 
 
 def scored(counts: DataFrame, most: int = WORDS) -> DataFrame:
@@ -176,10 +223,7 @@ def collocations(docs: DataFrame, *, words: int = WORDS, least: int = LEAST, ins
     """
     counts = frequent(docs, words, least, memory)
     own = scored(counts, words).where(F.col("inside").isNull() | (100 * F.col("inside") < inside * F.col("a"))).drop("inside")
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
-    best = own.withColumn("_p", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_p").orderBy(*order))).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    best = numbered(own, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], "rank", label="phrase-ranks").where(F.col("rank") <= top)
     n = counts.where("size = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
