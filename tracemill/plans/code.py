@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, graph, resolver, walks
+from ..operators import clusters, graph, joining, resolver, walks
 from ..registry import query
 from ..sources.tables import read_table
 from .queries import r
@@ -101,3 +101,38 @@ def _call_paths(spark, d):
 def _dendrogram(spark, d):
     pairs = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").cast("string").alias("component")).distinct()
     return clusters.average_linkage(pairs.select(F.col("component").alias("name")).distinct(), graph.cooccurrence(pairs)).withColumn("distance", r("distance"))
+
+
+_COMPONENT = "concat('pkg', l_suppkey % 5, '.mod', l_orderkey % 11, CASE WHEN l_linenumber > 4 THEN '.deep' ELSE '' END, '.fn', l_partkey % 720)"
+
+
+@query("component_chunks", f"""WITH s AS (SELECT {', '.join(_SYMBOLS)} FROM part), c AS (SELECT DISTINCT {_COMPONENT} AS component FROM lineitem), x AS (SELECT component, id, len(list_filter(string_split(component, '.')[:-2], lambda p: contains(file, p))) AS score FROM c JOIN s ON s.name = string_split(component, '.')[-1])
+SELECT component, arg_max(id, (score, -id)) AS id FROM x GROUP BY 1""")
+def _component_chunks(spark, d):
+    return joining.component_chunks(read_table(spark, d, "lineitem").select(F.expr(_COMPONENT).alias("component")), read_table(spark, d, "part").selectExpr(*_SYMBOLS))
+
+
+_OVERLAY = "concat('m', c_custkey % 7, CASE WHEN c_custkey % 2 = 0 THEN concat('.f', c_custkey % 50) ELSE '' END)"
+_OVERLAID = "concat('m', o_custkey % 9, '.f', o_orderkey % 80)"
+
+
+@query("overlay_lookup", f"""WITH v AS (SELECT {_OVERLAY} AS name, min(c_custkey) AS line FROM customer GROUP BY 1), o AS (SELECT o_orderkey, {_OVERLAID} AS component FROM orders)
+SELECT o_orderkey, component, coalesce(a.line, b.line) AS line FROM o LEFT JOIN v a ON a.name = component LEFT JOIN v b ON b.name = string_split(component, '.')[1]""")
+def _overlay(spark, d):
+    overlay = read_table(spark, d, "customer").groupBy(F.expr(_OVERLAY).alias("component")).agg(F.min("c_custkey").alias("line"))
+    found = joining.overlay_lookup(read_table(spark, d, "orders").select("o_orderkey", F.expr(_OVERLAID).alias("component")), overlay)
+    return found.select("o_orderkey", "component", "overlay.line")
+
+
+@query("invariant_violations", """WITH v AS (SELECT o_orderkey AS key, list_filter([CASE WHEN o_custkey % 10 = 0 THEN 'never_null cust' END, CASE WHEN o_totalprice NOT BETWEEN 50000 AND 250000 AND o_orderpriority <> '1-URGENT' THEN 'numeric_bound total' END, CASE WHEN o_orderkey % 3 = 0 THEN 'size_relation' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'stable_enum state' END], lambda x: x IS NOT NULL) AS v FROM orders WHERE o_orderkey % 4 < 2)
+SELECT key, array_to_string(v, '; ') AS violations FROM v WHERE len(v) > 0""")
+def _violations(spark, d):
+    o = read_table(spark, d, "orders")
+    body = """concat('[{"state": "', o_orderstatus, '", "total": ', o_totalprice, ', "cust": ', CASE WHEN o_custkey % 10 = 0 THEN 'null' ELSE CAST(o_custkey AS STRING) END, ', "order_id": ', o_orderkey, '}]')"""
+    rows = o.selectExpr("o_orderkey AS key", "o_orderpriority AS endpoint", "CAST(200 + 100 * (o_orderkey % 4) AS INT) AS status", f"{body} AS body", "100 AS input_size", "CASE WHEN o_orderkey % 3 = 0 THEN 101 ELSE 100 END AS output_size")
+    learned = [("cust", "never_null", 40, None, None, None), ("state", "stable_enum", 40, ["F", "O"], None, None), ("total", "numeric_bound", 40, None, 50000.0, 250000.0), ("order_id", "numeric_bound", 40, None, 0.0, 1.0), (None, "size_relation", 40, None, None, None)]
+    kinds = spark.createDataFrame(learned, "field string, kind string, support long, values array<string>, low double, high double")
+    # The range of one endpoint was learned from too few responses to count.
+    few = F.when((F.col("endpoint") == "1-URGENT") & (F.col("kind") == "numeric_bound"), 5).otherwise(F.col("support"))
+    known = o.select(F.col("o_orderpriority").alias("endpoint")).distinct().join(F.broadcast(kinds), F.lit(True)).withColumns({"support": few, "confidence": F.lit(0.95)})
+    return joining.invariant_violations(rows, known)
