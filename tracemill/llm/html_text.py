@@ -80,9 +80,7 @@ class Tags:
         self.page, self.last, self.dead = page, page.rfind(">"), set()
 
     def end(self, at: int) -> int:
-        """Where the tag whose name ends before ``at`` ends; -1: nowhere."""
-        if at > self.last:
-            return -1
+        """Where the tag whose name ends before ``at`` ends; a ``>`` is known to follow."""
         way, i = [], at
         while m := _QUOTE.search(self.page, i):
             k = m.start()
@@ -106,10 +104,17 @@ class Tags:
             if m.start() > self.last:
                 rest = self.page.find("<!--", m.start())  # an open comment hides the rest of the page even where no tag can end
                 return (rest, len(self.page), "", "", "") if rest >= 0 else None
-            close = self.page.find(">", m.end()) if m[2] else self.end(m.end())
-            if close >= 0:
-                return m.start(), close + 1, m[3] or "", (m[4] or "").lower(), self.page[m.end() : close] if m[4] else ""
             at = m.end()
+            close = self.page.find(">", at)
+            if close < 0:
+                continue
+            if m[2]:
+                return m.start(), close + 1, "", "", ""
+            attrs = self.page[at:close]
+            if "'" in attrs or attrs.count('"') % 2:  # else all quotes before the first > are closed
+                close = self.end(at)
+                attrs = self.page[at:close]
+            return m.start(), close + 1, m[3], m[4].lower(), attrs
         return None
 
 
@@ -164,7 +169,8 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if slash:
-            here = open_.nearest((tag,))
+            places = open_.places.get(tag)
+            here = places[-1] if places else 0
             if here and (tag not in _WITHIN or here > open_.nearest(_BARRIERS)):
                 open_.cut(here)
             continue
