@@ -85,3 +85,12 @@ def test_policy_of_no_evidence(spark):
     r = policy.support(logged, 1).first()
     assert (r.n, r.ess, r.clip, r.supported) == (0, 0.0, 1.0, False)
     assert policy.epoch_deltas(logged, 0, 1).count() == 0
+
+
+def test_fault_verdicts(spark):
+    rows = [
+        ("chunk-convergence", "error", "ValueError", None, "fault-divergence"), ("chunk-convergence", "ok", None, True, None), ("import", "error", "ValueError", None, "import-error"), ("run", "error", "ValueError", None, None), ("run", "error", "KeyError", None, "fault-crash"),
+        ("run", "error", None, None, "fault-crash"), ("chunk-sweep", "error", "ValueError", True, "fault-divergence"), ("chunk-sweep", "error", "ValueError", False, None), ("chunk-sweep", "error", "KeyError", None, "fault-crash"), (None, None, "KeyError", True, None), (None, "error", "TypeError", None, None), ("run", "error", "ValueError", True, None),
+    ]
+    df = spark.createDataFrame(rows, "phase string, status string, error_type string, divergent boolean, expected string")
+    assert df.where(~verdicts.fault_verdict(*map(F.col, ("phase", "status", "error_type", "divergent"))).eqNullSafe(F.col("expected"))).count() == 0

@@ -12,7 +12,8 @@ def call_forest(log: DataFrame) -> DataFrame:
     ``log``: request_id, thread_id, seq (order within a thread), ts, component, event (enter or exit). Events pair last in, first out:
     with +1 for an enter and -1 for an exit, an enter that lifts the running sum to a level ends with the next exit that leaves this
     level. An exit without an enter pairs with nothing; an enter without an exit stays open (null exit). The enclosing call of an enter
-    is the latest enter one level below.
+    is the latest enter one level below. For logs in the order of the calls: where spans are logged when they end, or exits may be lost, see
+    ``traces.paired_spans`` (by recorded depths) and ``traces.line_order_spans`` (by components).
     """
     thread = ["request_id", "thread_id"]
     rows = log.where(F.col("event").isin("enter", "exit")).select(*thread, "seq", "ts", "component", "event")

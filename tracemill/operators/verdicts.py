@@ -130,3 +130,15 @@ def resolution_differences(resolved: DataFrame) -> DataFrame:
     modes = ok.agg(F.count_distinct("mode").alias("modes"))
     g = ok.where("package is not null").groupBy("package").agg(F.count_distinct("mode").alias("n"), F.array_sort(F.collect_set("version")).alias("versions"), F.count_if(F.col("version").isNull()).alias("missing"))
     return g.join(F.broadcast(modes), (F.col("modes") >= 2) & ((F.col("n") < F.col("modes")) | (F.size("versions") > 1) | (F.col("missing") > 0))).select("package", "versions")  # the broadcast side is one row
+
+
+# Exceptions by which a consumer refuses what it was given.
+TYPED_REJECTIONS = ("TypeError", "ValueError", "NotImplementedError", "ValidationError", "PydanticCustomError")
+
+
+def fault_verdict(phase: Column, status: Column, error_type: Column, divergent: Column) -> Column:
+    """What is wrong with the outcome of a fault; null: nothing. A refusal by type is no failure, but it is one where only some ways to cut the same input are refused (``divergent``)."""
+    failed = status.eqNullSafe(F.lit("error"))
+    swept = phase.eqNullSafe(F.lit("chunk-sweep")) & F.coalesce(divergent, F.lit(False))
+    refused = F.coalesce(error_type.isin(*TYPED_REJECTIONS), F.lit(False))
+    return F.when(~failed, None).when(phase.eqNullSafe(F.lit("chunk-convergence")), "fault-divergence").when(phase.eqNullSafe(F.lit("import")), "import-error").when(swept, "fault-divergence").when(~refused, "fault-crash")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, graph, joining, resolver, walks
+from ..operators import clusters, graph, joining, reach, resolver, walks
 from ..registry import query
 from ..sources.tables import read_table
 from .queries import r
@@ -136,3 +136,25 @@ def _violations(spark, d):
     few = F.when((F.col("endpoint") == "1-URGENT") & (F.col("kind") == "numeric_bound"), 5).otherwise(F.col("support"))
     known = o.select(F.col("o_orderpriority").alias("endpoint")).distinct().join(F.broadcast(kinds), F.lit(True)).withColumns({"support": few, "confidence": F.lit(0.95)})
     return joining.invariant_violations(rows, known)
+
+
+_CALLS = ["l_partkey AS src", "l_orderkey % 211 AS dst", "CASE WHEN l_linenumber = 1 AND l_orderkey % 9 = 0 THEN 'invoke' ELSE 'contains' END AS kind"]
+_ENDPOINT = ["CAST(c_custkey AS STRING) AS endpoint", "concat('./mod', c_custkey % 11, CASE WHEN c_custkey % 4 = 0 THEN '/deep' ELSE '' END, '/unit', c_custkey % 37, '.py') AS file"]
+
+
+@query("reaching_endpoints", f"""WITH RECURSIVE s AS (SELECT {', '.join(_SYMBOLS)} FROM part), c AS (SELECT DISTINCT b.file AS file, a.file AS caller FROM (SELECT {', '.join(_CALLS)} FROM lineitem) JOIN s a ON a.id = src JOIN s b ON b.id = dst WHERE kind = 'invoke' AND a.file <> b.file),
+u AS (SELECT DISTINCT file, 0 AS depth FROM s JOIN region ON id = r_regionkey UNION SELECT caller, depth + 1 FROM u JOIN c USING (file) WHERE depth < 12), d AS (SELECT file, min(depth) AS depth FROM u GROUP BY 1), e AS (SELECT {', '.join(_ENDPOINT).replace('AS STRING', 'AS VARCHAR').replace("'./mod'", "'mod'")} FROM customer),
+f AS (SELECT endpoint, min(depth) AS depth FROM e JOIN d ON d.file = e.file OR ends_with(d.file, '/' || e.file) GROUP BY 1) SELECT endpoint, CAST(depth AS INT) AS depth FROM f WHERE depth = (SELECT min(depth) FROM f)""")
+def _reaching(spark, d):
+    targets = read_table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"))
+    return reach.reaching_endpoints(read_table(spark, d, "customer").selectExpr(*_ENDPOINT), read_table(spark, d, "part").selectExpr(*_SYMBOLS), read_table(spark, d, "lineitem").selectExpr(*_CALLS), targets)
+
+
+_IMPORT = ["concat('pkg', l_partkey % 90, '/m', l_partkey % 7, '.py') AS file", "l_orderkey AS place", "CASE WHEN l_partkey % 53 = 0 AND l_linenumber = 1 THEN 'jwt.api' WHEN l_partkey % 61 = 0 AND l_linenumber = 2 THEN 'bcrypt' ELSE concat('pkg', l_suppkey % 97, '.m', l_orderkey % 7) END AS module"]
+
+
+@query("security_guards", f"""WITH i AS (SELECT {', '.join(_IMPORT)} FROM lineitem), g AS (SELECT file, array_to_string(list_sort(list(DISTINCT split_part(module, '.', 1))), ', ') AS guard FROM i WHERE split_part(module, '.', 1) IN ('jwt', 'bcrypt') GROUP BY 1),
+n AS (SELECT i.file, arg_min(struct_pack(guard := guard, via := module), (place, module, g.file)) AS x FROM i JOIN g ON replace(replace(g.file, '.py', ''), '/', '.') = module WHERE i.file NOT IN (SELECT file FROM g) GROUP BY 1)
+SELECT file, guard, CAST(NULL AS VARCHAR) AS via FROM g UNION ALL SELECT file, x.guard, x.via FROM n""")
+def _guards(spark, d):
+    return reach.security_guards(read_table(spark, d, "lineitem").selectExpr(*_IMPORT))

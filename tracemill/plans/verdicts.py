@@ -60,3 +60,12 @@ SELECT DISTINCT target, 'hang' AS kind, late || '/' || calls AS detail FROM j WH
 UNION ALL SELECT DISTINCT target, 'new-exceptions', array_to_string(list_sort(list_filter(f, lambda x: NOT list_contains(sf, x))), ',') FROM j WHERE late = 0 AND len(list_filter(f, lambda x: NOT list_contains(sf, x))) > 0""")
 def _concurrency(spark, d):
     return verdicts.concurrency_findings(verdicts.batch_profiles(read_table(spark, d, "events").selectExpr(*_CALLED)))
+
+
+_FAULT = ["CASE o_orderkey % 5 WHEN 0 THEN 'chunk-sweep' WHEN 1 THEN 'chunk-convergence' WHEN 2 THEN 'import' ELSE 'run' END AS phase", "CASE WHEN o_custkey % 3 > 0 THEN 'error' ELSE 'ok' END AS status", "CASE o_orderstatus WHEN 'F' THEN 'ValueError' WHEN 'O' THEN 'KeyError' END AS error_type", "CASE WHEN o_custkey % 7 > 2 THEN o_custkey % 2 = 0 END AS divergent"]
+
+
+@query("fault_verdicts", f"""WITH f AS (SELECT {', '.join(_FAULT)} FROM orders), v AS (SELECT CASE WHEN status = 'ok' THEN NULL WHEN phase = 'import' THEN 'import-error' WHEN phase = 'chunk-convergence' OR phase = 'chunk-sweep' AND divergent THEN 'fault-divergence' WHEN error_type = 'ValueError' THEN NULL ELSE 'fault-crash' END AS verdict FROM f) SELECT verdict, count(*) AS n FROM v GROUP BY 1""")
+def _faults(spark, d):
+    f = read_table(spark, d, "orders").selectExpr(*_FAULT)
+    return f.groupBy(verdicts.fault_verdict(*map(F.col, ("phase", "status", "error_type", "divergent"))).alias("verdict")).agg(F.count("*").alias("n"))
