@@ -36,10 +36,10 @@ def _greedy(spark, d):
 
 
 @query("noise_bands", """WITH o AS (SELECT o_custkey, o_totalprice AS x, median(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders)
-SELECT o_custkey, count(*) AS n, round(CASE WHEN count(*) = 1 THEN 0.1 * abs(any_value(m)) ELSE greatest(1.4826 * median(abs(x - m)), 0.05 * abs(any_value(m))) END, 4) AS band FROM o GROUP BY 1""")
+SELECT o_custkey, count(*) AS n, round(CASE WHEN count(*) = 1 THEN 0.1 * abs(any_value(m)) ELSE greatest(1.4826 * median(abs(x - m)), 0.05 * abs(any_value(m))) END, 7) AS band FROM o GROUP BY 1""")
 def _bands(spark, d):
     o = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.collect_list("o_totalprice").alias("v"))
-    return o.select("o_custkey", "n", r(lifecycle.noise_band(F.col("v"), F.lit(0.05)), 4).alias("band"))
+    return o.select("o_custkey", "n", r(lifecycle.noise_band(F.col("v"), F.lit(0.05)), 7).alias("band"))
 
 
 _MEASURED = ["o_totalprice AS before", "o_totalprice * (0.8 + o_orderkey % 5 * 0.1) AS after", "20000.0 AS band", "o_orderkey % 7 > 0 AS behaves", "o_orderkey % 11 > 0 AS changed"]
