@@ -3,6 +3,7 @@ import statistics
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.operators import ranges, traces
 
@@ -65,6 +66,17 @@ def test_children_are_found_across_threads_and_within_slack(spark):
     assert got == {"root": None, "late": 0, "gone": None, "x": None}
 
 
+def test_spans_that_are_all_open_at_once_need_no_pairs(spark):
+    rows = [("s", "r", i, "f" if i % 2 else "g", i % 2, "g", float(i), 1e6 - 2 * i if i % 6 else 3.0, False, False, 0.0, 2 * i) for i in range(4000)]
+    spans = spark.createDataFrame(rows, "session_id string, request_id string, seq long, component string, depth int, parent_component string, start_ms double, duration_ms double, errored boolean, io boolean, blocked_ms double, exit_seq long").withColumn("thread_id", F.lit("t"))
+    found = traces.enclosing_spans(spans)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # pairs of points with open spans grow with the square of the log, and a small file of many rows was broadcast
+    # Before an odd start: the span just begun, be it a short one, which has not ended within the slack of 1.5 ms.
+    assert {r.seq: r.parent_seq for r in found.collect()} == {i: i - 1 if i % 2 else None for i in range(4000)}
+    plan = traces.span_signals(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2  # rows of spans meet callers by sorting
+
+
 def test_line_order_closes_calls_that_lost_their_exits(spark):
     events = "enter a, enter b, enter c, exit a, enter d, exit z, enter e, exit e, exit d".split(", ")
     rows = [("s", "r", "t", i, *x.split(" "), i * 1.0, 7.0) for i, x in enumerate(events)] + [("s", "r", "u", 20, "exit", "a", 0.0, 1.0), ("s", "r", "u", 21, "enter", "a", 0.0, None)]

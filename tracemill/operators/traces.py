@@ -6,8 +6,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.tables import materialised
 from .ranges import medians
@@ -39,20 +42,43 @@ def enclosing_spans(spans: DataFrame, slack: float = SLACK) -> DataFrame:
     """``spans`` with ``parent_seq``: the latest begun span of the caller's name, one level up in the same request (of any thread), that began no later and lasted
     until the span's start, give or take ``slack`` ms. Ties go to the one that ended in a later line. Null: a root.
 
-    A join of points with intervals by bins of time: a span of length 2^k stands in the one or two bins of this width that it meets, and each start looks into its bin of every width that
-    occurs. Then only spans of one name and level that are as long and in the same bin meet.
+    Spans of one name and level and the starts that look for them are read as one stream in the order of time. A span that ends no later than one begun after it is never the answer again, nor is one
+    that ended before a start; so a task holds the spans of one name and level that are open inside each other, and work grows with the spans, not with how many are open at once.
     """
-    spans = materialised(spans, "spans")
-    reach = F.col("duration_ms") + slack
-    width = F.greatest(F.ceil(F.log2(F.greatest(reach, F.lit(1.0)))), F.lit(0)).cast("int")
-    bins = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k))
-    outer = spans.select("session_id", "request_id", F.col("component").alias("parent_component"), (F.col("depth") + 1).alias("depth"), width.alias("_width"), F.struct(F.col("start_ms").alias("at"), F.col("exit_seq").alias("line"), F.col("seq").alias("seq")).alias("_outer"), (F.col("start_ms") + reach).alias("_until"))
-    outer = outer.withColumn("_bin", F.explode(F.sequence(bins(F.col("_outer.at"), F.col("_width")), bins(F.col("_until"), F.col("_width")))))
-    widths = sorted(r[0] for r in outer.select("_width").distinct().collect())  # one for each power of two
-    inner = spans.where("depth > 0").select("session_id", "request_id", "parent_component", "depth", "seq", "start_ms", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>")).alias("_width")).withColumn("_bin", bins(F.col("start_ms"), F.col("_width")))
-    both = inner.join(outer, ["session_id", "request_id", "parent_component", "depth", "_width", "_bin"]).where((F.col("_outer.at") <= F.col("start_ms")) & (F.col("_until") >= F.col("start_ms")))
-    found = both.groupBy("session_id", "request_id", "seq").agg(F.max("_outer")["seq"].alias("parent_seq"))
-    return spans.join(found, ["session_id", "request_id", "seq"], "left").select(*SPAN, "parent_seq")
+    until = F.nanvl(F.col("start_ms") + F.col("duration_ms") + slack, F.lit(float("inf")))
+    asks = F.when(F.col("depth") > 0, F.col("parent_component"))  # a null name: no span has it
+    roles = F.array(F.struct(F.lit(0).alias("asks"), F.col("component").alias("name"), F.col("depth").alias("level")), F.struct(F.lit(1).alias("asks"), asks.alias("name"), (F.col("depth") - 1).alias("level")))
+    key = ["session_id", "request_id", "_name", "_level"]
+    rows = spans.select(*SPAN, until.alias("_until"), F.explode(roles).alias("_role")).select(*SPAN, "_until", F.col("_role.asks").alias("_asks"), F.col("_role.name").alias("_name"), F.col("_role.level").alias("_level"))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*key, "start_ms", "_until"]])
+    rows = rows.where((F.col("_asks") == 1) | known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stack = None, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = [batch.column(c) for c in key]
+            changed = reduce(pc.or_, [pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True) for c in names]).to_pylist()
+            found = []
+            for new, ask, at, end, seq in zip([group != [c[0].as_py() for c in names], *changed], *[batch.column(c).to_pylist() for c in ("_asks", "start_ms", "_until", "seq")], strict=True):
+                if new:
+                    stack = []
+                if ask:
+                    while stack and not stack[-1][0] >= at:
+                        stack.pop()
+                    found.append(stack[-1][1] if stack else None)
+                else:
+                    while stack and stack[-1][0] <= end:
+                        stack.pop()
+                    stack.append((end, seq))
+            group = [c[n - 1].as_py() for c in names]
+            own = batch.filter(pc.equal(batch.column("_asks"), 1)).select(SPAN)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, pa.int64())], names=[*SPAN, "parent_seq"])
+
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "start_ms", "_asks", "exit_seq", "seq")
+    return rows.mapInArrow(run, StructType([*spans.select(*SPAN).schema, StructField("parent_seq", LongType())]))
 
 
 def line_order_spans(log: DataFrame, unmatched: str = "keep") -> DataFrame:
@@ -113,18 +139,19 @@ def span_signals(spans: DataFrame, *, repeats: int = 4, samples: int = 3) -> Dat
     inner = spans.where("parent_seq is not null")
     took = inner.groupBy(*up).agg(F.sum("duration_ms").alias("inner_ms"))
     own = F.greatest(F.col("duration_ms") - F.coalesce("inner_ms", F.lit(0.0)), F.lit(0.0))
-    own = materialised(spans.join(took, [*key, "seq"], "left").select("component", "errored", "io", "duration_ms", "blocked_ms", own.alias("own_ms")), "own-times")
+    # Files are smaller than their rows: without the hints Spark takes columns of all spans for small enough to broadcast.
+    own = materialised(spans.hint("merge").join(took, [*key, "seq"], "left").select("component", "errored", "io", "duration_ms", "blocked_ms", own.alias("own_ms")), "own-times")
     times = own.where("NOT errored").groupBy("component").agg(F.sum("own_ms").alias("self_ms"), F.sum("duration_ms").alias("wall_ms"), F.sum("blocked_ms").alias("blocked_ms"))
     names = spans.select(*key, "seq", F.col("component").alias("caller"))
     groups = inner.where("NOT errored").groupBy(*up, F.col("component").alias("child")).agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"), F.min("start_ms").alias("at")).where((F.col("n") >= repeats) & (F.col("ms") > 0))
     short = F.element_at(F.split("caller", r"\."), -1)
-    repeated = groups.join(names, [*key, "seq"]).groupBy(F.col("child").alias("component")).agg(
+    repeated = groups.join(names.hint("merge"), [*key, "seq"]).groupBy(F.col("child").alias("component")).agg(
         F.sum(F.col("ms") * (F.col("n") - 1) / F.col("n")).alias("n_plus_one_ms"), F.max("n").alias("n_count"), F.max_by(short, F.struct("n", -F.col("at"), -F.col("seq"))).alias("n_parent"))
     siblings = Window.partitionBy(*key, "parent_seq").orderBy("start_ms", "seq")
     before = F.lag(F.col("start_ms") + F.col("duration_ms")).over(siblings)
     waits = inner.where("io AND NOT errored AND duration_ms > 0 AND start_ms > 0").select("*", (F.col("start_ms") < before - 1).alias("overlaps"))
     rows = waits.groupBy(*up).agg(F.count("*").alias("n"), (F.sum("duration_ms") - F.max("duration_ms")).alias("saved"), F.max(F.coalesce("overlaps", F.lit(False))).alias("overlaps")).where("n >= 2 AND NOT overlaps AND saved > 0")
-    serial = rows.join(names, [*key, "seq"]).groupBy(F.col("caller").alias("component")).agg(F.sum("saved").alias("serial_ms"), F.max("n").alias("serial_count"))
+    serial = rows.join(names.hint("merge"), [*key, "seq"]).groupBy(F.col("caller").alias("component")).agg(F.sum("saved").alias("serial_ms"), F.max("n").alias("serial_count"))
     usual = own.where("NOT errored AND duration_ms > 0").select("component", "own_ms")
     middle = medians(usual, ["component"], "own_ms", "typical", "own-ranges")
     typical = materialised(middle.where(F.col("n") >= samples).select("component", "typical"), "typical")
