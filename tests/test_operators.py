@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import __spark_entry__ as entry
 from tracemill.functions import percentiles, predicates, text
 from tracemill.operators import aggregates, graph, lifecycle, retrieval, statistics
 from tracemill.sources.spans import read_trace
+from tracemill.sources.tables import materialised
 from tracemill.streaming.rollup import stream_rollup, stream_spans
 
 
@@ -73,6 +75,20 @@ def test_graph(spark):
     assert {r.id for r in graph.dead_code(nodes, e, spark.createDataFrame([("a",)], "seed string")).collect()} == {"x", "y"}
 
 
+def test_pagerank_without_cycles_takes_as_many_rounds_as_the_longest_path(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialised", lambda df, label: written.append(label) or materialised(df, label))
+    links = [("o1", "p"), ("o2", "p"), ("o2", "q"), ("p", "s"), ("q", "out"), ("out", "p")]  # "out" is no node
+    ids = ["o1", "o2", "p", "q", "s", "alone"]
+    got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(links, "src string, dst string")).collect()}
+    degree, rank = Counter(a for a, _ in links), dict.fromkeys(ids, 1 / 6)
+    for _ in range(40):
+        lost = sum(x for i, x in rank.items() if not degree[i])
+        rank = {i: 0.15 / 6 + 0.85 * (sum(rank[a] / degree[a] for a, b in links if b == i and a in rank) + lost / 6) for i in ids}
+    assert got == pytest.approx({i: x / max(rank.values()) for i, x in rank.items()}, abs=1e-12)
+    assert len(written) < 10  # one for each step before: 42
+
+
 def test_statistics(spark):
     bh = statistics.benjamini_hochberg(spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "component string, p double"))
     assert {r.component: round(r.q, 6) for r in bh.collect()} == {"a": 0.03, "b": 0.04, "c": 0.04}

@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialised
+from ..sources.tables import discard, materialised
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
-    """(id, rank): dangling mass is spread evenly, ranks are divided by the largest. Edges of kind ``contains`` don't count."""
+    """(id, rank): dangling mass is spread evenly, ranks are divided by the largest. Edges of kind ``contains`` don't count.
+
+    What a step spreads evenly is one number b_k for all nodes, so the rank after k steps is the sum over j of damping^j u_j b_(k-j), where u_j is what 1 at every node becomes after j moves along the
+    links. The u_j hold only nodes that end a walk of j links: in a graph without cycles they run out after its longest path, whatever the number of iterations. With
+    the sums of the u_j over dangling nodes the b_k follow one from another, one number for each iteration.
+    """
     if "kind" in edges.columns:
         edges = edges.where("kind <> 'contains'")
+    nodes, edges = materialised(nodes.select("id"), "nodes"), materialised(edges.select("src", "dst"), "edges")
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    out_degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = materialised(edges.join(out_degree, "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")), "links")
-    base = materialised(nodes.select("id").join(out_degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("degree").isNull().alias("dangling")), "nodes")
-    ranks = base.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    out_degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    base = materialised(nodes.join(out_degree, "id", "left").select("id", "degree"), "degrees")
+    # Files are smaller than their rows: without the hints Spark takes up to a million nodes for small enough to broadcast.
+    links = materialised(edges.join(base.withColumnRenamed("id", "src").hint("merge"), "src").select("src", "dst", (1.0 / F.col("degree")).alias("share")), "links")
+    discard(edges)
+    lost = lambda df: df.where("degree is null").agg(F.coalesce(F.sum("u"), F.lit(0.0))).first()[0]
+    walks, dangling, moved = [base.select("id", F.lit(1.0).alias("u"))], [lost(base.withColumn("u", F.lit(1.0)))], links.select("dst", F.col("share").alias("u"))
     for _ in range(iterations):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        flow = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        rank = (1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)
-        # Each step reads the ranks twice, so a step that is not written would be computed twice by the next.
-        ranks = materialised(base.join(flow, "id", "left").join(F.broadcast(lost)).select("id", "dangling", rank.alias("rank")), "ranks")
+        flow = moved.groupBy(F.col("dst").alias("id")).agg(F.sum("u").alias("u"))
+        walk = materialised(base.hint("merge").join(flow, "id").select("id", "degree", "u"), "walks")
+        walks.append(walk.select("id", "u"))
+        dangling.append(lost(walk))
+        front = walk.where("degree is not null").select(F.col("id").alias("src"), "u")
+        if front.isEmpty():
+            break
+        moved = links.join(front.hint("merge"), "src").select("dst", (F.col("u") * F.col("share")).alias("u"))
+    even = [1.0 / n]
+    for k in range(iterations):
+        even.append((1 - damping + damping * sum(damping**j * x * even[k - j] for j, x in enumerate(dangling[: k + 1]))) / n)
+    terms = [df.select("id", (F.col("u") * (damping**j * even[iterations - j])).alias("rank")) for j, df in enumerate(walks)]
+    ranks = materialised(reduce(DataFrame.unionAll, terms).groupBy("id").agg(F.sum("rank").alias("rank")), "ranks")
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.join(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
 
