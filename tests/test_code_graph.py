@@ -135,3 +135,12 @@ def test_empty_repository_and_frequent_names(spark, repository, monkeypatch):
     for how in ("inner", "left"):
         got = skew.spread_join(large, small, ["k", "j"], "k", how).select("k", "j", "id", "v")
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, large.join(small, ["k", "j"], how).select("k", "j", "id", "v").collect()), key=repr)
+
+
+def test_a_file_looks_a_name_up_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(resolver, "spread_join", lambda large, small, *rest: asked.append(large.count()) or skew.spread_join(large, small, *rest))
+    symbols = spark.createDataFrame([(i, "f" if i < 2 else f"g{i}", f"a/{'m' if i else 'n'}.py", "py", None) for i in range(30)], SYMBOLS)
+    refs = spark.createDataFrame([(i, f"x{k}.f", "invoke") for i in range(1, 30) for k in range(10)], REFERENCES)
+    assert {(r.src == 1, r.dst) for r in resolver.resolve(symbols, refs).collect()} == {(True, 0), (False, 1)}
+    assert asked == [4]  # file, all, language and one directory for all 290 references; one row of each for each reference before

@@ -1,8 +1,8 @@
 """Call graphs from names: references of symbols are resolved by ranked joins.
 
 Every rule looks the referenced name up in another scope: files of the receiver's name, the own file, the whole repository, or the
-directories above the own file. A scope's symbols of one name are one row (how many, and the first two), so a reference meets one
-row for each scope and directory level and never the single candidates; all lookups of all references are one join and one grouping.
+directories above the own file. A scope's symbols of one name are one row (how many, and the first two), so no reference meets the
+single candidates. What a file's references to one name find is looked up once for all of them; a reference meets it as one row.
 """
 
 from __future__ import annotations
@@ -63,22 +63,30 @@ def resolve(symbols: DataFrame, references: DataFrame) -> DataFrame:
     """
     parts = reference_parts(F.col("ref"))
     caller = symbols.select(F.col("id").alias("src"), F.col("name").alias("own_name"), "file", "lang")
-    refs = references.select("src", "ref", "kind").join(caller, "src").select("*", *[c.alias(n) for n, c in parts.items()]).withColumn("aside", F.col("through") & (F.col("kind") == "invoke") & (F.col("own_name") == F.col("name")))
+    refs = references.select("src", "ref", "kind").join(caller, "src").select("*", *[c.alias(n) for n, c in parts.items()])
+    refs = materialised(refs.withColumn("aside", F.col("through") & (F.col("kind") == "invoke") & (F.col("own_name") == F.col("name"))).drop("own_name"), "references")
+    scopes = materialised(_scopes(symbols), "scopes")
     one = lambda scope, place, level=None: F.struct(F.lit(scope).alias("scope"), place.alias("place"), (F.lit(0) if level is None else level).alias("level"))
-    own_stem = file_stem(F.col("file"))
-    probes = F.concat(F.when(F.col("through"), F.array(one("stem", F.col("root")))).otherwise(F.array()), F.array(one("file", F.col("file")), one("all", F.lit("")), one("lang", F.col("lang"))), F.transform(directories(F.col("file")), lambda d: one("dir", d["path"], d["level"])))
-    keys = ["src", "ref", "kind"]
-    asked = refs.select(*keys, "name", F.when(F.col("aside"), F.col("src")).alias("self"), own_stem.alias("own_stem"), F.explode(probes).alias("x")).select(*keys, "name", "self", "own_stem", "x.*")
-    found = spread_join(asked, _scopes(symbols), ["name", "scope", "place"], "name")
+    probes = F.concat(F.array(one("file", F.col("file")), one("all", F.lit("")), one("lang", F.col("lang"))), F.transform(directories(F.col("file")), lambda d: one("dir", d["path"], d["level"])))
+    asked = refs.select("name", "file", "lang").distinct().select("*", F.explode(probes).alias("x")).select("name", "file", "lang", "x.*")
+    row = F.struct("n", "first", "second")
+    pick = lambda scope: F.max(F.when(F.col("scope") == scope, row))
+    above = F.collect_list(F.when(F.col("scope") == "dir", F.struct("level", "n", "first", "second")))  # as many as the file has directories above it
+    found = spread_join(asked, scopes, ["name", "scope", "place"], "name").groupBy("name", "file", "lang").agg(pick("file").alias("_file"), pick("all").alias("_all"), pick("lang").alias("_lang"), above.alias("_dirs"))
+    # References through a receiver that has a file's name. Joins of references are by sorting, where Spark cuts what is frequent.
+    stems = scopes.where("scope = 'stem'").select("name", F.col("place").alias("root"), row.alias("_stem"), F.lit(True).alias("through"))
+    out = refs.join(stems, ["name", "root", "through"], "left").withColumnsRenamed({"file": "_f", "lang": "_l", "name": "_n"})
+    out = out.join(found, (F.col("_n") == F.col("name")) & (F.col("_f") == F.col("file")) & F.col("_l").eqNullSafe(F.col("lang")), "left")
     # The caller itself is no candidate, where it is in the scope (it is in all of its own file's, and in another stem's never). The language's candidates are counted with it.
-    inside = F.col("self").isNotNull() & (F.col("scope") != "lang") & ((F.col("scope") != "stem") | (F.col("place") == F.col("own_stem")))
-    n = F.col("n") - inside.cast("int")
-    first = F.when(inside & (F.col("first") == F.col("self")), F.col("second")).otherwise(F.col("first"))
-    found = found.select(*keys, "scope", "level", n.alias("left"), first.alias("to"), F.col("n").alias("named")).where("`left` > 0 OR scope = 'all'")
-    pick = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))
-    nearest = F.max(F.when(F.col("scope") == "dir", F.struct("level", "left", "to")))
-    out = found.groupBy(*keys).agg(pick("stem", "to").alias("stem"), pick("file", "to").alias("own"), pick("file", "left").alias("n_own"), pick("all", "to").alias("one"), pick("all", "left").alias("n_all"), pick("all", "named").alias("n_named"), nearest.alias("near"), pick("lang", "left").alias("n_lang"), pick("lang", "to").alias("lang_dst"))
-    out = refs.select(*keys, "name", "root", "dotted", "through").join(out, keys, "left")
+    left = lambda x, inside: x["n"] - inside.cast("int")
+    to = lambda x, inside: F.when(inside & (x["first"] == F.col("src")), x["second"]).otherwise(x["first"])
+    aside, stem, own, every = F.col("aside"), F.col("_stem"), F.col("_file"), F.col("_all")
+    in_stem = aside & (F.col("root") == file_stem(F.col("_f")))
+    near = F.filter(F.transform("_dirs", lambda d: F.struct(d["level"].alias("level"), left(d, aside).alias("left"), to(d, aside).alias("to"))), lambda d: d["left"] > 0)
+    keys = ["src", "ref", "kind"]
+    out = out.select(
+        *keys, F.col("_n").alias("name"), "root", "dotted", "through", F.when(F.col("_f").isNotNull() & (left(stem, in_stem) > 0), to(stem, in_stem)).alias("stem"), F.when(left(own, aside) > 0, to(own, aside)).alias("own"), F.when(left(own, aside) > 0, left(own, aside)).alias("n_own"),
+        to(every, aside).alias("one"), left(every, aside).alias("n_all"), every["n"].alias("n_named"), F.array_max(near).alias("near"), F.col("_lang.n").alias("n_lang"), F.col("_lang.first").alias("lang_dst"))
     guarded = F.col("dotted") & F.col("name").isin(*LIBRARY_NAMES)
     rules = [
         ("stem", F.col("through") & F.col("stem").isNotNull(), F.col("stem")), ("file", guarded & (F.col("n_own") == 1), F.col("own")), (None, guarded, F.lit(None).cast("long")),
@@ -105,10 +113,12 @@ def call_graph(symbols: DataFrame, references: DataFrame, overrides: DataFrame |
     ids = symbols.select("id")
     overrides = overrides.join(ids.withColumnRenamed("id", "src"), "src", "semi").join(ids.withColumnRenamed("id", "dst"), "dst", "semi").select("src", "dst", "kind")
     settled = overrides.join(symbols.select(F.col("id").alias("dst"), "name"), "dst").select("src", "name").distinct()
-    refs = references.where("ref is not null").select("src", "ref", "kind").distinct()
-    calls = refs.where("kind = 'invoke'").withColumn("name", reference_parts(F.col("ref"))["name"]).join(settled, ["src", "name"], "left_anti").select("src", "ref", "kind")
     inside = symbols.where("parent is not null").select(F.col("id").alias("src"), F.col("parent").alias("ref"), F.lit("contains").alias("kind"))
-    got = materialised(resolve(symbols, calls.unionByName(refs.where("kind <> 'invoke'")).unionByName(inside)), "resolved")
+    # Dealt by the symbol that refers, references are made distinct and meet their callers and what is settled without being shuffled again.
+    refs = references.where("ref is not null").select("src", "ref", "kind").unionByName(inside).repartition("src").distinct()
+    done = settled.groupBy("src").agg(F.collect_set("name").alias("done"))
+    again = (F.col("kind") == "invoke") & F.coalesce(F.array_contains("done", reference_parts(F.col("ref"))["name"]), F.lit(False))
+    got = materialised(resolve(symbols, refs.join(done, "src", "left").where("kind is not null").where(~again).select("src", "ref", "kind")), "resolved")
     open_calls = got.where("dst is null AND kind = 'invoke' AND n_named > 1")
     owned = symbols.select(F.explode(F.array("name", file_stem(F.col("file")))).alias("root")).distinct().withColumn("owned", F.lit(True))
     judged = spread_join(open_calls, owned, ["root"], "root", "left")
