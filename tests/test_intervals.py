@@ -88,3 +88,14 @@ def test_draws_resemble_resampling(spark):
     assert r.high - r.low == pytest.approx(2 * 1.96 * 2.8723 / sqrt(2000), rel=0.2) and r.low < 0.5 < r.high
     w = intervals.with_draws(df, "question", 50).where("draw >= 0").groupBy().agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q")).first()
     assert w.s / 100_000 == pytest.approx(1.0, abs=0.03) and w.q / 100_000 == pytest.approx(2.0, abs=0.1)
+
+
+def test_sums_of_draws_are_made_without_a_row_for_each_draw(spark):
+    df = spark.createDataFrame([(f"d{i}" if i else None, float(i % 7), float("inf") if i == 4 else 1.0) for i in range(300)], "k string, x double, y double")
+    got = intervals.draw_sums(df, "k", ["x", "y"], 20, 5)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = intervals.with_draws(df, "k", 20, 5).groupBy("draw").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in "xy"])
+    want = {r.draw: (r.x, r.y) for r in want.collect()}
+    assert {r.draw: (r.x, r.y) for r in got.collect()} == want and any(y < float("inf") for _, y in want.values())
+    rows = spark.createDataFrame([("a", 0, 0.5, 1.0), ("b", 1, 0.5, 2.0)], "decision_id string, action int, propensity double, reward double")
+    assert "Generate" not in intervals.bootstrap_values(rows, 0, 1, 10)._jdf.queryExecution().executedPlan().toString()

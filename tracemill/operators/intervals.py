@@ -1,10 +1,13 @@
-"""Confidence intervals by resampling: draws are weights computed from (decision, draw), so that all of them are sums of one aggregation."""
+"""Confidence intervals by resampling: draws are weights computed from (decision, draw), so that all of them are sums of one pass."""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,33 @@ def with_draws(rows: DataFrame, key: str, draws: int, seed: int = 0) -> DataFram
     return each.where("weight > 0").drop("_h", "_u")
 
 
+def draw_sums(rows: DataFrame, key: str, values: list[str], draws: int, seed: int = 0) -> DataFrame:
+    """(draw, ``values``…): the sums of ``with_draws`` over its weights, added up from blocks of rows, each as one product of weights and values."""
+    numbers = [int(hashlib.md5(f"{seed}|{b}".encode()).hexdigest()[:15], 16) for b in range(draws)]
+    block = max(1, 1_000_000 // max(1, draws))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, c = (np.array(x, dtype=np.int64) for x in ([1 + n % (_PRIME - 1) for n in numbers], [n // _PRIME % _PRIME for n in numbers]))
+        steps = np.cumsum([exp(-1) / factorial(k) for k in range(13)])
+        total = np.zeros((draws + 1, len(values)))  # the sample itself first
+        for batch in batches:
+            hashes, columns = batch.column("_h").to_numpy(zero_copy_only=False), np.column_stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values])
+            for k in range(0, len(hashes), block):
+                h, x = hashes[k : k + block, None], columns[k : k + block]
+                weight = np.searchsorted(steps, (h * a + c) % _PRIME / float(_PRIME), side="right")
+                weight[h[:, 0] < 0] = 0  # a row without a key is in no draw
+                plain = np.isfinite(x).all(axis=1)
+                total[0] += x.sum(axis=0)
+                total[1:] += weight[plain].T.astype(float) @ x[plain]
+                for w, v in zip(weight[~plain], x[~plain], strict=True):
+                    total[1:][w > 0] += w[w > 0, None] * v
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, draws), pa.int32()), *map(pa.array, np.ascontiguousarray(total.T))], names=["draw", *values])
+
+    h = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % _PRIME
+    parts = rows.select(F.coalesce(h, F.lit(-1)).alias("_h"), *values).mapInArrow(run, ", ".join(["draw int", *[f"{v} double" for v in values]]))
+    return parts.groupBy("draw").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def _parts(baseline: int, target: int) -> dict[str, Column]:
     """What a sample of weight 1 adds to the sums that both values are made of."""
     out = {}
@@ -98,7 +128,7 @@ def bootstrap_values(samples: DataFrame, baseline: int, target: int, draws: int
     """
     parts = _parts(baseline, target)
     rows = halves(samples.select("decision_id", "action", "propensity", "reward"), ["action"]).select("decision_id", *[c.alias(n) for n, c in parts.items()])
-    sums = with_draws(rows, "decision_id", draws, seed).groupBy("draw").agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in parts])
+    sums = draw_sums(rows, "decision_id", list(parts), draws, seed)
     return sums.where("w0 + w1 > 0").select("draw", _value("t", F.col).alias("dr"), (_value("t", F.col) - _value("b", F.col)).alias("delta"))
 
 
@@ -118,7 +148,7 @@ def bootstrap_delta(samples: DataFrame, baseline: int, target: int, draws: int =
     cube = F.col("s3") - 3 * mean * F.col("s2") + 3 * mean * mean * F.col("s1") - F.col("k") * mean * mean * mean
     square = F.col("s2") - mean * F.col("s1")
     accel = F.when(square > 1e-300, -cube / (6 * F.pow(square, F.lit(1.5)))).otherwise(0.0)
-    sums = with_draws(rows, "decision_id", draws, seed).groupBy("draw").agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in parts])
+    sums = draw_sums(rows, "decision_id", list(parts), draws, seed)
     values = sums.where("w0 + w1 > 0").select("draw", _value("t", F.col).alias("dr"), (_value("t", F.col) - _value("b", F.col)).alias("delta"))
     point = F.max(F.when(F.col("draw") < 0, F.col("delta")))
     drawn = lambda c: F.sort_array(F.collect_list(F.when(F.col("draw") >= 0, F.col(c))))  # noqa: E731  # as many as there are draws
