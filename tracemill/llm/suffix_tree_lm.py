@@ -11,7 +11,8 @@ The tree is a table of the shared folder. A position's score is the root's log p
 of its chain: what the context gives up to its suffix, and for a next word that it lists what that adds. So a text's score is a sum
 over keys (64-bit hashes of words, of contexts, and of contexts with next words). The most frequent keys, ``HOT_KEYS`` of each kind
 at most, are broadcast; all others meet the tree by key. Bitmaps of fixed size only keep keys that the tree can't have out of the
-shuffles: a false hit is settled by the tables.
+shuffles: a false hit is settled by the tables. Texts are scored in ``WAVES`` rounds, dealt by their ids, so that the look-ups of one
+round at most are on disk.
 
 Rows with one number each would cost more than the work on them, so tasks hand on sorted arrays, one for each range of keys
 (``parts`` of them, in proportion to the corpus): Spark shuffles the arrays by range, and a range's arrays are merged by numpy.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,8 @@ PART_TOKENS, LEAST_PARTS = 2_000_000, 64
 HELD = (7, 2)
 #: Keys that a task collects before it hands them on.
 FLUSH = 500_000
+#: Texts are scored in so many rounds, so that only a share of all look-ups is on disk at a time.
+WAVES = 4
 
 ENTRY = np.dtype([("context", "<u8"), ("next", "<u8"), ("n", "<u4")])
 CONTEXT = np.dtype([("context", "<u8"), ("suffix", "<u8"), ("of", "<u8")])
@@ -90,38 +94,38 @@ def entry_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(context ^ word)
 
 
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-#: A fixed random 64-bit number for each byte, and the seed of those for each place in a word.
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: The low bytes of a 64-bit number, none to all eight.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: The seed of the numbers of the places in a word.
 _PLACE = np.uint64(0xD1B54A32D192ED03)
-#: Bytes hashed at a time.
+#: Pieces of words hashed at a time.
 STEP = 1_000_000
 
 
 def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of a lower-cased text: the sum over its bytes of the byte's number times its place's, mixed."""
-    raw = np.frombuffer(text, np.uint8)
-    inside = ~_SPACE[raw]
-    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(raw) else np.zeros(0, np.int64)
-    sums = np.zeros(len(starts), np.uint64)
-    for at in range(0, len(raw), STEP):
-        some = np.flatnonzero(inside[at : at + STEP]) + at
-        if len(some):
-            word = np.searchsorted(starts, some[0], side="right") - 1
-            begin = np.searchsorted(some, starts[word + 1 : np.searchsorted(starts, some[-1], side="right")])
-            begin = np.concatenate([[0], begin])
-            place = some - np.repeat(starts[word : word + len(begin)], np.diff(np.append(begin, len(some))))
-            numbers = _mix(np.arange(min(int(place.max()) + 1, 64), dtype=np.uint64) + _PLACE)
-            factor = numbers[np.minimum(place, len(numbers) - 1)]
-            far = place >= len(numbers)
-            if far.any():
-                factor[far] = _mix(place[far].astype(np.uint64) + _PLACE)
-            sums[word : word + len(begin)] += np.add.reduceat(_BYTE[raw[some]] * (factor | np.uint64(1)), begin)
+    """Hash and first byte of each word of a lower-cased text: the sum over its pieces of eight bytes, each mixed with its place's number, and its length, mixed."""
+    raw = np.frombuffer(text + bytes(8), np.uint8)
+    inside = (raw != 32) & ((raw - np.uint8(9)) > 4)
+    inside[len(text) :] = False
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, length = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum((length + 7) >> 3)
+    begins = ends - ((length + 7) >> 3)
+    eight = np.ndarray((len(text) + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    sums = length.astype(np.uint64)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, STEP):
+        words = slice(np.searchsorted(ends, at, side="right"), np.searchsorted(begins, at + STEP))
+        first = np.maximum(begins[words], at)
+        n = np.minimum(ends[words], at + STEP) - first
+        place = np.arange(first[0], first[0] + n.sum()) - np.repeat(begins[words], n)
+        left = np.repeat(length[words], n) - 8 * place
+        pieces = eight[np.repeat(starts[words], n) + 8 * place] & _LOW[np.minimum(left, 8)]
+        sums[words] += np.add.reduceat(_mix(pieces ^ _mix(place.astype(np.uint64) + _PLACE)), first - first[0])
     return _mix(sums), starts
 
 
 #: Hashes of what is before a text and after it; no word has white space.
-BEFORE, AFTER = _mix(_BYTE[32:33])[0], _mix(_BYTE[10:11])[0]
+BEFORE, AFTER = _mix(_mix(np.array([32, 10], np.uint64)))
 
 
 def read(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -438,9 +442,9 @@ def grow(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = None
             if not total:
                 return Tree(of_kind(found, "word"), of_kind(found, "word"), 0, 0, 0, parts)
             words = keep(_words(of_kind(found, "word"), total, kinds), "tree-words")
-        both = keep(rated(of_kind(found, "listed"), words if level == 1 else of_kind(terms[-1], "term"), parts), f"tree-rated-{level}")
+        both = rated(of_kind(found, "listed"), words if level == 1 else of_kind(terms[-1], "term"), parts)
         terms.append(keep(settled(both.select("part", "blob"), level, parts), f"tree-terms-{level}", by="kind"))
-        discard(found, both)
+        discard(found)
         if contexts is not None:
             discard(contexts)
         contexts = keep(longer(of_kind(terms[-1], "grow"), of_kind(terms[-1], "stay"), level, parts), f"tree-contexts-{level + 1}")
@@ -576,8 +580,6 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     head = f"task int, row long, doc_id {ids}, held_out boolean, n_tokens long, known long, log double, score double, blob binary"
-    each = docs.mapInArrow(positions, f"part int, {head}")
-
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of each task's positions, sums for its rows; the rows themselves pass."""
         t = _array(right, WEIGHT)
@@ -598,8 +600,6 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
         return pa.concat_tables([left.filter(pc.is_null(left.column("blob"))), sums])
 
     everything = _weights(tree.words, True).unionByName(_weights(tree.terms, False))
-    sums = meet(each, everything, look_up, head)
-
     def final(t: pa.Table) -> pa.Table:
         left, right = (t.filter(f(t.column("blob"))) for f in (pc.is_null, pc.is_valid))
         row = left.column("row").to_numpy()
@@ -614,7 +614,14 @@ def score(docs: DataFrame, held: tuple[int, int] = HELD, parts: int | None = Non
         })
 
     tree_kinds = tree.kinds
-    return sums.groupBy("task").applyInArrow(final, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    def scored(wave: int) -> DataFrame:
+        each = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(WAVES)) == wave).mapInArrow(positions, f"part int, {head}")
+        sums = meet(each, everything, look_up, head)
+        return sums.groupBy("task").applyInArrow(final, f"doc_id {ids}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+    # Each round's look-ups are deleted when its scores are written; those of the last one stay until the result is.
+    return reduce(DataFrame.unionByName, [*(keep(scored(wave), f"lm-scores-{wave}") for wave in range(WAVES - 1)), scored(WAVES - 1)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
