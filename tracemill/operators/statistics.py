@@ -6,6 +6,7 @@ Small-sample fits run per group in ``applyInPandas``; a group there is one metri
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -209,11 +210,20 @@ def chance_probability(kind: Column, n: Column, k: Column) -> Column:
 
 
 def learned_invariants(fields: DataFrame, least: int = 5, chance: float = 0.10, most_values: int = 8) -> DataFrame:
-    """From (endpoint, field, text, number, seq) of healthy responses: never null, few values, bounds, rising ids; with what enforces."""
-    w = Window.partitionBy("endpoint", "field").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = fields.withColumn("_up", F.when(F.col("number").isNotNull(), F.coalesce(F.col("number") > F.last("number", ignorenulls=True).over(w), F.lit(True))))
-    g = rows.groupBy("endpoint", "field").agg(
-        F.count("*").alias("n"), F.count_if(F.col("text").isNull()).alias("nulls"), F.countDistinct("text").alias("kinds"), F.count("number").alias("numbers"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("_up").alias("rises"))
+    """From (endpoint, field, text, number, seq) of healthy responses: never null, few values, bounds, rising ids; with what enforces.
+
+    Numbers rise if they do within each range of the rows in order, and from each range to the next; so no field is held in one task.
+    """
+    by = ["endpoint", "field"]
+    counts = fields.groupBy(*by, "text").agg(F.count("*").alias("n"), F.count("number").alias("numbers"), F.min("number").alias("low"), F.max("number").alias("high"))
+    g = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("text").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("text").alias("kinds"), F.sum("numbers").alias("numbers"), F.min("low").alias("low"), F.max("high").alias("high"))
+    ranges = fields.where("number is not null").select(*by, "seq", "number").repartitionByRange(*by, "seq").withColumn("_range", F.spark_partition_id())
+    before = F.lag("number").over(Window.partitionBy("_range", *by).orderBy("seq"))
+    parts = ranges.withColumn("_up", F.coalesce(F.col("number") > before, F.lit(True))).groupBy("_range", *by).agg(F.min("_up").alias("_up"), F.min_by("number", F.struct("seq")).alias("_first"), F.max_by("number", F.struct("seq")).alias("_last"))
+    # A row for each range and field.
+    last = F.lag("_last").over(Window.partitionBy(*by).orderBy("_range"))
+    rising = parts.withColumn("_up", F.col("_up") & F.coalesce(F.col("_first") > last, F.lit(True))).groupBy(*by).agg(F.min("_up").alias("rises"))
+    g = g.alias("g").join(rising.alias("r"), reduce(lambda x, y: x & y, [F.col(f"g.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]), "left").select("g.*", "rises")
     g = g.where(F.col("n") >= least)
     found = F.array_compact(F.array(
         F.when(F.col("nulls") == 0, "never_null"), F.when(F.col("kinds").between(2, most_values) & (F.col("nulls") == 0), "stable_enum"),
