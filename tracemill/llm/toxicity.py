@@ -5,8 +5,8 @@ that each sign may stand for; a Viterbi search under a character trigram model p
 text and their beginnings are the features: their log odds between toxic and other rows are learned from labelled rows, those that
 tell clearly enough are kept, and a one-variable logistic fit turns the strongest one in a text into a score.
 
-Labels are read from at most ``TRAIN_ROWS`` rows that are not held out, in the order of a hash of their id; what is learned from them
-and broadcast is bounded by them. Scoring is one narrow pass over all texts.
+All labelled rows that are not held out are learned from, by counts that Spark adds up; what is broadcast are the features that tell
+clearly enough, and the driver fits over the different odds, each with its number of rows. Scoring is one narrow pass over all texts.
 
 Defined results: a null or empty text has no toxic word and gets the lowest score; repeated rows each get their row; without
 toxic training rows every score is 0; columns other than doc_id and text are never read.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, keep, slices, table
 
-TRAIN_ROWS = 20_000
 #: One part in so many is held out.
 PARTS = 5
 #: A feature counts with its log odds less so many standard errors, if that is as much and it is in as many toxic texts.
@@ -117,10 +116,10 @@ def features(word: str) -> list[str]:
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the sampled labelled rows."""
+    """(doc_id, text, toxic) of all labelled rows that are not held out."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(PARTS)) != 0))
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def _feature_counts(rows: DataFrame, letters) -> DataFrame:
@@ -174,13 +173,13 @@ def evidence(words: set[str], odds: dict[str, float]) -> float:
     return max((odds.get(f, 0.0) for w in words for f in features(w)), default=0.0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a one-variable logistic fit by Newton steps, with a ridge on the slope."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a one-variable logistic fit by Newton steps, with a ridge on the slope. ``n``: how many rows each pair stands for."""
     z, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (y - p) - np.array([ridge * w[0], 1e-6 * w[1]])
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-6])
+        grad = z.T @ (n * (y - p)) - np.array([ridge * w[0], 1e-6 * w[1]])
+        hess = (z * (n * p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-6])
         step = np.linalg.solve(hess, grad)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
@@ -215,9 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"x": pa.array([evidence(reader.words(t or ""), known.value) for t in batch.column("text").to_pylist()], pa.float64()), "y": batch.column("toxic").cast(pa.float64())})
 
-    pairs = rows.mapInArrow(run, "x double, y double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").toPandas()  # TRAIN_ROWS rows at most
-    x, y = (np.repeat(pairs[c].to_numpy(float), pairs["n"]) for c in ("x", "y"))
-    return Model(letters, table_, *logistic(x, (y == 1).astype(float)))
+    pairs = rows.mapInArrow(run, "x double, y double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").toPandas()  # two rows for each of the odds at most
+    x, y, n = (pairs[c].to_numpy(float) for c in ("x", "y", "n"))
+    return Model(letters, table_, *logistic(x, (y == 1).astype(float), n))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
