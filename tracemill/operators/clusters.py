@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,51 @@ from .ranges import numbered
 
 #: Similarities are held as whole numbers of this unit, so that sums are exact and equal means compare equal.
 UNIT = 1_000_000_000
+#: Pairs and clusters of a connected part that one task finishes; larger parts go on by rounds of joins until they are as small.
+LOCAL_PAIRS, LOCAL_CLUSTERS = 1_000_000, 2_000
+_MERGE = "a long, b long, distance double, size long, round int"
+
+
+def parts_of(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, part): the least id that pairs (a, b) lead to. Each round an id takes the least part among its own and its neighbours' and then that part's own part."""
+    near = materialised(pairs.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("to"))), "cluster-near")
+    parts = materialised(ids.select("id", F.col("id").alias("part")), "cluster-parts")
+    while True:
+        least = near.join(parts.withColumnsRenamed({"id": "to", "part": "other"}), "to").groupBy("id").agg(F.min("other").alias("other"))
+        found = parts.join(least, "id", "left").select("id", "part", F.least("part", F.coalesce("other", "part")).alias("least"))
+        found = materialised(found, "cluster-least")
+        up = found.select(F.col("id").alias("least"), F.col("least").alias("up"))
+        after = materialised(found.join(up, "least").select("id", "part", F.least("least", "up").alias("now")), "cluster-parts")
+        discard(parts, found)
+        parts = after.select("id", F.col("now").alias("part"))
+        parts.written_to = after.written_to
+        if after.where("now < part").isEmpty():
+            discard(near)
+            return parts
+
+
+def merged_here(pairs: pd.DataFrame, first: int) -> pd.DataFrame:
+    """All merges of a part's pairs (a, b, s, na, nb), in the rounds of ``average_linkage`` from round ``first`` on, over a matrix of sums."""
+    ids = np.unique(np.concatenate([pairs["a"], pairs["b"]]))
+    a, b = np.searchsorted(ids, pairs["a"]), np.searchsorted(ids, pairs["b"])
+    sums, size = np.zeros((len(ids), len(ids)), np.int64), np.zeros(len(ids), np.int64)
+    sums[a, b] = sums[b, a] = pairs["s"]
+    size[a], size[b] = pairs["na"], pairs["nb"]
+    out = []
+    while len(ids) > 1 and sums.any():
+        mean = sums / (size[:, None] * size)
+        best = mean.argmax(1)  # of equal ones the least id, whose pair is the least, too
+        here = np.arange(len(ids))
+        a = np.flatnonzero((best[best] == here) & (here < best) & (mean[here, best] > 0))
+        b = best[a]
+        out.append(pd.DataFrame({"a": ids[a], "b": ids[b], "distance": 1 - mean[a, b] / UNIT, "size": size[a] + size[b], "round": np.full(len(a), first + len(out), np.int32)}))
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
+        size[a] += size[b]
+        stay = np.setdiff1d(here, b)
+        ids, size, sums = ids[stay], size[stay], sums[np.ix_(stay, stay)]
+        np.fill_diagonal(sums, 0)
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": [], "size": [], "round": []})
 
 
 def average_linkage(labels: DataFrame, similarities: DataFrame) -> DataFrame:
@@ -20,6 +67,8 @@ def average_linkage(labels: DataFrame, similarities: DataFrame) -> DataFrame:
 
     Sums of similarity between clusters stay as sparse as the pairs are. A round merges every pair of clusters of which each is the other's nearest: with this linkage a merged cluster is no nearer to a third one
     than the nearer part was, so that these pairs are merges of the one-by-one order, too, ties included. What has nothing in common at the end is merged at distance 1, in the order of least members.
+
+    Connected parts of the pairs have nothing to do with each other. A part of at most ``LOCAL_CLUSTERS`` clusters and ``LOCAL_PAIRS`` pairs is finished by one task, by the same rounds; larger ones are merged by joins over all their pairs until they are as small.
     """
     names = materialised(labels.select("name").distinct(), "cluster-names")
     n = names.count()
@@ -29,8 +78,27 @@ def average_linkage(labels: DataFrame, similarities: DataFrame) -> DataFrame:
     pairs = similarities.join(side("component", "x"), "component").join(side("other", "y"), "other").where("x <> y")
     pairs = materialised(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(F.round(F.col("jaccard") * UNIT).cast("long")).alias("s")).where("s > 0"), "cluster-pairs")
     sizes = materialised(ids.select("id", F.lit(1).cast("long").alias("size")), "cluster-sizes")
-    rounds, k = [], 0
+    part = parts_of(ids, pairs)
+    rounds, k, last = [], 0, 0
     while not pairs.isEmpty():
+        # Pairs of small parts leave for a task of their own; what is left of the others goes through a round of joins.
+        placed = pairs.join(part.withColumnRenamed("id", "a"), "a")
+        many = placed.groupBy("part").agg(F.count("*").alias("pairs")).join(part.join(sizes, "id").groupBy("part").agg(F.count("*").alias("clusters")), "part")
+        small = many.where((F.col("pairs") <= LOCAL_PAIRS) & (F.col("clusters") <= LOCAL_CLUSTERS)).select("part")
+        small = materialised(small, "cluster-small")
+        if not small.isEmpty():
+            sized = placed.join(small, "part").join(sizes.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
+            done = materialised(sized.select("part", "a", "b", "s", "na", "nb").groupBy("part").applyInPandas(lambda pdf: merged_here(pdf, k), _MERGE), "cluster-merges")
+            rounds.append(done)
+            last = max(last, done.agg(F.max("round")).first()[0] + 1)
+            rest = materialised(placed.join(small, "part", "left_anti").select("a", "b", "s"), "cluster-pairs")
+            kept = sizes.join(done.select(F.col("b").alias("id")), "id", "left_anti").join(done.groupBy(F.col("a").alias("id")).agg(F.max("size").alias("grown")), "id", "left")
+            kept = materialised(kept.select("id", F.coalesce("grown", "size").alias("size")), "cluster-sizes")
+            discard(pairs, sizes)
+            pairs, sizes = rest, kept
+        discard(small)
+        if pairs.isEmpty():
+            break
         sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
         sized = sized.withColumn("mean", F.col("s") / (F.col("na") * F.col("nb")))
         rank = F.struct("mean", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), "na", "nb")
@@ -49,7 +117,7 @@ def average_linkage(labels: DataFrame, similarities: DataFrame) -> DataFrame:
     # Clusters without anything in common: each joins the first one.
     apart = materialised(numbered(sizes.withColumn("_g", F.lit(0)), ["_g"], ["id"], "place", {"upto": "size"}, "cluster-rest"), "cluster-rest")
     low = sizes.agg(F.min("id").alias("a"))
-    out = apart.where("place > 1").join(F.broadcast(low)).select("a", F.col("id").alias("b"), F.lit(1.0).alias("distance"), F.col("upto").alias("size"), (F.lit(k) + F.col("place")).alias("round"))
+    out = apart.where("place > 1").join(F.broadcast(low)).select("a", F.col("id").alias("b"), F.lit(1.0).alias("distance"), F.col("upto").alias("size"), (F.lit(max(k, last)) + F.col("place")).alias("round"))
     for merged in rounds:
         out = out.unionByName(merged.withColumn("round", F.col("round").cast("long")))
     steps = numbered(out.withColumn("_g", F.lit(0)), ["_g"], ["distance", "round", "a", "b"], "place", label="cluster-steps").select((F.col("place") - 1).alias("step"), "a", "b", "distance", "size")
