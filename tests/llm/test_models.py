@@ -292,6 +292,25 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert np.allclose(few, toxicity.logistic(np.array([0.0] * 9 + [2.0] * 5), np.array([0.0] * 9 + [0.0] + [1.0] * 4), np.ones(14)))
 
 
+def test_toxicity_training_shuffles_labelled_texts_alone(spark):
+    docs = spark.range(-10_000, 10_000).selectExpr("id AS doc_id", "'some text' AS text").union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    labels = docs.where("doc_id % 9 = 0").selectExpr("doc_id", "1 AS toxic")
+    some = toxicity._likely(docs, labels.select("doc_id"))
+    assert some.join(labels, "doc_id").count() == labels.count() <= some.count() < labels.count() + 100
+    assert toxicity._likely(docs, labels.select("doc_id").limit(0)).count() == 0
+    plan = toxicity._training(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan.lower()  # small labels are joined as large ones are
+
+
+def test_toxicity_remembered_strengths_equal_those_of_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    letters = toxicity.Letters(dict.fromkeys(["you", "are", "an", "idiot", "moron", "table", "the", "hello", "other"], 50))
+    odds = {"idiot": 3.0, "othe~": 2.5, "the": 2.0}
+    strength, reader = toxicity.Strength(toxicity.Reader(letters), odds), toxicity.Reader(letters)
+    texts = ["", "the table", "«Others!»", "hello 1d10t, the", "oooother", "i d i o t.", "you are an other and the one", "a b", "idi0t!", "tha~ THE~"]
+    assert [strength.of(t) for t in texts] == [toxicity.evidence(reader.words(t), odds) for t in texts] == [0, 2, 2.5, 3, 2.5, 3, 2.5, 0, 3, 2]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li>menu</ul></nav><div class="cookie-notice">Cookies!</div><div id=content><article><header><h1>Title &amp; more</h1></header><p><b>One
  two<br><p>Three&nbsp;four &lt;x&gt;</p><ul><li>a<li>b</ul><div class="ad">buy</div><form><input>go</form><section class="comments"><p>first!</p></section></article></div><aside>side</aside><footer>&copy; me</footer>"""

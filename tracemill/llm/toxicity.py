@@ -7,6 +7,7 @@ tell clearly enough are kept, and a one-variable logistic fit turns the stronges
 
 All labelled rows that are not held out are learned from, by counts that Spark adds up; what is broadcast are the features that tell
 clearly enough, and the driver fits over the different odds, each with its number of rows. Scoring is one narrow pass over all texts.
+Of the texts only those go into the shuffle to their labels whose ids a bitmap of fixed size doesn't rule out, whatever the size of the tables.
 
 Defined results: a null or empty text has no toxic word and gets the lowest score; repeated rows each get their row; without
 toxic training rows every score is 0; columns other than doc_id and text are never read.
@@ -29,7 +30,10 @@ PARTS = 5
 #: A feature counts with its log odds less so many standard errors, if that is as much and it is in as many toxic texts.
 ERRORS, LEAST_ODDS, LEAST_TEXTS = 2.0, 2.0, 4
 PREFIXES = (4, 5, 6)
+BEGIN = min(PREFIXES)  # letters that a word has in common with each of its features
 REMEMBERED = 300_000
+#: Bits of the bitmap of labelled ids, and those of one row of it, as ``bitmap_construct_agg`` makes them.
+SLOTS, ROW_SLOTS = 1 << 26, 1 << 15
 
 # Letters that figures and signs commonly stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -39,6 +43,10 @@ _EDGE = "".join(c for c in "!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”„…¡¿
 _SIGNS = re.escape("".join(LEET))
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|^[{_SIGNS}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[{_SIGNS}]$|([^\W\d_])\1\1|^[^\W\d_](?:[.*_\-][^\W\d_]){{2,}}$|[^\W\d_][.*_\-]+[^\W\d_]")
 _SPACED = re.compile(rf"(?<![^\W_])[^\W\d_](?:[ .*_\-]+[^\W\d_{_SIGNS}]|[ .*_\-]+[{_SIGNS}]){{2,}}(?![^\W_])")
+#: What ``_DISGUISED`` can find in letters alone.
+_THRICE = re.compile(r"([^\W\d_])\1\1")
+#: Part of whatever ``_SPACED`` finds; begins with a sign, so it is found much sooner.
+_MAYBE_SPACED = re.compile(rf"[ .*_\-](?:[^\W\d_]|[{_SIGNS}])[ .*_\-]+(?:[^\W\d_]|[{_SIGNS}])(?![^\W_])")
 _BETWEEN = frozenset(".*_-~ ")
 
 
@@ -85,28 +93,42 @@ def restore(token: str, letters: Letters, beam: int = 24, words: bool = False) -
     return "".join(reversed(out)) or token
 
 
+class Known(dict):
+    """A function of tokens that remembers the values of ``REMEMBERED`` tokens at most."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, token: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        got = self[token] = self.of(token)
+        return got
+
+
 class Reader:
     """Words of a text, restored where they look disguised; remembers what it restored."""
 
     def __init__(self, letters: Letters | None):
-        self.letters, self.known = letters, {}
+        self.letters, self.known = letters, Known(self.word)
 
     def word(self, token: str) -> str:
-        got = self.known.get(token)
-        if got is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            bare = token.strip(_EDGE)
-            got = restore(token.rstrip(".,;:?"), self.letters) if self.letters and _DISGUISED.search(bare if bare != token.rstrip(".,;:?!") else token) else bare
-            self.known[token] = got
-        return got
+        bare = token.strip(_EDGE)
+        if bare.isalpha() and "!" not in token and not _THRICE.search(bare):  # most words: nothing stands for a letter
+            return bare
+        return restore(token.rstrip(".,;:?"), self.letters) if self.letters and _DISGUISED.search(bare if bare != token.rstrip(".,;:?!") else token) else bare
+
+    def spaced(self, low: str) -> set[str]:
+        """Words whose letters are set apart."""
+        out: set[str] = set()
+        if self.letters and _MAYBE_SPACED.search(low):
+            for m in _SPACED.finditer(low):
+                out |= {restore(m[0], self.letters), *restore(m[0], self.letters, words=True).split()}
+        return out
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out = set(map(self.word, set(low.split())))
-        if self.letters:
-            for m in _SPACED.finditer(low):
-                out |= {restore(m[0], self.letters), *restore(m[0], self.letters, words=True).split()}
+        out = set(map(self.known.__getitem__, set(low.split()))) | self.spaced(low)
         out.discard("")
         return out
 
@@ -115,11 +137,22 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in PREFIXES if len(word) > k)]
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be among ``ids``; all that are in are kept."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    marks = ids.groupBy(F.floor(slot / ROW_SLOTS).alias("_row")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(ROW_SLOTS))).alias("_bits"))  # SLOTS / ROW_SLOTS rows at most
+    at = F.pmod(slot, F.lit(ROW_SLOTS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("_row", F.floor(slot / ROW_SLOTS)).join(F.broadcast(marks), "_row")
+    return marked.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*docs.columns)
+
+
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of all labelled rows that are not held out."""
+    """(doc_id, text, toxic) of all labelled rows that are not held out. The join is the same for tables of any size: labels that could be broadcast when small would be shuffled when large."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(PARTS)) != 0))
+    texts = _likely(docs.select("doc_id", "text"), rows.select("doc_id"))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    return texts.join(rows.hint("merge"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def _feature_counts(rows: DataFrame, letters) -> DataFrame:
@@ -127,20 +160,24 @@ def _feature_counts(rows: DataFrame, letters) -> DataFrame:
 
     def run(batches):
         reader = Reader(letters.value)
-        seen = (Counter(), Counter())
+        seen = {k: (Counter(), Counter()) for k in (None, *PREFIXES)}  # words, and beginnings by their lengths: (in other texts, in toxic ones)
 
         def out():
-            both = list(seen[0].keys() | seen[1].keys())
-            for k in range(0, len(both), 100_000):
-                some = both[k : k + 100_000]
-                yield pa.RecordBatch.from_pydict({"feature": pa.array(some, pa.string()), "bad": pa.array([seen[1][x] for x in some], pa.int64()), "good": pa.array([seen[0][x] for x in some], pa.int64())})
-            seen[0].clear()
-            seen[1].clear()
+            for k, (good, bad) in seen.items():
+                both = list(good.keys() | bad.keys())
+                for at in range(0, len(both), 100_000):
+                    some = both[at : at + 100_000]
+                    yield pa.RecordBatch.from_pydict({"feature": pa.array([f"{x}~" for x in some] if k else some, pa.string()), "bad": pa.array([bad[x] for x in some], pa.int64()), "good": pa.array([good[x] for x in some], pa.int64())})
+                good.clear()
+                bad.clear()
 
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic == 1].update({f for w in reader.words(text or "") for f in features(w)})
-            if len(seen[0]) + len(seen[1]) > 500_000:
+                words = reader.words(text or "")
+                seen[None][toxic == 1].update(words)
+                for k in PREFIXES:
+                    seen[k][toxic == 1].update({w[:k] for w in words if len(w) > k})
+            if sum(len(c) for both in seen.values() for c in both) > 500_000:
                 yield from out()
         yield from out()
 
@@ -152,13 +189,23 @@ def _letters(rows: DataFrame) -> Letters:
 
     def run(batches):
         seen: Counter[str] = Counter()
+        tokens: Counter[str] = Counter()
+
+        def add():
+            for w, n in tokens.items():
+                w = w.strip(_EDGE)
+                if w.isascii() and w.isalpha():
+                    x = f"  {w} "
+                    for k in range(2, len(x)):
+                        seen[x[k - 2 : k + 1]] += n
+            tokens.clear()
+
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                for w in set((text or "").lower().split()):
-                    w = w.strip(_EDGE)
-                    if w.isascii() and w.isalpha():
-                        x = f"  {w} "
-                        seen.update(x[k - 2 : k + 1] for k in range(2, len(x)))
+                tokens.update(set((text or "").lower().split()))
+            if len(tokens) > REMEMBERED:
+                add()
+        add()
         yield pa.RecordBatch.from_pydict({"three": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
     model = Letters({})
@@ -173,6 +220,23 @@ def evidence(words: set[str], odds: dict[str, float]) -> float:
     return max((odds.get(f, 0.0) for w in words for f in features(w)), default=0.0)
 
 
+class Strength:
+    """The evidence of texts; remembers that of their tokens."""
+
+    def __init__(self, reader: Reader, odds: dict[str, float]):
+        self.reader, self.odds = reader, odds
+        self.begins = {f[:BEGIN] for f in odds}
+        self.known = Known(self.token)
+
+    def token(self, token: str) -> float:
+        word = self.reader.word(token)
+        return evidence({word}, self.odds) if word[:BEGIN] in self.begins else 0.0
+
+    def of(self, text: str) -> float:
+        low = text.lower()
+        return max(max(map(self.known.__getitem__, set(low.split())), default=0.0), evidence(self.reader.spaced(low), self.odds))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a one-variable logistic fit by Newton steps, with a ridge on the slope. ``n``: how many rows each pair stands for."""
     z, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
@@ -191,8 +255,9 @@ class Model:
     def __init__(self, letters: Letters, odds: dict[str, float], slope: float, offset: float):
         self.letters, self.odds, self.slope, self.offset = letters, odds, slope, offset
 
-    def score(self, words: set[str]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * evidence(words, self.odds) + self.offset, -30, 30))))
+    def scores(self, found: list[float]) -> np.ndarray:
+        """Scores of texts by their evidence."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.array(found, float) + self.offset, -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -210,9 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = spark.sparkContext.broadcast(table_)
 
     def run(batches):
-        reader = Reader(shared.value)
+        strength = Strength(Reader(shared.value), known.value)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_pydict({"x": pa.array([evidence(reader.words(t or ""), known.value) for t in batch.column("text").to_pylist()], pa.float64()), "y": batch.column("toxic").cast(pa.float64())})
+            yield pa.RecordBatch.from_pydict({"x": pa.array([strength.of(t or "") for t in batch.column("text").to_pylist()], pa.float64()), "y": batch.column("toxic").cast(pa.float64())})
 
     pairs = rows.mapInArrow(run, "x double, y double").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy("x", "y").toPandas()  # two rows for each of the odds at most
     x, y, n = (pairs[c].to_numpy(float) for c in ("x", "y", "n"))
@@ -225,9 +290,9 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         m = model.value
-        reader = Reader(m.letters if m else None)
+        strength = Strength(Reader(m.letters), m.odds) if m else None
         for batch in slices(batches, most=SLICE_BYTES):
-            s = [m.score(reader.words(t or "")) if m else 0.0 for t in batch.column("text").to_pylist()]
+            s = m.scores([strength.of(t or "") for t in batch.column("text").to_pylist()]) if m else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(s, pa.float64())})
 
     df = docs.select("doc_id", "text")
