@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import ceil, log
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from .ranges import numbered
 KINDS = ("invoke", "inherit", "contains", "flow")
 #: Neighbours of one node that are joined by one key.
 BLOCK = 50_000
+#: Neighbours of all nodes that one task holds on disk for the steps.
+PART = 2_000_000
+#: With fewer for each of the usual partitions they are shuffled in each step, which then takes less than so many tasks.
+LEAST_PART = 250_000
 
 
 def anchor_weight(place: Column, k0: float = 60.0) -> Column:
@@ -21,15 +26,27 @@ def anchor_weight(place: Column, k0: float = 60.0) -> Column:
     return 1.0 / (place + k0 + 1.0)
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, flow: DataFrame | None = None) -> DataFrame:
-    """(kind, src, dst, w) in both directions, summed; observed calls weigh log(1 + calls). Edges to the own node, to unknown ones or of unknown kinds drop out."""
-    typed = edges.where(F.col("kind").isin(*KINDS[:3])).select("kind", "src", "dst", F.lit(1.0).alias("w"))
+def links(nodes: DataFrame, edges: DataFrame, flow: DataFrame | None = None) -> DataFrame:
+    """(kind, src, dst, w), ``kind`` as its place in ``KINDS``; observed calls weigh log(1 + calls). Edges to the own node, to unknown ones or of unknown kinds drop out.
+
+    What the edges name is first made distinct: as a rule no unknown node is among it, and then the edges themselves meet no table of nodes.
+    """
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i).cast("byte")) for i, k in enumerate(KINDS[:3])])
+    typed = edges.where(F.col("kind").isin(*KINDS[:3])).select(kind.alias("kind"), "src", "dst", F.lit(1.0).alias("w"))
     if flow is not None:
-        typed = typed.unionByName(flow.select(F.lit("flow").alias("kind"), "src", "dst", F.log1p("calls").alias("w")))
-    ids = nodes.select("id")
-    typed = typed.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "semi").join(ids.withColumnRenamed("id", "dst"), "dst", "semi")
-    both = typed.unionByName(typed.select("kind", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    return both.groupBy("kind", "src", "dst").agg(F.sum("w").alias("w"))
+        typed = typed.unionByName(flow.select(F.lit(KINDS.index("flow")).cast("byte").alias("kind"), "src", "dst", F.log1p("calls").alias("w")))
+    typed = typed.where("src <> dst")
+    ends = typed.select("src").distinct().unionByName(typed.select(F.col("dst").alias("src")).distinct()).distinct()
+    unknown = materialised(ends.join(nodes.select(F.col("id").alias("src")), "src", "left_anti"), "walk-unknown")
+    if not unknown.isEmpty():
+        typed = typed.join(unknown, "src", "left_anti").join(unknown.withColumnRenamed("src", "dst"), "dst", "left_anti").select("kind", "src", "dst", "w")
+    near = materialised(typed, "walk-links")
+    discard(unknown)
+    return near
+
+
+def both_ways(near: DataFrame) -> DataFrame:
+    return near.unionByName(near.select("kind", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
 def context_walk(nodes: DataFrame, edges: DataFrame, flow: DataFrame | None, anchors: DataFrame, *, beta: dict[str, float], alpha: float = 0.25, tolerance: float = 1e-4, budget: int = 40, max_hops: int | None = None) -> DataFrame:
@@ -39,38 +56,46 @@ def context_walk(nodes: DataFrame, edges: DataFrame, flow: DataFrame | None, anc
     name). A step takes kind t with share beta_t and then a neighbour by weight; the shares of kinds that a node lacks go back to the anchors. The mass that
     is not settled shrinks by 1 - ``alpha`` a step, so steps = log(tolerance) / log(1 - alpha). ``max_hops``: no node further from all anchors.
 
-    Neighbour lists are dealt in blocks, so one node may have any share of the edges. Each step's masses are written; the step before is then deleted.
+    A node's neighbours are dealt in blocks, so one node may have any share of the edges. The neighbours are dealt to tasks once and stay there on disk: a step only
+    brings the masses to them, one row for each node, kind and block, which has the kind's share of the mass for each unit of weight. So neighbours need no join with their node's sums,
+    and edges between the same nodes add up in the step. Each step's masses are written; the step before is then deleted.
     """
     nodes = nodes.select("id", "name")
     start = anchors.join(name_specificity(nodes), "id").groupBy("id").agg(F.sum(F.col("weight") * F.col("specificity")).alias("s"))
     start = start.join(F.broadcast(start.agg(F.sum("s").alias("all")))).where("all > 0").select("id", (F.col("s") / F.col("all")).alias("s"))
     start = materialised(start, "walk-anchors")
     total = sum(beta.get(k, 0.0) for k in KINDS)
-    near = materialised(neighbours(nodes, edges, flow), "walk-neighbours")
-    share = F.coalesce(*[F.when(F.col("kind") == k, F.lit(beta.get(k, 0.0) / total if total > 0 else 0.0)) for k in KINDS])
-    degree = near.groupBy("src", "kind").agg(F.sum("w").alias("degree"), F.count("*").alias("n")).where("degree > 0").withColumn("share", share)
-    out = materialised(degree.groupBy("src").agg(F.sum("share").alias("out"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")), "walk-nodes")
-    hub = degree.select("src", "kind", "degree", "share").join(out, "src")
+    near = links(nodes, edges, flow)
+    share = F.coalesce(*[F.when(F.col("kind") == i, F.lit(beta.get(k, 0.0) / total if total > 0 else 0.0)) for i, k in enumerate(KINDS)])
+    degree = both_ways(near).groupBy("src", "kind").agg(F.sum("w").alias("degree"), F.count("*").alias("n")).where("degree > 0").withColumn("share", share)
+    ways = F.collect_list(F.struct("kind", (F.col("share") / F.col("degree")).alias("unit")))  # one for each kind
+    out = materialised(degree.groupBy("src").agg(F.sum("share").alias("out"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("n"), ways.alias("ways")), "walk-nodes")
     # The lists of a large node are cut by a hash of the neighbour, so is what they are joined with.
-    large = F.broadcast(hub.where("blocks > 1"))  # fewer than edges / BLOCK
-    some = near.join(large, ["src", "kind"]).unionByName(near.join(F.broadcast(hub.where("blocks > 1").select("src").distinct()), "src", "left_anti").join(hub.where("blocks <= 1"), ["src", "kind"]).select("src", "kind", "dst", "w", "degree", "share", "out", "blocks"))
-    steps = materialised(some.where("share > 0").select("src", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int").alias("block"), "dst", (F.col("share") * F.col("w") / F.col("degree")).alias("p")).groupBy("src", "block", "dst").agg(F.sum("p").alias("p")), "walk-steps")
+    large = F.broadcast(out.where("blocks > 1").select("src", "blocks"))  # fewer than edges / BLOCK
+    some = both_ways(near).where((share > 0) & (F.col("w") != 0)).join(large, "src", "left")
+    n, fewest = out.agg(F.sum("n")).first()[0] or 0, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, ceil(n / PART), fewest if n >= fewest * LEAST_PART else 0)  # with fewer than ``fewest`` Spark shuffles them again in each step
+    block = F.pmod(F.xxhash64("dst"), F.coalesce("blocks", F.lit(1))).cast("int")
+    steps = some.select("src", "kind", block.alias("block"), "dst", "w").repartition(parts, "src", "kind", "block").persist(StorageLevel.DISK_ONLY)
+    steps.count()  # Spark takes over their partitions only when they are there
     mass = materialised(start.select("id", F.col("s").alias("mass")), "walk-mass")
     for _ in range(max(1, ceil(log(tolerance) / log(1 - alpha))) if total > 0 else 0):
-        here = mass.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "mass", F.coalesce("out", F.lit(0.0)).alias("out"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-        lost = here.where("block = 0").agg(F.coalesce(F.sum(F.col("mass") * (1 - F.col("out"))), F.lit(0.0)).alias("lost"))
-        moved = here.select(F.col("id").alias("src"), "block", "mass").join(steps, ["src", "block"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("mass") * F.col("p")).alias("got"))
+        here = mass.join(out.withColumnRenamed("src", "id"), "id", "left")
+        lost = here.agg(F.coalesce(F.sum(F.col("mass") * (1 - F.coalesce("out", F.lit(0.0)))), F.lit(0.0)).alias("lost"))
+        sent = here.where("mass > 0").select(F.col("id").alias("src"), "blocks", "mass", F.explode("ways").alias("way")).select("src", F.col("way.kind").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (F.col("mass") * F.col("way.unit")).alias("m"))
+        moved = steps.join(sent.hint("shuffle_hash"), ["src", "kind", "block"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("m") * F.col("w")).alias("got"))
         both = moved.join(start, "id", "full").join(F.broadcast(lost))
         s = F.coalesce("s", F.lit(0.0))
         after = materialised(both.select("id", (alpha * s + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * s)).alias("mass")), "walk-mass")
         discard(mass)
         mass = after
+    steps.unpersist()
     ranked = mass.join(start.select("id", F.lit(True).alias("anchor")), "id", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
     if max_hops is not None:
         seen = front = start.select("id")
-        links = near.select(F.col("src").alias("id"), "dst").distinct()
+        pairs = both_ways(near).select(F.col("src").alias("id"), "dst").distinct()
         for _ in range(max_hops):
-            front = materialised(front.join(links, "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "walk-front")
+            front = materialised(front.join(pairs, "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "walk-front")
             seen = seen.unionByName(front)
         ranked = ranked.join(seen, "id", "semi")
     order = [F.desc("anchor"), F.desc("mass"), F.asc("id")]
