@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clusters, graph, joining, reach, resolver, walks
+from ..operators import clusters, joining, reach, resolver, walks
 from ..registry import query
 from ..sources.tables import read_table
 from .queries import r
@@ -99,8 +99,8 @@ def _call_paths(spark, d):
 
 @query("supplier_dendrogram")
 def _dendrogram(spark, d):
-    pairs = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").cast("string").alias("component")).distinct()
-    return clusters.average_linkage(pairs.select(F.col("component").alias("name")).distinct(), graph.cooccurrence(pairs)).withColumn("distance", r("distance"))
+    pairs = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.col("l_suppkey").cast("string").alias("component"))
+    return clusters.request_linkage(pairs).withColumn("distance", r("distance"))
 
 
 _COMPONENT = "concat('pkg', l_suppkey % 5, '.mod', l_orderkey % 11, CASE WHEN l_linenumber > 4 THEN '.deep' ELSE '' END, '.fn', l_partkey % 720)"
