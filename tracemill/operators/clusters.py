@@ -20,6 +20,8 @@ UNIT = 1_000_000_000
 LOCAL_PAIRS, LOCAL_CLUSTERS = 2_000_000, 2_000
 #: Up to so many labels, what there is once for each label (a number, a size) is broadcast; beyond, it is joined.
 FEW_LABELS = 1_000_000
+#: Share of the clusters of large parts after whose merging all rows are written again.
+REWRITE = 0.15
 #: Requests of more components are joined with themselves, so that one of them is not expanded by one task.
 WIDE = 1_000
 _MERGE = "a long, b long, distance double, size long, round int"
@@ -100,8 +102,8 @@ def entries(batches: Iterator[pa.RecordBatch], least: int = 1 << 20) -> Iterator
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def gathered(was: np.ndarray, to: np.ndarray, s: np.ndarray, now: np.ndarray, size: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
-    """Clusters' rows under the names that ``now`` gives, their sums to the same neighbour added up, and the nearest one. ``open``: the row is one of several that have become one cluster."""
+def gathered(was: np.ndarray, to: np.ndarray, s: np.ndarray, now: np.ndarray, size: np.ndarray, moved: np.ndarray, whole: bool = True) -> pa.RecordBatch:
+    """Clusters' rows under the names that ``now`` gives, their sums to the same neighbour added up, and the nearest one. ``open``: the row is one of several that have become one cluster. Without ``whole`` only these hold their neighbours."""
     ids, to = now[was], now[to]
     keep = to != ids
     was, ids, to, s = was[keep], ids[keep], to[keep], s[keep]
@@ -120,9 +122,12 @@ def gathered(was: np.ndarray, to: np.ndarray, s: np.ndarray, now: np.ndarray, si
     top = np.repeat(np.maximum.reduceat(mean, start), np.diff(ends)) if len(start) else mean
     hit = np.flatnonzero(mean == top)
     near = hit[np.searchsorted(row[hit], row[start])]  # of equal ones the least id, whose pair is the least, too
+    ids, best, opened, k = ids[start], to[near], moved[was[start]], np.diff(ends)
+    if not whole:
+        of, ends = np.repeat(opened, k), np.r_[0, np.cumsum(np.where(opened, k, 0))]
+        to, s = to[of], s[of]
     held = lambda x: pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-    ids, best = ids[start], to[near]
-    return pa.RecordBatch.from_pydict({"id": ids.astype(np.int64), "size": size[ids], "k": np.diff(ends), "to": held(to), "s": held(s), "best": best.astype(np.int64), "mean": mean[near], "both": size[ids] + size[best], "open": moved[was[start]]})
+    return pa.RecordBatch.from_pydict({"id": ids.astype(np.int64), "size": size[ids], "k": k, "to": held(to), "s": held(s), "best": best.astype(np.int64), "mean": mean[near], "both": size[ids] + size[best], "open": opened})
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,40 +148,59 @@ def _finished(sized: DataFrame, k: int) -> DataFrame:
 
 
 def _by_rows(pairs: DataFrame, part: DataFrame, n: int) -> list[DataFrame]:
-    """The rounds of large parts, a cluster's neighbours in one row: rows are renamed where they lie, and only those of clusters that have merged are shuffled. Names and sizes of the n labels are broadcast."""
+    """The rounds of large parts, a cluster's neighbours in one row. A round reads the rows under their new names and writes what each one's nearest is; only rows of clusters that merge are shuffled and
+    written anew. All rows are written again when ``REWRITE`` of the clusters have merged. Names and sizes of the n labels are broadcast."""
     spark, rounds, k = pairs.sparkSession, [], 0
-    same, none, size = np.arange(n, dtype=np.int32), np.zeros(n, bool), np.ones(n, np.int64)
+    now, size, none = np.arange(n, dtype=np.int32), np.ones(n, np.int64), np.zeros(n, bool)
+    since = np.full(n, -1, np.int32)  # the round in which a cluster last merged: rows written before (``at``) are no longer its own
 
-    def renamed(rows, now, moved):
-        held = spark.sparkContext.broadcast((now, size, moved))
-        return rows.select("id", "to", "s").mapInArrow(lambda batches: (gathered(*x, *held.value) for x in entries(batches)), _ROW)
+    def renamed(rows, moved=none, whole=True, by=None):
+        held = spark.sparkContext.broadcast((now, size, moved, since))
+
+        def run(batches):
+            now, size, moved, since = held.value
+            own = (x.filter(pa.array(since[x.column("id").to_numpy()] <= x.column("at").to_numpy())) for x in batches)
+            return (gathered(*x, now, size, moved, whole) for x in entries(own))
+
+        out = materialised(rows.mapInArrow(run, _ROW), "cluster-rows", by)
+        held.destroy()
+        return out
 
     together = lambda rows: rows.repartition("id").sortWithinPartitions("id")
+    written = lambda rows, at: rows.select("id", "to", "s", F.lit(at).alias("at"))
     ends = lambda a, b: pairs.select(F.col(a).alias("id"), F.col(b).cast("int").alias("to"), "s")
-    rows = materialised(renamed(together(ends("a", "b").unionByName(ends("b", "a"))), same, none), "cluster-rows")
-    tables = [rows]
+    rows = renamed(together(written(ends("a", "b").unionByName(ends("b", "a")), -1)))
+    tables, nearest, whole = [rows], [], True
     while True:
-        many = rows.join(F.broadcast(part), "id").groupBy("part").agg((F.sum("k") / 2).alias("pairs"), F.count("*").alias("clusters"))
-        small = materialised(_small(many), "cluster-small")
-        if not small.isEmpty():
-            inside = F.broadcast(part.join(small, "part"))
-            flat = rows.join(inside, "id", "left_semi").select("id", "to", "s").mapInArrow(unpacked, "a long, b long, s long").join(inside.withColumnRenamed("id", "a"), "a")
-            sizes = lambda c: F.broadcast(rows.select(F.col("id").alias(c), F.col("size").alias(f"n{c}")))
-            rounds.append(_finished(flat.join(sizes("a"), "a").join(sizes("b"), "b"), k))
-            rows = rows.join(inside, "id", "left_anti")
-        if rows.isEmpty():
-            discard(small, *tables)
-            return rounds
+        if whole:
+            many = rows.join(F.broadcast(part), "id").groupBy("part").agg((F.sum("k") / 2).alias("pairs"), F.count("*").alias("clusters"))
+            small = materialised(_small(many), "cluster-small")
+            tables.append(small)
+            if not small.isEmpty():
+                inside = F.broadcast(part.join(small, "part"))
+                flat = rows.join(inside, "id", "left_semi").select("id", "to", "s").mapInArrow(unpacked, "a long, b long, s long").join(inside.withColumnRenamed("id", "a"), "a")
+                sizes = lambda c: F.broadcast(rows.select(F.col("id").alias(c), F.col("size").alias(f"n{c}")))
+                rounds.append(_finished(flat.join(sizes("a"), "a").join(sizes("b"), "b"), k))
+                rows = rows.join(inside, "id", "left_anti")
+            left = seen = rows.count()
+            held = [written(rows, k - 1)]
         near = rows.groupBy(F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b")).agg(F.count("*").alias("c"), F.max("mean").alias("mean"), F.max("both").alias("size")).where("c = 2")
         merged = materialised(near.select("a", "b", (1 - F.col("mean") / UNIT).alias("distance"), "size", F.lit(k).alias("round")), "cluster-merges")
-        rounds.append(merged)
         a, b, grown = (x.to_numpy() for x in merged.select("a", "b", "size").toArrow().columns)
-        now, moved = same.copy(), none.copy()
-        now[b], size[a], moved[a], moved[b] = a, grown, True, True
-        told = materialised(renamed(rows, now, moved), "cluster-rows", "open")
-        again = materialised(renamed(together(told.where("open").select("id", "to", "s")), same, none), "cluster-rows")
-        discard(small, *tables)
-        rows, tables, k = told.where("not open").unionByName(again), [told, again], k + 1
+        if not len(a):  # while there are rows, two of them are nearest to each other
+            discard(merged, *tables, *nearest)
+            return rounds
+        rounds.append(merged)
+        step, moved = np.arange(n, dtype=np.int32), none.copy()
+        step[b], size[a], moved[a], moved[b] = a, grown, True, True
+        now, left = step[now], left - len(a)
+        whole = left <= (1 - REWRITE) * seen or len(held) >= 32
+        told = renamed(reduce(DataFrame.unionByName, held), moved, whole, "open")
+        since[moved] = k
+        again = renamed(together(written(told.where("open"), k)))
+        discard(*nearest, *(tables if whole else []))
+        rows, nearest, tables = told.where("not open").unionByName(again), [] if whole else [told], [told, again] if whole else [*tables, again]
+        held, k = [*held, written(again, k)], k + 1
 
 
 def _by_joins(pairs: DataFrame, part: DataFrame) -> list[DataFrame]:
